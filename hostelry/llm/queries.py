@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostelry.functions.storage import table
+from hostelry.llm import byte_bpe as op10
 from hostelry.llm import token_counts as op1
 
 
@@ -15,5 +17,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = op10.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return op10.decode(encoded, ranks).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
