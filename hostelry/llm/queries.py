@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hostelry.functions.storage import table
 from hostelry.llm import byte_bpe as op10
+from hostelry.llm import quality_rules as op8
 from hostelry.llm import token_counts as op1
 
 
@@ -17,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op8.quality(table(spark, sf_dir, "documents"), ["doc_id"])
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept p_good"
+    return judged.select(*columns.split())
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = op10.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -30,6 +37,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
