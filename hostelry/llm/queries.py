@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hostelry.functions.storage import table
 from hostelry.llm import byte_bpe as op10
+from hostelry.llm import jaccard_join as op5
 from hostelry.llm import quality_rules as op8
 from hostelry.llm import token_counts as op1
 
@@ -18,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op8.quality(table(spark, sf_dir, "documents"), ["doc_id"])
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept p_good"
@@ -37,6 +42,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
