@@ -10,6 +10,7 @@ from hostelry.functions.storage import table
 from hostelry.llm import byte_bpe as op10
 from hostelry.llm import jaccard_join as op5
 from hostelry.llm import quality_rules as op8
+from hostelry.llm import secret_scan as op2
 from hostelry.llm import token_counts as op1
 
 
@@ -19,6 +20,58 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op2.secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in op2.RULES]
+    spans = op2.digest(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+OP2_KINDS = {
+    "assign": (
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        6,
+    ),
+    "access": ("AKIA[A-Z0-9]+", 0, 20),
+    "hex": ("[0-9a-f]+", 0, 24),
+}
+
+
+def _op2_sql() -> str:
+    parts = []
+    for place, (kind, (pattern, group, least)) in enumerate(OP2_KINDS.items()):
+        parts.append(f"""
+            SELECT doc_id, {place} AS place, '{kind}' AS kind,
+                   list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start,
+                   length(hits[i]) AS size
+            FROM (
+                SELECT *, unnest(range(1, len(hits) + 1)) AS i
+                FROM (
+                    SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits,
+                           regexp_extract_all(t, '{pattern}', {group}) AS vals
+                    FROM texts WHERE regexp_matches(t, '{pattern}')
+                )
+            )
+            WHERE length(vals[i]) >= {least}""")
+    return f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        spans AS ({" UNION ALL ".join(parts)}),
+        listed AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, place) AS spans
+            FROM spans GROUP BY doc_id
+        )
+        SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM texts t LEFT JOIN listed USING (doc_id)"""
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.classes(table(spark, sf_dir, "documents"))
 
@@ -42,8 +95,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_secret_scan": op2_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql()}
