@@ -11,6 +11,7 @@ from hostelry.llm import byte_bpe as op10
 from hostelry.llm import jaccard_join as op5
 from hostelry.llm import quality_rules as op8
 from hostelry.llm import secret_scan as op2
+from hostelry.llm import source_mix as op6
 from hostelry.llm import token_counts as op1
 
 
@@ -76,6 +77,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = op6.draws(table(spark, sf_dir, "documents"))
+    rows = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), "draws"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op8.quality(table(spark, sf_dir, "documents"), ["doc_id"])
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept p_good"
@@ -97,6 +106,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_source_mix": op6_source_mix,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
