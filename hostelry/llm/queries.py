@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from hostelry.functions.storage import table
 from hostelry.llm import byte_bpe as op10
 from hostelry.llm import jaccard_join as op5
+from hostelry.llm import chat_tree as op3
+from hostelry.llm import merkle_audit as op4
 from hostelry.llm import quality_rules as op8
 from hostelry.llm import secret_scan as op2
 from hostelry.llm import source_mix as op6
@@ -73,6 +75,60 @@ def _op2_sql() -> str:
         FROM texts t LEFT JOIN listed USING (doc_id)"""
 
 
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return op3.read_back(*op3.pack(turns))
+
+
+def _replica(pages: DataFrame) -> DataFrame:
+    """The second replica: every 97th page has a changed byte, every 389th has lost its end."""
+    html = (
+        F.when(F.col("page_id") % 389 == 11, F.expr("left(html, length(html) - 3)"))
+        .when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)")))
+        .otherwise(F.col("html"))
+    )
+    return pages.withColumn("html", html)
+
+
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return op4.audit(op4.records(pages), op4.records(_replica(pages)))
+
+
+_OP4_SQL = f"""
+    WITH two AS (
+        SELECT page_id, url, CASE WHEN page_id % 389 = 11 THEN left(html, length(html) - 3)
+               WHEN page_id % 97 = 5 THEN '~' || substring(html, 2) ELSE html END AS html FROM pages
+    ),
+    both_replicas AS (
+        SELECT 'a' AS side, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+        UNION ALL SELECT 'b', page_id, coalesce(url, ''), coalesce(html, '') FROM two
+    ),
+    raw AS (
+        SELECT side, page_id, coalesce(page_id // {op4.FILE_RECORDS}, -1) AS file,
+               'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+               || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+               || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+        FROM both_replicas
+    ),
+    sized AS (SELECT side, page_id, file, sha256(record) AS content, CAST(strlen(record) AS BIGINT) AS size FROM raw),
+    placed AS (
+        SELECT *, row_number() OVER w - 1 AS record,
+               CAST(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM sized WINDOW w AS (PARTITION BY side, file ORDER BY page_id, content)
+    ),
+    hashed AS (SELECT *, sha256(start || ':' || size || ':' || content) AS hash FROM placed)
+    SELECT coalesce(a.file, b.file) AS file, coalesce(a.record, b.record) AS record, a.page_id AS page_id_a, a.start AS start_a,
+           a.size AS size_a, a.hash AS hash_a, b.page_id AS page_id_b, b.start AS start_b, b.size AS size_b, b.hash AS hash_b
+    FROM (SELECT * FROM hashed WHERE side = 'a') a FULL JOIN (SELECT * FROM hashed WHERE side = 'b') b
+      ON a.file = b.file AND a.record = b.record
+    WHERE a.hash IS DISTINCT FROM b.hash"""
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.classes(table(spark, sf_dir, "documents"))
 
@@ -105,9 +161,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
+    "op3_chat_tree": op3_chat_tree,
+    "op4_merkle_audit": op4_merkle_audit,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_source_mix": op6_source_mix,
     "op8_quality_rules": op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL}
