@@ -11,6 +11,7 @@ from hostelry.llm import byte_bpe as op10
 from hostelry.llm import jaccard_join as op5
 from hostelry.llm import chat_tree as op3
 from hostelry.llm import merkle_audit as op4
+from hostelry.llm import ngram_trie as op9
 from hostelry.llm import quality_rules as op8
 from hostelry.llm import secret_scan as op2
 from hostelry.llm import source_mix as op6
@@ -147,6 +148,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*columns.split())
 
 
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = op10.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -166,6 +171,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_source_mix": op6_source_mix,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_trie": op9_ngram_trie,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL}
