@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import table
+from hostelry.llm import bm25_search as op7
 from hostelry.llm import byte_bpe as op10
 from hostelry.llm import jaccard_join as op5
 from hostelry.llm import chat_tree as op3
@@ -142,6 +143,32 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = op7.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+    return found.select(F.col("query").alias("query_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+_OP7_SQL = f"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+')) AS term FROM documents
+    ),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    lengths AS (SELECT doc_id, sum(tf) AS size FROM counts GROUP BY ALL),
+    whole AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM lengths) / (SELECT count(*) FROM documents) AS mean),
+    terms AS (SELECT term, count(*) AS df FROM counts GROUP BY ALL),
+    scored AS (
+        SELECT q.doc_id AS query_id, d.doc_id,
+               round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * {op7.K1 + 1}
+                         / (d.tf + {op7.K1} * ({1 - op7.B} + {op7.B} * size / mean))), 6) AS score
+        FROM counts q JOIN terms USING (term) JOIN counts d USING (term) JOIN lengths ON lengths.doc_id = d.doc_id, whole
+        WHERE q.doc_id % 100 = 0 GROUP BY ALL
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM scored QUALIFY rank <= 10"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op8.quality(table(spark, sf_dir, "documents"), ["doc_id"])
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept p_good"
@@ -170,8 +197,9 @@ QUERIES = {
     "op4_merkle_audit": op4_merkle_audit,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_source_mix": op6_source_mix,
+    "op7_bm25_search": op7_bm25_search,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_trie": op9_ngram_trie,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL, "op7_bm25_search": _OP7_SQL}
