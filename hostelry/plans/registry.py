@@ -2,5 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL where there is one."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from hostelry.plans import costs, decisions, distribution, expected, labor, quality, snapshots  # noqa: F401
+
+
+load()
