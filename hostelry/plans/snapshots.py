@@ -212,7 +212,7 @@ PERIODS_SQL = f"""{NIGHTLY}, {SNAP_SQL},
            CAST(sum(revenue_cents) AS BIGINT) AS revenue_cents,
            CASE WHEN sum(rooms) > 0 THEN CAST((2 * sum(revenue_cents) + sum(rooms)) // (2 * sum(rooms)) AS BIGINT) END AS adr_cents,
            CASE WHEN count(rooms_before) = days THEN CAST(sum(rooms) - sum(rooms_before) AS BIGINT) END AS delta_7d
-    FROM ahead JOIN spans ON stay_date < DATE '{AS_OF}' + CAST(days AS INTEGER) GROUP BY ALL"""
+    FROM ahead JOIN spans ON stay_date < DATE '{AS_OF}' + CAST(days AS INTEGER) GROUP BY property_id, days"""
 
 
 @query(PERIODS_SQL)

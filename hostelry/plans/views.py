@@ -138,8 +138,8 @@ def cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LABOR_SQL = """
     labor AS (
-        SELECT CAST(o_custkey % 25 AS INTEGER) AS property_id, CAST(o_orderdate AS DATE) AS work_date, split_part(o_orderpriority, '-', 2) AS category,
-               o_orderkey AS entry_id, CAST(o_orderkey % 4 AS INTEGER) AS file_no, CASE WHEN o_orderkey % 4 = 3 THEN 'FULL' ELSE 'PARTIAL' END AS file_scope,
+        SELECT CAST(o_custkey % 5 AS INTEGER) AS property_id, CAST(o_orderdate AS DATE) AS work_date, split_part(o_orderpriority, '-', 2) AS category,
+               o_orderkey AS entry_id, CAST(o_orderkey % 4 AS INTEGER) AS file_no, CASE WHEN o_orderkey % 4 = 1 THEN 'FULL' ELSE 'PARTIAL' END AS file_scope,
                CASE WHEN o_orderkey % 7 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 600 END AS planned_minutes,
                CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 541 END AS actual_minutes,
                CASE WHEN o_orderkey % 4 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) % 60000 END AS actual_cents,
@@ -153,12 +153,12 @@ def labor(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     key, whole = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
     return orders.select(
-        (F.col("o_custkey") % 25).cast("int").alias("property_id"),
+        (F.col("o_custkey") % 5).cast("int").alias("property_id"),
         F.to_date("o_orderdate").alias("work_date"),
         F.split_part("o_orderpriority", F.lit("-"), F.lit(2)).alias("category"),
         key.alias("entry_id"),
         (key % 4).cast("int").alias("file_no"),
-        F.when(key % 4 == 3, "FULL").otherwise("PARTIAL").alias("file_scope"),
+        F.when(key % 4 == 1, "FULL").otherwise("PARTIAL").alias("file_scope"),
         F.when(key % 7 != 0, whole % 600).alias("planned_minutes"),
         F.when(key % 4 != 0, whole % 541).alias("actual_minutes"),
         F.when(key % 4 != 0, F.round(F.col("o_totalprice") * 100).cast("long") % 60000).alias("actual_cents"),
