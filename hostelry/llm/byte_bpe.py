@@ -11,8 +11,10 @@ joins ids with the table of token bytes, whose size the vocabulary fixes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostelry.functions.storage import cut
 from hostelry.llm.arrays import gathered, in_slices, per_process
 
 UNIT = re.compile(r"\s*\S+|\s+")
 AFTER_SPACE = re.compile(r"\s ")
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 
 
 class Numbered(dict):
@@ -78,6 +79,14 @@ def unpacked_words(blob: bytes) -> list[bytes]:
     return [raw[at + a : at + b] for a, b in zip([0, *ends], ends)]
 
 
+def named(doc_ids: list, texts: list) -> str:
+    """A block's name: a hash of all that is in it, so other contents never pass for the same block."""
+    whole = hashlib.sha256(repr((doc_ids, [t if t is None else len(t) for t in texts])).encode())
+    for text in texts:
+        whole.update((text or "").encode())
+    return whole.hexdigest()[:32]
+
+
 def framed(first: bytes, second: bytes) -> bytes:
     return len(first).to_bytes(4, "little") + first + second
 
@@ -90,43 +99,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
 BLOCKS = "block string, part int, doc_ids array<{id}>, blob binary"
 
 
-def _blocked(pattern: str, parts: int, block_bytes: int):
-    """Rows for each block: one with its texts' word numbers, and one for each part that has words of it."""
+def _numbered(texts: list, split) -> tuple[Numbered, list[np.ndarray]]:
+    """The numbers of a block's pre-tokens, and each text as a run of units."""
+    units, runs = Numbered(split), []
+    for text in texts:
+        text = text or ""
+        found = UNIT.findall(text) if "\0" in text or AFTER_SPACE.search(text) else text.replace(" ", "\0 ").split("\0")
+        runs.append(np.fromiter(map(units.__getitem__, found), np.int64))
+    return units, runs
+
+
+def _texts_of_blocks(units: Numbered, runs: list[np.ndarray], doc_ids: list) -> list[tuple]:
+    """One row: the block's texts as runs of word numbers."""
+    numbers, lengths = gathered(np.array(units.flat, np.int64), np.array(units.ends, np.int64), np.concatenate(runs))
+    unit_ends = np.concatenate([[0], np.cumsum(lengths)])
+    sizes = np.diff(unit_ends[np.concatenate([[0], np.cumsum([len(r) for r in runs])])])
+    return [(None, doc_ids, packed(np.concatenate([[len(runs), len(units.words)], sizes, numbers])))]
+
+
+def _words_of_blocks(units: Numbered, parts: int) -> list[tuple]:
+    """A row for each part that has words of the block: their numbers and bytes."""
+    words = [w.encode() for w in units.words]
+    dealt: list[list[int]] = [[] for _ in range(parts)]
+    for i, word in enumerate(words):
+        dealt[zlib.crc32(word) % parts].append(i)
+    return [(p, None, framed(packed(np.array(own)), packed_words([words[i] for i in own]))) for p, own in enumerate(dealt) if own]
+
+
+def _blocked(pattern: str, parts: int | None, block_bytes: int):
+    """Rows for each block: its texts, or with ``parts`` its words dealt out."""
 
     def run(batches):
         split = regex.compile(pattern)
-        from pyspark import TaskContext
-
-        task, count = TaskContext.get().partitionId(), 0
         for big in batches:
             for batch in in_slices(big, "text", block_bytes):
-                units, runs = Numbered(split), []
-                for text in batch["text"].to_pylist():
-                    text = text or ""
-                    found = UNIT.findall(text) if "\0" in text or AFTER_SPACE.search(text) else text.replace(" ", "\0 ").split("\0")
-                    runs.append(np.fromiter(map(units.__getitem__, found), np.int64))
-                sizes = np.array([len(r) for r in runs])
-                flat, ends = np.array(units.flat, np.int64), np.array(units.ends, np.int64)
-                numbers, lengths = gathered(flat, ends, np.concatenate(runs))
-                per_text = np.zeros(len(runs) + 1, np.int64)
-                unit_ends = np.concatenate([[0], np.cumsum(lengths)])
-                per_text[1:] = unit_ends[np.cumsum(sizes)]
-                words = [w.encode() for w in units.words]
-                dealt: list[list[int]] = [[] for _ in range(parts)]
-                for i, word in enumerate(words):
-                    dealt[zlib.crc32(word) % parts].append(i)
-                block = f"{task}-{count}"
-                count += 1
-                blob = packed(np.concatenate([[len(runs)], np.diff(per_text), numbers]))
-                rows = [(None, batch["doc_id"].to_pylist(), blob)]
-                for part, own in enumerate(dealt):
-                    if own:
-                        rows.append((part, None, framed(packed(np.array(own)), packed_words([words[i] for i in own]))))
-                part, ids, blobs = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(rows)), pa.array(part, pa.int32()), pa.array(ids, pa.list_(batch["doc_id"].type)), pa.array(blobs, pa.binary())],
-                    ["block", "part", "doc_ids", "blob"],
-                )
+                texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+                block = named(doc_ids, texts)
+                units, runs = _numbered(texts, split)
+                rows = _words_of_blocks(units, parts) if parts else _texts_of_blocks(units, runs, doc_ids)
+                if rows:
+                    part, ids, blobs = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block] * len(rows)), pa.array(part, pa.int32()), pa.array(ids, pa.list_(batch["doc_id"].type)), pa.array(blobs, pa.binary())],
+                        ["block", "part", "doc_ids", "blob"],
+                    )
 
     return run
 
@@ -139,7 +155,7 @@ def _encoded(ranks_path: str, pattern: str):
             ("bpe", ranks_path),
             lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}),
         )
-        ids_of: dict[bytes, list[int]] = {}
+        ids_of: dict[bytes, array] = {}
         for batch in batches:
             out = []
             for blob in batch["blob"].to_pylist():
@@ -148,10 +164,10 @@ def _encoded(ranks_path: str, pattern: str):
                 found = []
                 for word in unpacked_words(words):
                     if (ids := ids_of.get(word)) is None:
-                        ids = ids_of[word] = encoder.encode_ordinary(word.decode())
+                        ids = ids_of[word] = array("I", encoder.encode_ordinary(word.decode()))
                     found.append(ids)
                 n = len(found)
-                flat = np.array([i for ids in found for i in ids])
+                flat = np.frombuffer(b"".join(found), np.uint32)
                 out.append(packed(np.concatenate([[n], unpacked(numbers), [len(i) for i in found], flat])))
             yield pa.RecordBatch.from_arrays(
                 [batch["block"], pa.nulls(len(out), batch["doc_ids"].type), pa.array(out, pa.binary())], ["block", "doc_ids", "blob"]
@@ -173,24 +189,28 @@ def _assembled(table: pa.Table) -> pa.Table:
             lengths.append(values[n + 1 : 2 * n + 1])
             ids.append(values[2 * n + 1 :])
     number, length, flat = map(np.concatenate, (numbers, lengths, ids))
-    starts = np.cumsum(length) - length
-    begin, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    begin[number], size[number] = starts, length
-    at = int(np.flatnonzero(is_text)[0])
-    doc_ids = table["doc_ids"][at].values
-    values = unpacked(blobs[at]).astype(np.int64)
-    n = int(values[0])
-    ends = np.concatenate([[0], np.cumsum(values[1 : n + 1])])
-    words = values[n + 1 :]
-    # Text by text, so that the working arrays are those of one text.
-    out = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        picks = words[a:b]
-        sizes = size[picks]
-        total = np.cumsum(sizes)
-        index = np.arange(total[-1] if len(total) else 0) + np.repeat(begin[picks] - (total - sizes), sizes)
-        out.append(flat[index].astype("<u4").tobytes())
-    return pa.table([doc_ids, pa.array(out, pa.large_binary()).cast(pa.binary())], names=["doc_id", "ids"])
+    doc_ids, out = [], []
+    # Equal blocks have equal contents and equal answers, so each row of texts takes all of them.
+    for at in np.flatnonzero(is_text).tolist():
+        values = unpacked(blobs[at]).astype(np.int64)
+        n, distinct = values[:2].tolist()
+        begin, size = np.zeros(distinct, np.int64), np.full(distinct, -1, np.int64)
+        begin[number], size[number] = np.cumsum(length) - length, length
+        if (size < 0).any():
+            raise ValueError("the input's rows changed between two readings of it")
+        ends = np.concatenate([[0], np.cumsum(values[2 : n + 2])])
+        words = values[n + 2 :]
+        doc_ids.append(table["doc_ids"][at].values)
+        # Text by text, so that the working arrays are those of one text.
+        for a, b in zip(ends[:-1], ends[1:]):
+            picks = words[a:b]
+            sizes = size[picks]
+            total = np.cumsum(sizes)
+            index = np.arange(total[-1] if len(total) else 0) + np.repeat(begin[picks] - (total - sizes), sizes)
+            out.append(flat[index].astype("<u4").tobytes())
+    if not doc_ids:
+        raise ValueError("the input's rows changed between two readings of it")
+    return pa.table([pa.chunked_array(doc_ids), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
 
 def encode(
@@ -199,22 +219,21 @@ def encode(
     """doc_id and ids (little-endian unsigned 32-bit integers, end to end) for every row of ``docs``.
 
     A null or empty text has no ids; repeated rows are encoded each; other
-    columns are ignored. ``parts`` is the number of shares the distinct words are
+    columns are ignored. ``docs`` is read twice and must give the same rows in
+    the same tasks each time, as a scan of files does; otherwise encoding fails.
+    ``parts`` is the number of shares the distinct words are
     dealt into, by default the session's number of shuffle partitions.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    blocks = cut(
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-            _blocked(pattern, parts, block_bytes), BLOCKS.format(id=id_type)
-        )
-    )
+    rows, schema = docs.select("doc_id", F.col("text").cast("string").alias("text")), BLOCKS.format(id=id_type)
+    # Reading the rows twice spares a stored copy of all texts; a block's name tells if the readings differ.
     answers = (
-        blocks.where(F.col("part").isNotNull())
+        rows.mapInArrow(_blocked(pattern, parts, block_bytes), schema)
         .groupBy("part")
         .applyInArrow(_with_iterator(_encoded(ranks_path, pattern)), f"block string, doc_ids array<{id_type}>, blob binary")
     )
-    texts = blocks.where(F.col("part").isNull()).select("block", "doc_ids", "blob")
+    texts = rows.mapInArrow(_blocked(pattern, None, block_bytes), schema).select("block", "doc_ids", "blob")
     return texts.unionByName(answers).groupBy("block").applyInArrow(_assembled, f"doc_id {id_type}, ids binary")
 
 
