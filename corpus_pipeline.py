@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +12,25 @@ from hostelry.functions.storage import cut, table
 from hostelry.llm import byte_bpe, jaccard_join, quality_rules, secret_scan, source_mix
 
 
+def apart(stage):
+    """``stage`` over columns whose names cannot clash with those that operators add."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"_column{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        return out.withColumnsRenamed({new: old for old, new in names.items()})
+
+    return run
+
+
+@apart
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.quality(docs, docs.columns).where("kept").select(*docs.columns)
 
 
+@apart
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
@@ -22,12 +38,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     grouped = cut(jaccard_join.classes(docs))
     others = grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    kept = jaccard_join.within(docs, cut(others), "left_anti")
     repeated = cut(grouped.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = jaccard_join.within(kept, repeated, "left_semi").dropDuplicates(["doc_id"])
+    return jaccard_join.within(kept, repeated, "left_anti").unionByName(once).select(*docs.columns)
 
 
+@apart
 def clear_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret masked, character for character."""
     paths = docs.withColumn("blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
@@ -35,6 +54,7 @@ def clear_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans"))).select(*docs.columns)
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return source_mix.mixed(docs).select(*docs.columns)

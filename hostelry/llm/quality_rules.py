@@ -96,12 +96,16 @@ def _featured(names: list[str]):
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (text may be among them) with each text's counts; null is empty."""
+    """The columns ``keep`` of ``docs`` (text may be among them) with each text's counts; null is empty.
+
+    A kept column whose name a result has too is given as name_in.
+    """
     names = [f"c{i}" for i in range(len(keep))]
     texts = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
     out = texts.mapInArrow(_featured(names), f"{schema}, {FEATURES}")
-    return out.withColumnsRenamed(dict(zip(names, keep)))
+    taken = {f.split()[0] for f in FEATURES.split(", ")} | {"base_failed", "p_good", "kept", *votes()}
+    return out.withColumnsRenamed({n: f"{c}_in" if c in taken else c for c, n in zip(keep, names)})
 
 
 def votes() -> dict[str, Column]:

@@ -258,9 +258,10 @@ def mixed(docs: DataFrame, *, seed: int = 1, shard_words: int = SHARD_WORDS) ->
     """The mix: every column of ``docs`` with shard and turn, one row for each draw of each row.
 
     Rows of a shard follow each other in a random order, which ``turn`` gives.
+    A column of ``docs`` named shard or turn is kept as shard_in or turn_in.
     """
     plan = draws(docs, seed=seed, shard_words=shard_words).select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "draws"
+        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("draws").alias("_draws")
     )
     rows = docs.withColumn("_words", words(F.col("text")))
     same = (
@@ -268,6 +269,7 @@ def mixed(docs: DataFrame, *, seed: int = 1, shard_words: int = SHARD_WORDS) ->
         & rows["source"].cast("string").eqNullSafe(plan["_source"])
         & (rows["_words"] == plan["_size"])
     )
-    out = rows.join(plan, same).select(*(rows[c] for c in docs.columns), F.explode("draws").alias("_draw"))
+    out = rows.join(plan, same).select(*(rows[c] for c in docs.columns), F.explode("_draws").alias("_draw"))
     order = F.xxhash64(F.lit(seed + 1), "_draw.shard", "_draw.pass", "doc_id")
-    return out.select(*docs.columns, F.col("_draw.shard").alias("shard"), order.alias("turn"))
+    named = [F.col(c).alias(f"{c}_in" if c in ("shard", "turn") else c) for c in docs.columns]
+    return out.select(*named, F.col("_draw.shard").alias("shard"), order.alias("turn"))
