@@ -111,3 +111,17 @@ def test_seek_continues_a_mixed_order(spark):
     rows = spark.createDataFrame([(a, b) for a in range(3) for b in range(3)], "a int, b int")
     after = rows.where(decisions.seek([(F.col("a"), True, 1), (F.col("b"), False, 1)]))
     assert Counter((r.a, r.b) for r in after.collect()) == Counter([(1, 2), (0, 0), (0, 1), (0, 2)])
+
+
+def test_fuzzy_candidates(spark):
+    from difflib import SequenceMatcher
+
+    from hostelry.operators import imports
+
+    names = ["Alpha Foods Ltd", "Alpha Food Ltd", "Alpha Foods Limited", "Beta Linen", "Beta Linens", "Gamma", None, ""]
+    rows = list(enumerate(names))
+    got = {(r.id, r.other_id) for r in imports.fuzzy_candidates(spark.createDataFrame(rows, "id int, name string")).collect()}
+    words = lambda n: set((n or "").lower().split())
+    ratio = lambda a, b: round(SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio(), 4)
+    want = {(i, j) for i, a in rows for j, b in rows if i != j and words(a) & words(b) and ratio(a, b) >= 0.85}
+    assert got == want and want
