@@ -138,10 +138,11 @@ def global_order(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, n
         .groupBy("part")
         .applyInArrow(_classes(parts), "part int, kind int, first long, n long, blob binary")
     )
-    shared = np.zeros(1 << MAP_BITS, bool)
+    shared = np.zeros((1 << MAP_BITS) // 8 + 1, np.uint8)
     for row in found.where("kind < 0").toLocalIterator():
-        bits = np.unpackbits(np.frombuffer(zstandard.decompress(row["blob"]), np.uint8), count=row["n"]).astype(bool)
-        shared[row["first"] : row["first"] + row["n"]] |= bits
+        bits = np.unpackbits(np.frombuffer(zstandard.decompress(row["blob"]), np.uint8), count=row["n"])
+        own = np.packbits(np.concatenate([np.zeros(row["first"] % 8, np.uint8), bits]))
+        shared[row["first"] // 8 : row["first"] // 8 + len(own)] |= own
     sizes = {r["kind"]: r["n"] for r in found.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     least, total = max(sizes, default=0) + 1, 0
     while least - 1 in range(LEAST_CLASS, 64) and total + sizes.get(least - 1, 0) <= MOST_HOT:
@@ -152,7 +153,17 @@ def global_order(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, n
         kinds.append(np.full(row["n"], row["kind"], np.uint8))
     hash_, kind = np.concatenate(hashes), np.concatenate(kinds)
     order = np.argsort(hash_)
-    return np.packbits(shared), hash_[order], kind[order]
+    return shared, hash_[order], kind[order]
+
+
+def _named(batches):
+    """For each text: its set's size and id."""
+    for big in batches:
+        for batch in in_slices(big, "text"):
+            sets = shingle_sets(batch["text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.binary())], ["doc_id", "n", "set_id"]
+            )
 
 
 def _prefixed(order):
@@ -160,7 +171,6 @@ def _prefixed(order):
 
     def run(batches):
         shared, hot, kinds = order.value
-        shared = np.unpackbits(shared).astype(bool)
         may_be_hot = np.zeros(1 << 16, bool)
         may_be_hot[hot >> np.uint32(16)] = True
         for big in batches:
@@ -181,7 +191,8 @@ def _prefixed(order):
                         kind[at] = np.where(hot[found] == short[at], kinds[found], 0)
                     prefix = size - -(-PART * size // WHOLE) + 1
                     first = np.argsort(kind, kind="stable")[:prefix]
-                    place = np.flatnonzero(shared[short[first] >> np.uint32(32 - MAP_BITS)])
+                    bit = short[first] >> np.uint32(32 - MAP_BITS)
+                    place = np.flatnonzero((shared[bit >> np.uint32(3)] << (bit & np.uint32(7)).astype(np.uint8)) & np.uint8(128))
                     keys.append(values[first[place]].view(np.int64).tolist())
                     places.append(place.tolist())
                     fine = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=FINE) if len(place) else None
@@ -211,14 +222,14 @@ def _fragmented(batches):
     for big in batches:
         for batch in in_slices(big, "text"):
             rows = []
-            for own, values in zip(batch["set_id"].to_pylist(), shingle_sets(batch["text"])):
+            for node, own, values in zip(batch["node"].to_pylist(), batch["set_id"].to_pylist(), shingle_sets(batch["text"])):
                 if own != set_id(values):
                     continue
                 cuts = np.searchsorted(values >> np.uint64(width), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                rows += [(own, f, values[cuts[f] : cuts[f + 1]].tobytes()) for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1]]
-            own, fragment, blob = zip(*rows) if rows else ((), (), ())
+                rows += [(node, f, values[cuts[f] : cuts[f + 1]].tobytes()) for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1]]
+            node, fragment, blob = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.binary()), pa.array(fragment, pa.int32()), pa.array(blob, pa.binary())], ["set_id", "fragment", "blob"]
+                [pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(blob, pa.binary())], ["node", "fragment", "blob"]
             )
 
 
@@ -230,12 +241,19 @@ def _overlapping(batches):
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             shared.append(len(np.intersect1d(x, y, assume_unique=True)))
         yield pa.RecordBatch.from_arrays(
-            [*(batch[c] for c in ("a", "b", "n_a", "n_b")), pa.array(shared, pa.int64())], ["a", "b", "n_a", "n_b", "shared"]
+            [*(batch[c] for c in ("a", "b", "n_a", "n_b", "fragment")), pa.array(shared, pa.int64())], ["a", "b", "n_a", "n_b", "fragment", "shared"]
         )
 
 
-PAIR = "a binary, b binary, n_a long, n_b long"
+PAIR = "a long, b long, n_a long, n_b long"
 HEADS = ("a", "b", "n_a", "n_b")
+#: Rounds in which each set tries one leader, before pairs across components are listed.
+ROUNDS = 2
+
+
+def within(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``texts`` joined with ``ids`` on doc_id, which are broadcast when few enough."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
 class Join:
@@ -244,59 +262,99 @@ class Join:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
         session = docs.sparkSession
-        order = global_order(self.docs, int(session.conf.get("spark.sql.shuffle.partitions")))
-        self.order = session.sparkContext.broadcast(order)
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        self.texts = cut(
-            self.docs.mapInArrow(
-                _prefixed(self.order),
-                f"doc_id {id_type}, n long, set_id binary, hist binary, keys array<long>, places array<long>",
-            )
+        self.texts = cut(self.docs.mapInArrow(_named, f"doc_id {id_type}, n long, set_id binary"))
+        # Equal sets are one node: copies meet here once for each task.
+        first = self.texts.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("first"))
+        copies = (
+            self.texts.join(first, "set_id")
+            .groupBy("doc_id")
+            .agg(F.max(F.col("doc_id").eqNullSafe(F.col("first"))).alias("is_first"))
+            .where(~F.col("is_first"))
+        )
+        distinct = within(self.docs, cut(copies.select("doc_id")), "left_anti")
+        order = session.sparkContext.broadcast(
+            global_order(distinct, int(session.conf.get("spark.sql.shuffle.partitions")))
         )
-        # Equal sets have equal sizes, histograms and prefixes; copies meet here once for each task.
-        self.sets = cut(
-            self.texts.where(F.col("set_id").isNotNull())
-            .groupBy("set_id")
-            .agg(
-                F.min("doc_id").alias("doc_id"),
-                F.max("n").alias("n"),
-                F.max("hist").alias("hist"),
-                F.max(F.arrays_zip("keys", "places")).alias("entries"),
+        prefixed = cut(
+            distinct.mapInArrow(
+                _prefixed(order),
+                f"doc_id {id_type}, n long, set_id binary, hist binary, keys array<long>, places array<long>",
             )
+            .where(F.col("set_id").isNotNull())
+            .withColumn("node", F.monotonically_increasing_id())
         )
-
-    def entries(self) -> DataFrame:
-        return self.sets.select("set_id", "n", F.explode("entries").alias("e")).select(
-            F.col("e.keys").alias("key"), "set_id", "n", F.col("e.places").alias("place")
+        order.unpersist()
+        # Repeated rows of a first document are left: one node of each set stays.
+        kept = prefixed.groupBy("set_id").agg(F.min("node").alias("node")).select("node")
+        self.sets = prefixed.select("node", "n", "set_id", "doc_id", "hist", "keys", "places").join(kept, "node", "left_semi")
+        if kept.count() == prefixed.count():
+            self.sets = prefixed
+        entries = self.sets.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(
+            F.col("e.keys").alias("key"), "node", "n", F.col("e.places").alias("place")
         )
+        shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
+        self.entries = cut(entries.join(shared, "key"))
+
+    def open_entries(self, entries: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Of ``entries`` those of prefix shingles that sets of different components have, with their components."""
+        if known is None:
+            return entries.withColumn("component", F.col("node"))
+        owned = entries.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        keys = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        return cut(owned.join(keys, "key"))
+
+    def led(self, entries: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """For each set one pair with a leader of another component: that with which it shares most prefix shingles."""
+        leader = entries.groupBy("key").agg(F.min(F.struct("component", "node", "n")).alias("first"))
+        pairs = entries.join(leader, "key").where(F.col("first.component") != F.col("component"))
+        pairs = pairs.select(
+            F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b")
+        ).where(alike_in_size("n_a", "n_b"))
+        counted = untested(pairs.groupBy(*HEADS).count(), tested)
+        best = counted.groupBy("b").agg(F.max(F.struct("count", "a", "n_a", "n_b")).alias("p"))
+        return best.select("p.a", "b", "p.n_a", "p.n_b")
+
+    def across(self, entries: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """Every candidate pair of sets in different components."""
+        one = entries.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"), F.col("component").alias("x"))
+        two = entries.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"), F.col("component").alias("y"))
+        # At the first shingle that a pair shares, what may follow in both must be enough.
+        follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        enough = (WHOLE + PART) * follow >= PART * (F.col("n_a") + F.col("n_b"))
+        apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & alike_in_size("n_a", "n_b") & enough
+        return untested(one.join(two, "key").where(apart).select(*HEADS).distinct(), tested)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links (a, b) among distinct candidate pairs (a, b, n_a, n_b)."""
-        hist = self.sets.select("set_id", "hist")
+        hist = self.sets.where(F.col("hist").isNotNull()).select("node", "hist")
         pairs = pairs.join(hist.toDF("a", "hist_a"), "a").join(hist.toDF("b", "hist_b"), "b")
         near = cut(pairs.select(*HEADS, "hist_a", "hist_b").mapInArrow(_near, PAIR))
-        wanted = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        wanted = cut(wanted.join(self.sets.select("set_id", "doc_id"), "set_id"))
-        size = wanted.count()
-        if not size:
-            return near.select("a", "b")
-        texts = self.docs.join(F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted, "doc_id")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = cut(wanted.join(self.sets.select("node", "set_id", "doc_id"), "node"))
+        # Repeated rows give a set's fragments again; each fragment of a pair counts once below.
         segments = (
-            texts.select("set_id", "text")
-            .mapInArrow(_fragmented, "set_id binary, fragment int, blob binary")
-            .dropDuplicates(["set_id", "fragment"])
+            within(self.docs, wanted, "inner")
+            .select("node", "set_id", "text")
+            .mapInArrow(_fragmented, "node long, fragment int, blob binary")
         )
-        segments = cut(segments)
         fragments = near.select(*HEADS, F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
         met = fragments.join(segments.toDF("a", "fragment", "blob_a"), ["a", "fragment"]).join(
             segments.toDF("b", "fragment", "blob_b"), ["b", "fragment"]
         )
-        shared = met.select(*HEADS, "blob_a", "blob_b").mapInArrow(_overlapping, f"{PAIR}, shared long")
-        total = shared.groupBy(*HEADS).agg(F.sum("shared").alias("shared"))
+        shared = met.select(*HEADS, "fragment", "blob_a", "blob_b").mapInArrow(_overlapping, f"{PAIR}, fragment int, shared long")
+        total = shared.groupBy(*HEADS, "fragment").agg(F.max("shared").alias("shared")).groupBy(*HEADS).agg(F.sum("shared").alias("shared"))
         similar = WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))
         return cut(total.where(similar).select("a", "b"))
 
 
+def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """``pairs`` without those tested before, whichever way round."""
+    if tested is None:
+        return pairs
+    return pairs.join(tested.union(tested.select("b", "a")).toDF("a", "b"), ["a", "b"], "left_anti")
+
+
 def alike_in_size(n_a: str, n_b: str):
     return WHOLE * F.least(n_a, n_b) >= PART * F.greatest(n_a, n_b)
 
@@ -309,45 +367,22 @@ def classes(docs: DataFrame) -> DataFrame:
     are ignored. Links are those of 100 * intersection >= 80 * union.
     """
     join = Join(docs)
-    entries = join.entries()
-
-    # One leader for each prefix shingle.
-    leader = entries.groupBy("key").agg(F.min(F.struct("set_id", "n")).alias("first"), F.max("set_id").alias("last"))
-    leader = leader.where(F.col("first.set_id") < F.col("last"))
-    first = (
-        entries.join(leader, "key")
-        .select(F.col("first.set_id").alias("a"), F.col("set_id").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
-        .where((F.col("a") != F.col("b")) & alike_in_size("n_a", "n_b"))
-        .distinct()
-    )
-    first = cut(first)
-    links = join.verified(first)
-    known = components(links)
-
-    # Shingles that still join different components: every pair across.
-    owner = F.coalesce(F.col("component"), F.col("set_id"))
-    owned = cut(entries.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", owner))
-    open_keys = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = owned.join(open_keys, "key")
-    one = rest.select("key", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"), F.col("component").alias("x"))
-    two = rest.select("key", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"), F.col("component").alias("y"))
-    # At the first shingle that a pair shares, what may follow in both must be enough.
-    follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = (WHOLE + PART) * follow >= PART * (F.col("n_a") + F.col("n_b"))
-    across = (
-        one.join(two, "key")
-        .where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & alike_in_size("n_a", "n_b") & enough)
-        .select(*HEADS)
-        .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    links = links.union(join.verified(cut(across)))
-    final = components(links)
-
-    named = join.sets.select("set_id", "doc_id").join(final.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "set_id"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "component").select("set_id", "component_id")
+    links, known, tested, entries = None, None, None, join.entries
+    for step in [join.led] * ROUNDS + [join.across]:
+        entries = join.open_entries(entries, known)
+        pairs = cut(step(entries, tested))
+        if pairs.isEmpty():
+            continue
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        found = join.verified(pairs)
+        links = found if links is None else links.union(found)
+        known = components(links)
+    by_set = join.sets.select("set_id", "doc_id", F.col("node").alias("component"))
+    if known is not None:
+        owned = join.sets.select("set_id", "doc_id", "node").join(known, "node", "left")
+        by_set = owned.select("set_id", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = by_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_set = by_set.join(least, "component").select("set_id", "component_id")
     out = join.texts.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
