@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostelry.functions import dates, stats
+from hostelry.functions.storage import cut
 from hostelry.operators import revenue, samples
 from hostelry.operators import snapshots as op
 from hostelry.plans import views
@@ -143,8 +144,11 @@ class Books:
             .union(at(self.targets, F.date_sub("as_of", 7), "stay_date"))
             .distinct()
         )
-        self.books = op.on_books(op.nights(views.stays(spark, sf_dir)), cells).select(
-            "property_id", "snapshot_day", "stay_date", "rooms", "uncertain_rooms"
+        # Every sample below reads them; one row for a cell, whatever the number of stays.
+        self.books = cut(
+            op.on_books(op.nights(views.stays(spark, sf_dir)), cells).select(
+                "property_id", "snapshot_day", "stay_date", "rooms", "uncertain_rooms"
+            )
         )
         day = F.date_sub(views.as_of_day(), OBSERVED_DAYS)
         anchors = self.at(c, F.col("candidate_snapshot"), "candidate_stay", "a")
