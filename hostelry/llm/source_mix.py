@@ -2,7 +2,8 @@
 
 Documents fall into blocks by a hash, so a source's blocks are in random order
 and a run of them is a random draw. A source's target gives its number of whole
-passes and the blocks of a last, partial one, found by prefix sums in two levels.
+passes and the documents of a last, partial one, found by prefix sums in two
+levels, again over what still fits after each block that crosses the target.
 The quotas of drawn blocks are then shared among output shards by a tree: each
 node splits its exact block counts between its halves by draws from the
 hypergeometric distribution, source after source. Shards take disjoint runs of
@@ -26,6 +27,8 @@ BLOCK_DOCS = 64
 #: Blocks summed at a time in the second level of the prefix sums.
 GROUP = 256
 SHARD_WORDS = 2_000_000
+#: Up to so many sources their states are broadcast (a few KB each); a join by source alone deals a large one to one task.
+BROADCAST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -154,8 +157,9 @@ def draws(docs: DataFrame, *, seed: int = 1, shard_words: int = SHARD_WORDS) ->
 
     A null text has no words; rows equal in doc_id, source and size are drawn
     together. Each draw gives the whole document once. A source's partial pass
-    ends within one block, whose documents are taken in random order where they
-    still fit, and one more if that brings the words nearer to the target.
+    takes documents in random order where they still fit, until less than the
+    smallest one left out is missing, and that one if it brings the words nearer
+    to the target.
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     units = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
@@ -170,24 +174,12 @@ def draws(docs: DataFrame, *, seed: int = 1, shard_words: int = SHARD_WORDS) ->
     placed = placed.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size"))
     placed = cut(placed.withColumn("block", F.pmod("key", "n_blocks")))
 
-    # Prefix sums of words: over groups of blocks, then within each.
-    blocks = placed.groupBy("rank", "block").agg(
-        F.sum(F.col("size") * F.col("copies")).alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("n_blocks").alias("n_blocks")
-    )
-    blocks = cut(blocks.withColumn("group", F.floor(F.col("block") / GROUP)))
-    before = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = blocks.groupBy("rank", "group").agg(F.sum("words").alias("words"))
-    groups = groups.select("rank", "group", before(Window.partitionBy("rank").orderBy("group")).alias("base"))
-    blocks = blocks.join(groups, ["rank", "group"]).withColumn(
-        "start", F.col("base") + before(Window.partitionBy("rank", "group").orderBy("block"))
-    )
-    inside = (F.col("start") + F.col("words") <= F.col("rest")) & (F.col("words") > 0)
-    crossed = (F.col("start") < F.col("rest")) & ~inside & (F.col("words") > 0)
-    blocks = blocks.withColumns({"inside": inside, "crossed": crossed, "room": F.col("rest") - F.col("start")})
-    drawn = F.col("passes") + (F.col("inside") | F.col("crossed")).cast("int")
+    placed = _partial(placed, goal)
+    blocks = placed.groupBy("rank", "block").agg(F.max("taken").alias("taken"), F.first("passes").alias("passes"), F.first("n_blocks").alias("n_blocks"))
+    drawn = F.col("passes") + F.col("taken").cast("int")
     none = F.array().cast("array<bigint>")
     passes = F.when(drawn > 0, F.sequence(F.lit(0).cast("long"), drawn - 1)).otherwise(none)
-    # Whole passes number all blocks; the partial one those before the crossing, which come first.
+    # Whole passes number all blocks; the partial one those of which it takes a document.
     drawn_blocks = cut(blocks.withColumn("pass", F.explode_outer(passes)).withColumn("turn", F.col("pass") * F.col("n_blocks") + F.col("block")))
 
     quota = drawn_blocks.groupBy("rank").agg(F.count("pass").alias("quota"))
@@ -200,58 +192,87 @@ def draws(docs: DataFrame, *, seed: int = 1, shard_words: int = SHARD_WORDS) ->
     first = F.coalesce(F.sum("blocks").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = leaves.withColumn("first", first).where(F.col("blocks") > 0)
     runs = runs.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("place"))
-    turns = drawn_blocks.select("rank", "block", "pass", "turn", "crossed", "room")
+    turns = drawn_blocks.select("rank", "block", "pass", "turn")
     turns = turns.where(F.col("pass").isNotNull()).withColumn("span", F.floor(F.col("turn") / GROUP))
     spans = turns.groupBy("rank", "span").agg(F.count("*").alias("words"))
-    spans = spans.select("rank", "span", before(Window.partitionBy("rank").orderBy("span")).alias("base"))
+    spans = spans.select("rank", "span", _before(Window.partitionBy("rank").orderBy("span")).alias("base"))
     place = F.col("base") + F.row_number().over(Window.partitionBy("rank", "span").orderBy("turn")) - 1
     turns = turns.join(spans, ["rank", "span"]).withColumn("place", place)
     dealt = turns.join(runs, ["rank", "place"])
-    given = dealt.groupBy("rank", "block").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"),
-        F.max("crossed").alias("crossed"),
-        F.max("room").alias("room"),
-    )
+    given = dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     out = placed.join(given, ["rank", "block"], "left")
-    columns = ("doc_id", "source", "size", "source_size", "target", "passes", "copies", "key")
-
-    # At most one block of each source is crossed.
-    fits = F.struct(F.col("room").alias("room"), F.array().cast("array<boolean>").alias("taken"))
-    listed = (
-        out.where(F.col("crossed"))
-        .groupBy("rank", "block", "room", "draws")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "size", "copies", "source", "source_size", "target", "passes"))).alias("units"))
-    )
+    empty = F.array().cast("array<struct<pass:bigint,shard:int>>")
+    whole = F.filter("draws", lambda d: d["pass"] < F.col("passes"))
+    given = F.coalesce(F.when(F.col("taken"), F.col("draws")).otherwise(whole), empty)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "key", given.alias("draws"))
 
-    def fit(s: Column, x: Column) -> Column:
-        need = x["size"] * x["copies"]
-        ok = need <= s["room"]
-        return F.struct(F.when(ok, s["room"] - need).otherwise(s["room"]).alias("room"), F.concat(s["taken"], F.array(ok)).alias("taken"))
 
-    listed = listed.withColumn("fit", F.aggregate("units", fits, fit))
-    skipped = F.array_min(
-        F.transform(
-            F.filter(F.arrays_zip("units", F.col("fit.taken").alias("taken")), lambda z: ~z["taken"]),
-            lambda z: F.struct((z["units"]["size"] * z["units"]["copies"]).alias("need"), z["units"]["key"].alias("key")),
-        )
-    )
-    listed = listed.withColumn("more", skipped)
-    nearer = F.when(F.col("more.need") < 2 * F.col("fit.room"), F.col("more.key"))
-    listed = listed.withColumn("nearer", nearer)
-    crossing = _crossing(listed, columns)
-    plain = out.where(~F.coalesce("crossed", F.lit(False))).select(*columns, "draws")
-    empty = F.array().cast("array<struct<pass:bigint,shard:int>>")
-    return plain.unionByName(crossing).withColumn("draws", F.coalesce("draws", empty)).drop("passes")
+def _before(w) -> Column:
+    return F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _crossing(listed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    each = listed.select(
-        "draws", "nearer", F.explode(F.arrays_zip("units", F.col("fit.taken").alias("taken"))).alias("z")
-    )
-    units = each.select("draws", "nearer", F.col("z.taken").alias("taken"), *(F.col(f"z.units.{c}").alias(c) for c in columns))
-    stays = F.col("taken") | F.col("key").eqNullSafe(F.col("nearer"))
-    whole = F.filter("draws", lambda d: d["pass"] < F.col("passes"))
-    return units.select(*columns, F.when(stays, F.col("draws")).otherwise(whole).alias("draws"))
+def _partial(placed: DataFrame, goal: DataFrame) -> DataFrame:
+    """``placed`` with taken: whether the partial pass of its source has the document.
+
+    Blocks are taken in order while they fit whole, then the documents of the one
+    that crosses, by key, where they fit. What no longer fits never will, so the
+    next round goes on behind that block with the smaller documents only, until
+    none is left that fits. Last comes the smallest one not taken, if that is nearer.
+    """
+    need = F.col("size") * F.col("copies")
+    left = placed.select("rank", "block", "key", need.alias("need"), F.col("rest").alias("room")).where("need > 0 AND need <= room")
+    # One row for each source; the rounds tell which documents were taken.
+    shape = "array<struct<after:bigint,until:bigint,least:bigint,most:double,keys:array<bigint>>>"
+    state = goal.select("rank", F.col("rest").alias("room"), F.lit(-1).cast("long").alias("after"), F.array().cast(shape).alias("rounds"))
+    end, least = F.lit((1 << 63) - 1), 0
+    small = F.broadcast if goal.count() <= BROADCAST_SOURCES else lambda states: states
+    while not left.isEmpty():
+        blocks = left.groupBy("rank", "block").agg(F.sum("need").alias("words"), F.first("room").alias("limit"))
+        blocks = cut(blocks.withColumn("group", F.floor(F.col("block") / GROUP)))
+        groups = blocks.groupBy("rank", "group").agg(F.sum("words").alias("words"))
+        groups = groups.select("rank", "group", _before(Window.partitionBy("rank").orderBy("group")).alias("base"))
+        blocks = blocks.join(groups, ["rank", "group"])
+        blocks = blocks.withColumn("start", F.col("base") + _before(Window.partitionBy("rank", "group").orderBy("block")))
+        # At most one block of each source is crossed.
+        crossed = blocks.where("start <= limit AND start + words > limit").select("rank", "block", (F.col("limit") - F.col("start")).alias("free"))
+        listed = left.join(crossed, ["rank", "block"]).groupBy("rank", "block", "free")
+        listed = listed.agg(F.sort_array(F.collect_list(F.struct("key", "need"))).alias("units"))
+        begin = F.struct(F.col("free").alias("room"), F.array().cast("array<bigint>").alias("keys"))
+
+        def fit(s: Column, x: Column) -> Column:
+            more = F.struct((s["room"] - x["need"]).alias("room"), F.concat(s["keys"], F.array(x["key"])).alias("keys"))
+            return F.when(x["need"] <= s["room"], more).otherwise(s)
+
+        listed = listed.select("rank", F.col("block").alias("until"), F.aggregate("units", begin, fit).alias("fit"))
+        sums = blocks.groupBy("rank").agg(F.sum("words").alias("words"))
+        until = F.coalesce("until", end)
+        none = F.array().cast("array<bigint>")
+        this = F.struct(
+            F.col("after"), until.alias("until"), F.lit(least).cast("long").alias("least"), F.col("room").alias("most"), F.coalesce("fit.keys", none).alias("keys")
+        )
+        state = cut(
+            state.join(sums, "rank", "left")
+            .join(listed, "rank", "left")
+            .select(
+                "rank",
+                F.coalesce("fit.room", F.col("room") - F.coalesce("words", F.lit(0))).alias("room"),
+                F.when(F.col("words").isNull(), F.col("after")).otherwise(until).alias("after"),
+                F.when(F.col("words").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(this))).alias("rounds"),
+            )
+        )
+        left = left.drop("room").join(small(state.select("rank", "room", "after")), "rank").where("need <= room AND block > after")
+        left, least = cut(left.drop("after")), 1
+
+    def has(x: Column) -> Column:
+        inside = (F.col("block") < x["until"]) & need.between(x["least"], x["most"])
+        return (F.col("block") > x["after"]) & (inside | ((F.col("block") == x["until"]) & F.array_contains(x["keys"], F.col("key"))))
+
+    taken = F.exists("rounds", has)
+    skipped = placed.join(small(state), "rank").where((need > 0) & (need < 2 * F.col("room")) & ~taken)
+    more = skipped.groupBy("rank").agg(F.min(F.struct(need.alias("need"), "key"))["key"].alias("more"))
+    state = cut(state.select("rank", "rounds").join(more, "rank", "left"))
+    marked = placed.join(small(state), "rank").withColumn("taken", taken | F.col("key").eqNullSafe(F.col("more")))
+    return cut(marked.drop("rounds", "more", "rest"))
 
 
 def mixed(docs: DataFrame, *, seed: int = 1, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hostelry.llm import bm25_search, jaccard_join, ngram_trie, quality_rules, secret_scan, source_mix
@@ -167,6 +168,16 @@ def test_mix_of_many_small_documents_is_close(spark):
     assert len(shards) > 10
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_with_one_long_document_is_exact(spark, seed):
+    # The partial pass of source a is to have 7,996 words, less than its long document; the small ones meet that in any order.
+    sized = [(0, "a", 10000), *((i, "a", 10) for i in range(1, 1001)), *((2000 + i, "b", 10) for i in range(613))]
+    frame = spark.createDataFrame(sized, "doc_id long, source string, n int")
+    frame = frame.select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    rows = source_mix.draws(frame, seed=seed).groupBy("source").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(rows) == 2 and all(abs(r.taken - r.target) <= 5 for r in rows), rows
+
+
 def test_hypergeometric_draws_have_the_right_mean(spark):
     u = source_mix.uniform(3, F.col("id"))
     rows = spark.range(20000).select(source_mix.hypergeometric(F.lit(60).cast("long"), F.lit(20).cast("long"), F.lit(30).cast("long"), u).alias("k"))
