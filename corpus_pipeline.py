@@ -34,16 +34,21 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
-    Rows that share a doc_id are one document, of which one row stays.
+    Rows that share a doc_id are told apart by their groups: one row stays for each
+    group in which that doc_id is the smallest.
     """
-    grouped = cut(jaccard_join.classes(docs))
-    others = grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    grouped = cut(jaccard_join.grouped(docs))
+    stays = F.col("doc_id") == F.col("component_id")
+    others = grouped.groupBy("doc_id").agg(F.max(stays).alias("stays")).where("NOT stays").select("doc_id")
     kept = jaccard_join.within(docs, cut(others), "left_anti")
     repeated = cut(grouped.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    once = jaccard_join.within(kept, repeated, "left_semi").dropDuplicates(["doc_id"])
-    return jaccard_join.within(kept, repeated, "left_anti").unionByName(once).select(*docs.columns)
+    chosen = jaccard_join.within(grouped.where(stays), repeated, "left_semi").groupBy("doc_id", "component")
+    chosen = chosen.agg(F.min("set_id").alias("set_id")).select(F.col("doc_id").alias("_doc"), F.col("set_id").alias("_set"))
+    rows = jaccard_join.with_sets(jaccard_join.within(kept, repeated, "left_semi")).dropDuplicates(["doc_id", "set_id"])
+    once = rows.join(chosen, (F.col("doc_id") == F.col("_doc")) & F.col("set_id").eqNullSafe(F.col("_set")), "left_semi")
+    return jaccard_join.within(kept, repeated, "left_anti").unionByName(once.drop("set_id")).select(*docs.columns)
 
 
 @apart

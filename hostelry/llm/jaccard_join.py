@@ -285,8 +285,9 @@ class Join:
             .withColumn("node", F.monotonically_increasing_id())
         )
         order.unpersist()
-        # Repeated rows of a first document are left: one node of each set stays.
-        kept = prefixed.groupBy("set_id").agg(F.min("node").alias("node")).select("node")
+        # Repeated rows of a first document are left: one node of each set stays, of the smallest doc_id.
+        smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+        kept = prefixed.groupBy("set_id").agg(smallest["node"].alias("node")).select("node")
         self.sets = prefixed.select("node", "n", "set_id", "doc_id", "hist", "keys", "places").join(kept, "node", "left_semi")
         if kept.count() == prefixed.count():
             self.sets = prefixed
@@ -366,6 +367,24 @@ def classes(docs: DataFrame) -> DataFrame:
     without a doc_id gets no component. Repeated rows are one node. Other columns
     are ignored. Links are those of 100 * intersection >= 80 * union.
     """
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def with_sets(docs: DataFrame) -> DataFrame:
+    """``docs`` with set_id, as ``grouped`` gives it."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches):
+        for big in batches:
+            for batch in in_slices(big, "text"):
+                ids = pa.array(map(set_id, shingle_sets(batch["text"])), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "set_id"])
+
+    return docs.mapInArrow(run, f"{fields}, set_id binary")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``classes`` with set_id (null: no shingles) and component (null likewise), which tells components of one doc_id apart."""
     join = Join(docs)
     links, known, tested, entries = None, None, None, join.entries
     for step in [join.led] * ROUNDS + [join.across]:
@@ -382,7 +401,7 @@ def classes(docs: DataFrame) -> DataFrame:
         owned = join.sets.select("set_id", "doc_id", "node").join(known, "node", "left")
         by_set = owned.select("set_id", "doc_id", F.coalesce("component", "node").alias("component"))
     least = by_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = by_set.join(least, "component").select("set_id", "component_id")
+    by_set = by_set.join(least, "component").select("set_id", "component", "component_id")
     out = join.texts.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "set_id", "component", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

@@ -49,3 +49,13 @@ def test_empty_input(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     assert now.count() == 0
+
+
+def test_doc_ids_of_several_texts_lose_no_group(spark):
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    # 5 has a copy of 1 and a text of its own; 3 is the smallest of two groups; 7 and no id have copies of 5's own text.
+    rows = [(1, prose(1)), (5, prose(1)), (5, prose(2)), (7, prose(2)), (3, prose(3)), (3, prose(4)), (3, prose(4)), (9, prose(4)), (None, prose(2))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'a' AS source").coalesce(1)
+    got = corpus_pipeline.deduplicate(spark, frame, "").collect()
+    want = [(1, prose(1)), (3, prose(3)), (3, prose(4)), (5, prose(2))]
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == want
