@@ -66,9 +66,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every document."""
-    encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded_sha256 of every document.
+
+    The last is of the bytes that the ids decode to, which are those of the text.
+    """
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return decoded.select("doc_id", n_tokens, "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

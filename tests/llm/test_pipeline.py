@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 
@@ -59,3 +60,10 @@ def test_doc_ids_of_several_texts_lose_no_group(spark):
     got = corpus_pipeline.deduplicate(spark, frame, "").collect()
     want = [(1, prose(1)), (3, prose(3)), (3, prose(4)), (5, prose(2))]
     assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == want
+
+
+def test_last_stage_decodes_what_it_encodes(spark, docs):
+    digest = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    want = [(str(r.doc_id), digest(r.text)) for r in docs.collect()]
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == sorted(want)
