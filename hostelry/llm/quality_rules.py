@@ -171,13 +171,14 @@ def estimated(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tu
 def judged(featured: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """``featured`` with base_failed, p_good (the posterior) and kept.
 
-    EM reads the counts of vote patterns over all rows that pass the base rules:
-    at most 3**rules of them, whatever the input. No rows: no estimates are needed.
+    EM reads the counts of vote patterns over all rows: at most 3**rules of them,
+    whatever the input. The base rules only enter the verdict. No rows: no
+    estimates are needed.
     """
     rules = votes()
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     with_votes = featured.withColumns(rules).withColumn("base_failed", failed)
-    counted = with_votes.where(~F.col("base_failed")).groupBy(*rules).count().collect()
+    counted = with_votes.groupBy(*rules).count().collect()
     patterns = np.array([[r[c] for c in rules] for r in counted], int).reshape(-1, len(rules))
     ratio, odds = estimated(patterns, np.array([r["count"] for r in counted], float))
     score = F.lit(float(odds))

@@ -215,6 +215,13 @@ def test_weak_supervision_rejects_what_few_rules_see(spark):
     assert all(r.kept == (r.label == 1) for r in rows)
 
 
+def test_estimates_count_all_documents(docs, monkeypatch):
+    seen, own = [], quality_rules.estimated
+    monkeypatch.setattr(quality_rules, "estimated", lambda patterns, counts: seen.append(counts.sum()) or own(patterns, counts))
+    rows = quality_rules.quality(docs, ["doc_id"]).collect()
+    assert any(r.base_failed for r in rows) and seen == [len(rows)]
+
+
 def test_quality_of_nothing(none):
     assert quality_rules.quality(none, ["doc_id"]).count() == 0
 
