@@ -3,25 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the session's checkpoint folder and continue from there.
+def shared_folder(session: SparkSession) -> str:
+    """The folder that all executors share: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (tests) gets a folder of its own.
+    Only a local session without that setting (tests) gets a folder of its own; a
+    cluster without it is refused, as its executors could not read each other's files.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
-    return df.checkpoint(eager=True)
+        named = session.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a table in the shared folder and continue from there.
+
+    A written table, unlike a checkpoint, is planned by its real size: a checkpoint
+    keeps the estimate of the plan before it, which joins square, so that after a few
+    rounds planning takes longer than the work.
+    """
+    session = df.sparkSession
+    path = f"{shared_folder(session)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for df in tables:
+        folders = {file.rpartition("/")[0] for file in df.inputFiles()} if df is not None else ()
+        for folder in folders:
+            if "/cut-" in folder:
+                jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table(session, sf_dir: str, name: str) -> DataFrame:
+def table(session: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     return session.read.parquet(f"{sf_dir}/{name}.parquet")
