@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bytes handled at a time; bounds the working arrays whatever a text's length.
 SLICE = 1 << 20
@@ -84,6 +85,24 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return out
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, of up to 64 bits, byte plane by byte plane, compressed; the first byte tells the planes."""
+    numbers = np.asarray(numbers).astype("<u8")
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """What ``packed`` took: uint32 where all numbers fit, else uint64."""
+    width = blob[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(width, -1)
+    kind = "<u4" if width <= 4 else "<u8"
+    out = np.zeros((planes.shape[1], 4 if width <= 4 else 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind).ravel()
+
+
 def gathered(values: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``values[offsets[p]:offsets[p + 1]]`` of all picks end to end, and their lengths."""
     lengths = offsets[picks + 1] - offsets[picks]
@@ -99,7 +118,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def in_slices(batch: pa.RecordBatch, column: str, most: int = 4 * SLICE):
+def in_slices(batch: pa.RecordBatch, column: str, most: int = 2 * SLICE):
     """The batch in runs of rows whose texts come to about ``most`` bytes; a longer text stands alone."""
     sizes = np.asarray(pa.compute.binary_length(batch[column]).fill_null(0), np.int64)
     total = np.cumsum(sizes)
@@ -109,6 +128,8 @@ def in_slices(batch: pa.RecordBatch, column: str, most: int = 4 * SLICE):
         to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    # What is freed goes back, so that a worker does not keep the most that it ever held.
+    pa.default_memory_pool().release_unused()
 
 
 def per_process(key, make):

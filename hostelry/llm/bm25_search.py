@@ -1,30 +1,47 @@
-"""Exact BM25 top-k by block-max pruning, shard by shard.
-
-A shard is a run of documents that one task indexes: postings by term, each list
-cut into blocks of documents with the block's largest contribution. A query first
-adds up its rare terms. What the common ones can still add to a block is bounded
-by their block maxima, so their lists are read only in blocks with a document
-that may yet reach the k-th best score so far. Statistics are global, so the
-shards' results merge exactly.
+"""Exact BM25 top-k by block-max WAND, shard by shard.
+
+The inverted index is a table of shards, written once. A shard is a run of
+documents of bounded size: postings by term, documents in an order that puts those
+of one vocabulary together, so that the blocks of documents that the bounds speak
+of hold alike ones. Statistics are global (counted from the index), so the shards'
+results merge exactly.
+
+Queries come in blocks of bounded size. A task keeps, through all its shards, the k
+best so far of every query, and with it a threshold. In a shard, the pivot test of
+WAND adds up the maxima of a query's lists: without hope of the threshold, the
+shard is left alone. Then the maxima of all its terms in each block of documents
+are added up, and only blocks that may reach the threshold are scored. The index is
+searched in waves, a small one first: what a wave finds is the threshold that the
+tasks of the next one start from, so they give little more than k rows a query.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostelry.functions.storage import cut
-from hostelry.llm.arrays import gathered, in_slices, text_bytes, word_hashes, word_spans
-from hostelry.llm.byte_bpe import packed, unpacked
+from hostelry.functions.storage import cut, drop, shared_folder
+from hostelry.llm.arrays import in_slices, packed, text_bytes, unpacked, word_hashes, word_spans
+from hostelry.llm.components import dealt_anew
 
 K1, B = 1.2, 0.75
-SHARD_BYTES = 16 << 20
-BLOCK_DOCS = 64
-#: Bytes of queries (12 for a distinct term) that are broadcast at a time.
-QUERY_BYTES = 16 << 20
-SLICES = 64
+SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS = 16 << 20, 8192, 64
+#: A list with this share of a shard's documents is held as a column.
+DENSE = 1 / 16
+#: Bytes of queries (16 for a distinct term) that are broadcast at a time.
+QUERY_BYTES = 8 << 20
+#: Queries whose bounds are worked out together.
+TOGETHER = 64
+#: The waves' shares of the shards, in 64ths.
+WAVES = (1, 8, 64)
+#: Decimals of a score; ties are of scores as rounded.
+DECIMALS = 6
+#: What single precision may lose of a sum, relative to it.
+LOSS = 1e-4
 
 
 def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,184 +63,284 @@ def _queries(batches):
     for big in batches:
         for batch in in_slices(big, "text"):
             text, term, count, _ = terms_of(batch["text"])
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            rows = [(term[a:b].tobytes(), packed(count[a:b]), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
-            terms, counts, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(n, pa.int64())],
-                ["query", "terms", "counts", "n"],
-            )
+            ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, pa.array(term.view(np.int64)))
+            counts = pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], terms, counts], ["query", "terms", "counts"])
 
 
-def _frequencies(wanted):
-    """For a slice of the wanted terms, in how many of a task's documents each is; texts and words in slice -1."""
+def _indexed(batches):
+    """Shards of the task's documents: each one row, whatever batches they came in."""
 
-    def run(batches):
-        terms = wanted.value
-        found, texts, words = np.zeros(len(terms), np.int64), 0, 0
-        for big in batches:
-            for batch in in_slices(big, "text"):
-                _, term, _, length = terms_of(batch["text"])
-                at = np.minimum(np.searchsorted(terms, term), max(len(terms) - 1, 0))
-                if len(terms):
-                    found += np.bincount(at[terms[at] == term], minlength=len(terms))
-                texts, words = texts + batch.num_rows, words + int(length.sum())
-        cuts = np.linspace(0, len(terms), SLICES + 1).astype(int)
-        blobs = [packed(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *range(SLICES)], pa.int32()), pa.array([None, *blobs], pa.binary()), pa.array([texts] + [0] * SLICES, pa.int64()), pa.array([words] + [0] * SLICES, pa.int64())],
-            ["slice", "found", "texts", "words"],
-        )
+    def shard(held: list[tuple], ids: list[pa.Array]):
+        lengths = np.concatenate([h[3] for h in held])
+        begins = np.cumsum([0] + [len(h[3]) for h in held])
+        text = np.concatenate([h[0] + b for h, b in zip(held, begins)])
+        term, count = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        # Documents by their most frequent term, by hash on a tie: those of one vocabulary stand together.
+        best = np.lexsort((term, -count, text))
+        first = np.ones(len(best), bool)
+        first[1:] = text[best[1:]] != text[best[:-1]]
+        leading = np.zeros(len(lengths), np.uint64)
+        leading[text[best[first]]] = term[best[first]]
+        order = np.argsort(leading, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        text = place[text]
+        by_term = np.lexsort((text, term))
+        term, text, count = term[by_term], text[by_term], count[by_term]
+        new = np.ones(len(term), bool)
+        new[1:] = term[1:] != term[:-1]
+        begin = np.flatnonzero(new)
+        sizes = np.diff(np.append(begin, len(term)))
+        own = pa.chunked_array(ids).take(pa.array(order)).combine_chunks()
+        columns = (lengths[order], sizes, text, count)
+        names = ["shard", "ids", "n", "words", "terms", "lengths", "sizes", "docs", "counts"]
+        values = [[uuid.uuid4().int >> 66], [own.to_pylist()], [len(lengths)], [int(lengths.sum())], [term[begin].tobytes()], *([packed(c)] for c in columns)]
+        types = [pa.int64(), pa.list_(own.type), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
-    return run
+    held, ids, docs, size = [], [], 0, 0
+    for big in batches:
+        for batch in in_slices(big, "text"):
+            while batch.num_rows:
+                some = batch.slice(0, SHARD_DOCS - docs)
+                batch = batch.slice(some.num_rows)
+                held.append(terms_of(some["text"]))
+                ids.append(some["doc_id"])
+                docs, size = docs + some.num_rows, size + some["text"].nbytes
+                if docs >= SHARD_DOCS or size >= SHARD_BYTES:
+                    yield shard(held, ids)
+                    held, ids, docs, size = [], [], 0, 0
+    if held:
+        yield shard(held, ids)
+
+
+def _list_sizes(batches):
+    """How many documents have each term, added up over a task's shards a few million lists at a time."""
+
+    def rows(held: list[tuple]):
+        terms, own = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        df = np.bincount(own, np.concatenate([s for _, s in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df)], ["term", "df"])
+
+    held = []
+    for batch in batches:
+        for terms, sizes in zip(batch["terms"].to_pylist(), batch["sizes"].to_pylist()):
+            held.append((np.frombuffer(terms, np.uint64), unpacked(sizes).astype(np.int64)))
+            if sum(len(t) for t, _ in held) > 1 << 21:
+                yield rows(held)
+                held = []
+    if held:
+        yield rows(held)
+
+
+def impacts(count: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 of a term in a document without its idf."""
+    return count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
 
-def _added(table: pa.Table) -> pa.Table:
-    blobs = [b for b in table["found"].to_pylist() if b is not None]
-    total = packed(sum(unpacked(b).astype(np.int64) for b in blobs)) if blobs else None
-    whole = [int(pa.compute.sum(table[c]).as_py()) for c in ("texts", "words")]
-    return pa.table(
-        [table["slice"][:1], pa.array([total], pa.binary()), pa.array(whole[:1], pa.int64()), pa.array(whole[1:], pa.int64())],
-        names=["slice", "found", "texts", "words"],
-    )
+class Block:
+    """A block of queries: terms and weights end to end, and for each query the least score that is of use."""
+
+    def __init__(self, ids: list, terms: list[np.ndarray], weights: list[np.ndarray], k: int):
+        self.ids, self.k = ids, k
+        self.ends = np.cumsum([0, *map(len, terms)])
+        self.words, self.own = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+        self.weights = np.concatenate([np.zeros(0), *weights])
+        #: Of each term, its query.
+        self.query = np.repeat(np.arange(len(ids)), np.diff(self.ends))
+        self.least = np.zeros(len(ids))
 
 
 class Shard:
-    """The inverted index of a run of documents, with impacts (BM25 without the idf) and block maxima."""
-
-    def __init__(self, column: pa.Array, mean: float):
-        text, term, count, length = terms_of(column)
-        self.size = len(column)
-        impact = count * (K1 + 1) / (count + K1 * (1 - B + B * length[text] / mean))
-        order = np.lexsort((text, term))
-        self.doc, self.impact = text[order], impact[order]
-        term = term[order]
-        new = np.ones(len(term), bool)
-        new[1:] = term[1:] != term[:-1]
-        self.terms = term[new]
-        self.list_ends = np.append(np.flatnonzero(new), len(term))
-        block = self.doc // BLOCK_DOCS
-        new[1:] |= block[1:] != block[:-1]
+    """One row of the index, ready for the terms of a block of queries."""
+
+    def __init__(self, lengths, terms, sizes, docs, counts, words: np.ndarray, mean: float):
+        self.size, self.length = len(lengths), lengths
+        at = np.minimum(np.searchsorted(terms, words), max(len(terms) - 1, 0))
+        have = terms[at] == words if len(terms) else np.zeros(len(words), bool)
+        #: The place of each of the block's terms among those that the shard has, or -1.
+        self.place = np.where(have, np.cumsum(have) - 1, -1)
+        begins = np.cumsum(sizes) - sizes
+        kept = at[have]
+        n = sizes[kept]
+        self.ends = np.concatenate([[0], np.cumsum(n)])
+        index = np.arange(self.ends[-1]) + np.repeat(begins[kept] - self.ends[:-1], n)
+        self.doc, self.impact = docs[index], impacts(counts[index], lengths[docs[index]], mean)
+        # The maximum of every list in every block of documents; a block is a run of BLOCK_DOCS.
+        self.blocks = -(-self.size // BLOCK_DOCS)
+        owner = np.repeat(np.arange(len(kept)), n)
+        cell = owner * self.blocks + self.doc // BLOCK_DOCS
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
         first = np.flatnonzero(new)
-        self.block = block[first]
-        self.block_ends = np.append(first, len(term))
-        self.block_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.list_blocks = np.searchsorted(first, self.list_ends)
-        self.most = np.maximum.reduceat(self.impact, self.list_ends[:-1]) if len(self.terms) else np.zeros(0)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of this shard that may be among the k best; all of those that are."""
-        if not len(self.terms) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        have = self.terms[at] == terms
-        at, weights = at[have], weights[have]
-        sizes = self.list_ends[at + 1] - self.list_ends[at]
-        common = sizes > 4 * self.size / BLOCK_DOCS
-        acc = self.added(np.zeros(self.size), self.list_ends, at[~common], weights[~common])
-        if common.any():
-            acc = self.with_common(acc, at[common], weights[common], k)
-        found = np.flatnonzero(acc > 0)
-        if len(found) > k:
-            least = np.partition(acc[found], -k)[-k]
-            found = found[acc[found] >= least]
-        return found, acc[found]
-
-    def added(self, acc: np.ndarray, ends: np.ndarray, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        if not len(runs):
-            return acc
-        doc, lengths = gathered(self.doc, ends, runs)
-        impact, _ = gathered(self.impact, ends, runs)
-        return acc + np.bincount(doc, impact * np.repeat(weights, lengths), len(acc))
-
-    def with_common(self, acc: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-        blocks = -(-self.size // BLOCK_DOCS)
-        entries, per_list = gathered(np.arange(len(self.block)), self.list_blocks, at)
-        owner = np.repeat(weights, per_list)
-        bound = np.bincount(self.block[entries], self.block_most[entries] * owner, blocks)
-        padded = np.zeros(blocks * BLOCK_DOCS)
-        padded[: self.size] = acc
-        best = padded.reshape(blocks, BLOCK_DOCS).max(axis=1) + bound
-        # Blocks in order of what they may reach, a few at a time, until none left can reach the k-th best.
-        order, done, least = np.argsort(-best, kind="stable"), 0, 0.0
-        part = np.zeros(self.size)
-        seen = np.zeros(blocks, bool)
-        while done < blocks and best[order[done]] >= least * (1 - 1e-9):
-            now = order[done : done + max(4, blocks // 16)]
-            now = now[best[now] >= least * (1 - 1e-9)]
-            take = np.zeros(blocks, bool)
-            take[now] = True
-            pick = take[self.block[entries]]
-            part = self.added(part, self.block_ends, entries[pick], owner[pick])
-            seen |= take
-            done += len(now)
-            scores = (acc + part)[np.repeat(seen, BLOCK_DOCS)[: self.size]]
-            if len(scores) >= k:
-                least = np.partition(scores, -k)[-k]
-        return np.where(np.repeat(seen, BLOCK_DOCS)[: self.size], acc + part, 0.0)
-
-
-def _searched(block, k: int, id_type: str):
+        self.most = np.zeros((len(kept) + 1, self.blocks), np.float32)
+        if len(first):
+            self.most.reshape(-1)[cell[first]] = np.maximum.reduceat(self.impact, first)
+        # Long lists stand as columns of a matrix; its numbers pick documents, whose scores are then added exactly.
+        self.column = np.full(len(kept) + 1, -1)
+        long = np.flatnonzero(n >= max(DENSE * self.size, 2))
+        self.column[long] = np.arange(len(long))
+        inside = self.column[owner] >= 0
+        self.dense = np.zeros((self.size, len(long)))
+        self.dense[self.doc[inside], self.column[owner[inside]]] = self.impact[inside]
+        self.rough = np.ascontiguousarray(self.dense.T.astype(np.float32))
+        self.count = np.arange(self.ends[-1])
+
+    def bounds(self, block: Block, some: slice) -> np.ndarray:
+        """For each of some queries and each block of documents, what no score there exceeds."""
+        a, b = block.ends[some.start], block.ends[some.stop]
+        each = self.most[self.place[block.own[a:b]]] * block.weights[a:b, None].astype(np.float32)
+        out = np.zeros((some.stop - some.start, self.blocks), np.float32)
+        ends = block.ends[some.start : some.stop + 1] - a
+        filled = np.flatnonzero(np.diff(ends))
+        if len(filled):
+            out[filled] = np.add.reduceat(each, ends[:-1][filled], axis=0)
+        return out
+
+    def columns(self, block: Block, some: slice) -> np.ndarray:
+        """The weights of some queries for the terms that stand as columns."""
+        a, b = block.ends[some.start], block.ends[some.stop]
+        column = self.column[self.place[block.own[a:b]]]
+        held = np.flatnonzero(column >= 0)
+        out = np.zeros((some.stop - some.start, self.dense.shape[1]))
+        out[block.query[a:b][held] - some.start, column[held]] = block.weights[a:b][held]
+        return out
+
+    def scored(
+        self, place: np.ndarray, weights: np.ndarray, long: np.ndarray, rough: np.ndarray, open_blocks: np.ndarray, least: float, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, exact scores) in the open blocks that reach ``least`` and may be among the k best there.
+
+        ``long``: the query's weights by column; ``rough``: what they come to in each document, in single precision.
+        """
+        rare = (place >= 0) & (self.column[place] < 0)
+        place, weights = place[rare], weights[rare]
+        begin = self.ends[place]
+        n = self.ends[place + 1] - begin
+        total = np.cumsum(n)
+        index = np.repeat(begin - (total - n), n)
+        index += self.count[: len(index)]
+        acc = np.bincount(self.doc[index], self.impact[index] * np.repeat(weights, n), self.size)
+        rough = rough + acc
+        if not open_blocks.all():
+            rough[~np.repeat(open_blocks, BLOCK_DOCS)[: self.size]] = 0.0
+        if self.size > k:
+            least = max(least, np.partition(rough, -k)[-k] * (1 - LOSS) - 10.0**-DECIMALS)
+        found = np.flatnonzero((rough >= least * (1 - LOSS)) & (rough > 0))
+        return found, np.round(acc[found] + self.dense[found] @ long, DECIMALS)
+
+
+def best_of(found: list[tuple], k: int) -> list[tuple]:
+    """The k best of (score, doc_id): high scores first, then small ids, null last."""
+    return sorted(found, key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1]))[:k]
+
+
+def _searched(shared, mean: float):
     def run(batches):
-        ids, terms, weights, mean = block.value
-        for big in batches:
-            for batch in in_slices(big, "text", SHARD_BYTES):
-                shard = Shard(batch["text"], mean)
-                query, doc, score = [], [], []
-                for i, (t, w) in enumerate(zip(terms, weights)):
-                    found, scores = shard.top(t, w, k)
-                    query += [ids[i]] * len(found)
-                    doc.append(found)
-                    score.append(scores)
-                doc, score = (np.concatenate(x) if x else np.zeros(0) for x in (doc, score))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query, batch["doc_id"].type), batch["doc_id"].take(pa.array(doc, pa.int64())), pa.array(score, pa.float64())],
-                    ["query", "doc_id", "score"],
-                )
+        block = shared.value
+        k = block.k
+        best: list[list[tuple]] = [[] for _ in block.ids]
+        least = block.least.copy()
+        id_type = None
+        for batch in batches:
+            id_type = batch["ids"].type.value_type
+            for row in batch.select(["ids", "terms", "lengths", "sizes", "docs", "counts"]).to_pylist():
+                numbers = [unpacked(row[c]).astype(np.int64) for c in ("lengths", "sizes", "docs", "counts")]
+                shard = Shard(numbers[0], np.frombuffer(row["terms"], np.uint64), *numbers[1:], block.words, mean)
+                ids = row["ids"]
+                # The pivot test: the maxima of a query's lists, wherever in the shard they are.
+                tops = shard.most.max(axis=1, initial=0)[shard.place[block.own]] * block.weights
+                hope = np.bincount(block.query, tops, len(block.ids)) * (1 + LOSS) >= least
+                for at in range(0, len(block.ids), TOGETHER):
+                    some = slice(at, min(at + TOGETHER, len(block.ids)))
+                    if not hope[some].any():
+                        continue
+                    bounds = shard.bounds(block, some)
+                    open_ = (bounds > 0) & (bounds * (1 + LOSS) >= least[some, None]) & hope[some, None]
+                    long = shard.columns(block, some)
+                    some_open = np.flatnonzero(open_.any(axis=1))
+                    rough = long[some_open].astype(np.float32) @ shard.rough
+                    for i, r in zip(some_open.tolist(), rough):
+                        q = at + i
+                        mine = slice(block.ends[q], block.ends[q + 1])
+                        docs, scores = shard.scored(shard.place[block.own[mine]], block.weights[mine], long[i], r, open_[i], least[q], k)
+                        keep = scores >= least[q]
+                        if keep.any():
+                            new = [(s, ids[d]) for s, d in zip(scores[keep].tolist(), docs[keep].tolist())]
+                            best[q] = best_of(best[q] + new, k)
+                            if len(best[q]) == k:
+                                least[q] = max(least[q], best[q][-1][0])
+        rows = [(block.ids[q], d, s) for q, found in enumerate(best) for s, d in found]
+        if rows:
+            query, doc, score = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query, id_type), pa.array(doc, id_type), pa.array(score, pa.float64())], ["query", "doc_id", "score"]
+            )
 
     return run
 
 
+def indexed(docs: DataFrame) -> DataFrame:
+    """The index of ``docs`` (doc_id, text): a row for each shard, with the wave that searches it."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    blobs = ", ".join(f"{c} binary" for c in ("terms", "lengths", "sizes", "docs", "counts"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    shards = rows.mapInArrow(_indexed, f"shard long, ids array<{id_type}>, n long, words long, {blobs}")
+    place = F.pmod(F.xxhash64("shard"), F.lit(WAVES[-1]))
+    wave = F.lit(0)
+    for share in WAVES[:-1]:
+        wave = wave + (place >= share).cast("int")
+    return cut(shards.withColumn("wave", wave))
+
+
 def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query, rank, doc_id and score: the k best rows of ``docs`` for every row of ``queries`` (doc_id, text).
 
-    Words are lower-cased (A-Z); a term that a query repeats counts as often. Ties
-    go to the smaller doc_id, null last. A query without words, or without a word
-    that any document has, gets no rows; repeated documents are ranked each, and
-    repeated queries are answered once each if their doc_ids differ. A null text
-    is empty, other columns are ignored. Queries go to the shards in blocks of
-    ``query_bytes``; the documents are read twice for each block.
+    Words are lower-cased (A-Z); a term that a query repeats counts as often. Scores
+    have six decimals; ties of these go to the smaller doc_id, null last. A query
+    without words, or without a word that any document has, gets no rows; repeated
+    documents are ranked each; of queries that share a doc_id, the one whose terms
+    sort first is answered. A null text is empty, other columns are ignored. The
+    documents are read once; the index is read once for each block of queries.
     """
     session = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    text = F.col("text").cast("string").alias("text")
-    rows, asked = docs.select("doc_id", text), queries.select("doc_id", text)
-    listed = asked.mapInArrow(_queries, f"query {id_type}, terms binary, counts binary, n long")
-    # Blocks of queries by a hash; their number follows from the bytes of all of them.
-    listed = cut(listed.where("n > 0").dropDuplicates(["query"]))
-    total = listed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 12
+    index = indexed(docs)
+    n, words = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    mean = words / n if words else 1.0
+    counts = index.select("terms", "sizes").mapInArrow(_list_sizes, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    asked = queries.select("doc_id", F.col("text").cast("string").alias("text"))
+    listed = asked.mapInArrow(_queries, f"query {id_type}, terms array<long>, counts array<long>").where("size(terms) > 0")
+    listed = listed.groupBy("query").agg(F.min(F.struct("terms", "counts")).alias("q"))
+    each = listed.select("query", F.explode(F.arrays_zip("q.terms", "q.counts")).alias("t")).select("query", F.col("t.terms").alias("term"), F.col("t.counts").alias("count"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = dealt_anew(each, counts, "term").select("query", F.struct("term", (F.col("count") * idf).alias("weight")).alias("t"))
+    ready = cut(weighed.groupBy("query").agg(F.sort_array(F.collect_list("t")).alias("t")))
+    total = ready.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0] * 16
     blocks = max(1, -(-total // query_bytes))
-    listed = listed.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    out = None
+    ready = ready.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    folder = f"{shared_folder(session)}/cut-{uuid.uuid4().hex}"
+    schema = f"query {id_type}, doc_id {id_type}, score double"
     for number in range(blocks):
-        block = sorted(listed.where(F.col("block") == number).drop("block").collect(), key=lambda r: (r["query"] is None, r["query"]))
-        terms = [np.frombuffer(r["terms"], np.uint64) for r in block]
-        wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]))
-        shared = session.sparkContext.broadcast(wanted)
-        stats = (
-            rows.mapInArrow(_frequencies(shared), "slice int, found binary, texts long, words long")
-            .groupBy("slice")
-            .applyInArrow(_added, "slice int, found binary, texts long, words long")
-            .orderBy("slice")
-            .collect()
-        )
-        n = stats[0]["texts"] if stats else 0
-        mean = stats[0]["words"] / n if n else 1.0
-        df = np.concatenate([np.zeros(0, np.int64), *(unpacked(s["found"]).astype(np.int64) for s in stats[1:])])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)) if len(df) else np.zeros(0)
-        weights = [unpacked(r["counts"]) * idf[np.searchsorted(wanted, t)] for r, t in zip(block, terms)] if len(df) else [np.zeros(len(t)) for t in terms]
-        ready = session.sparkContext.broadcast(([r["query"] for r in block], terms, weights, mean or 1.0))
-        found = rows.mapInArrow(_searched(ready, k, id_type), f"query {id_type}, doc_id {id_type}, score double")
-        out = found if out is None else out.unionByName(found)
+        rows = ready.where(F.col("block") == number).select("query", "t.term", "t.weight").toArrow()
+        lists = [[np.asarray(x) for x in rows[c].to_pylist()] for c in ("term", "weight")]
+        block = Block(rows["query"].to_pylist(), [t.astype(np.int64).view(np.uint64) for t in lists[0]], lists[1], k)
+        of = {q: i for i, q in enumerate(block.ids)}
+        earlier = None
+        for wave in range(len(WAVES)):
+            shared = session.sparkContext.broadcast(block)
+            found = cut(index.where(F.col("wave") == wave).select("ids", "terms", "lengths", "sizes", "docs", "counts").mapInArrow(_searched(shared, mean), schema))
+            shared.destroy()
+            earlier = found if earlier is None else earlier.unionByName(found)
+            if wave + 1 < len(WAVES):
+                # The k-th best so far of each query of the block: as many numbers as it has queries.
+                kth = earlier.groupBy("query").agg(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("kth"))
+                for row in kth.where("kth IS NOT NULL").collect():
+                    block.least[of[row["query"]]] = row["kth"]
+        earlier.write.mode("append").parquet(folder)
+    drop(ready)
+    out = session.read.schema(schema).parquet(folder)
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score")

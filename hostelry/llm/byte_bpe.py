@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import zlib
 from array import array
 
@@ -24,10 +23,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostelry.llm.arrays import gathered, in_slices, per_process
+from hostelry.llm.arrays import gathered, in_slices, packed, per_process, unpacked
+from hostelry.llm.token_counts import AFTER_SPACE, UNIT
 
-UNIT = re.compile(r"\s*\S+|\s+")
-AFTER_SPACE = re.compile(r"\s ")
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 5 << 20
 
@@ -55,17 +53,6 @@ class Numbered(dict):
         return n
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 def packed_words(words: list[bytes]) -> bytes:
     head = np.array([len(words), *map(len, words)], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(words))

@@ -3,7 +3,7 @@
 Every distinct shingle has a place in one global order: by how many documents
 have it, rare ones first (counted for all documents by a hash of 32 bits and
 kept as a bounded list of classes), then by its hash. The order is cut into
-fragments.
+fragments that hold about as many shingles each.
 
 Two sets that are similar enough share a shingle among the first few of both in
 the global order; those prefixes give candidate pairs. A histogram of each set's
@@ -12,8 +12,9 @@ rest, overlaps are counted in each fragment separately and summed per pair, whic
 decides exactly.
 
 Equal sets are one node. Pairs are not listed within what is already known to be
-one component: candidates first link to one leader of each prefix shingle, and
-only shingles that still join different components are paired out in full.
+one component: in rounds, each set tries a few leaders of its prefix shingles,
+other ones each time, and only shingles that still join different components are
+paired out in full.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import in_slices, mixed, powers, text_bytes, word_hashes, word_spans
-from hostelry.llm.byte_bpe import packed, unpacked
-from hostelry.llm.components import components
+from hostelry.llm.arrays import in_slices, mixed, packed, powers, text_bytes, unpacked, word_hashes, word_spans
+
+from hostelry.llm.components import components, dealt_anew
 
 #: Words of a shingle; the similarity as a fraction of integers.
 WORDS, PART, WHOLE = 5, 80, 100
@@ -37,7 +38,7 @@ COUNTED = 4 << 20
 LEAST_CLASS, MOST_HOT = 4, 2_000_000
 #: Bits of the map of shingles that more than one document may have; a fixed 16 MB.
 MAP_BITS = 27
-FRAGMENTS, FINE = 16, 256
+FRAGMENTS, FINE = 4, 256
 #: Rows of ids that are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -130,8 +131,8 @@ def _classes(parts: int):
     return run
 
 
-def global_order(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(map of shingles that are not unique, hot hashes, their classes); of fixed size at most."""
+def global_order(docs: DataFrame, parts: int, total: int) -> tuple[np.ndarray, ...]:
+    """(map of shingles that are not unique, hot hashes, their classes, places that cut the order); of fixed size at most."""
     found = cut(
         docs.select("text")
         .mapInArrow(_bucketed(parts), "part int, blob binary")
@@ -144,16 +145,34 @@ def global_order(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, n
         own = np.packbits(np.concatenate([np.zeros(row["first"] % 8, np.uint8), bits]))
         shared[row["first"] // 8 : row["first"] // 8 + len(own)] |= own
     sizes = {r["kind"]: r["n"] for r in found.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least, total = max(sizes, default=0) + 1, 0
-    while least - 1 in range(LEAST_CLASS, 64) and total + sizes.get(least - 1, 0) <= MOST_HOT:
-        least, total = least - 1, total + sizes.get(least - 1, 0)
+    least, listed = max(sizes, default=0) + 1, 0
+    while least - 1 in range(LEAST_CLASS, 64) and listed + sizes.get(least - 1, 0) <= MOST_HOT:
+        least, listed = least - 1, listed + sizes.get(least - 1, 0)
     hashes, kinds = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
     for row in found.where(F.col("kind") >= least).toLocalIterator():
         hashes.append(unpacked(row["blob"]))
         kinds.append(np.full(row["n"], row["kind"], np.uint8))
     hash_, kind = np.concatenate(hashes), np.concatenate(kinds)
     order = np.argsort(hash_)
-    return shared, hash_[order], kind[order]
+    # A class of log2 k has 1.5 * 2**k documents in the mean; the rest of all shingles are unlisted ones, of class 0.
+    mass = {k: 1.5 * 2.0**k * n for k, n in sorted(sizes.items()) if k >= least}
+    mass = {0: max(total - sum(mass.values()), 1.0)} | mass
+    ends = np.cumsum(list(mass.values()))
+    wanted = ends[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+    at = np.searchsorted(ends, wanted)
+    share = (wanted - np.append(0, ends)[at]) / np.array(list(mass.values()))[at]
+    return shared, hash_[order], kind[order], np.array(list(mass))[at] + share
+
+
+def kinds_of(short: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The class of each 32-bit hash in the global order; 0 for those that are not listed."""
+    _, hot, kinds, _ = order
+    kind = np.zeros(len(short), np.uint8)
+    if len(hot):
+        found = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
+        same = hot[found] == short
+        kind[same] = kinds[found[same]]
+    return kind
 
 
 def _named(batches):
@@ -170,9 +189,7 @@ def _prefixed(order):
     """For each text: its set's size, id, histogram and those prefix shingles that another text may have."""
 
     def run(batches):
-        shared, hot, kinds = order.value
-        may_be_hot = np.zeros(1 << 16, bool)
-        may_be_hot[hot >> np.uint32(16)] = True
+        shared = order.value[0]
         for big in batches:
             for batch in in_slices(big, "text"):
                 n, ids, hist, keys, places = [], [], [], [], []
@@ -184,11 +201,7 @@ def _prefixed(order):
                         hist.append(None), keys.append(None), places.append(None)
                         continue
                     short = (values >> np.uint64(32)).astype(np.uint32)
-                    kind = np.zeros(size, np.uint8)
-                    if len(hot):
-                        at = np.flatnonzero(may_be_hot[short >> np.uint32(16)])
-                        found = np.minimum(np.searchsorted(hot, short[at]), len(hot) - 1)
-                        kind[at] = np.where(hot[found] == short[at], kinds[found], 0)
+                    kind = kinds_of(short, order.value)
                     prefix = size - -(-PART * size // WHOLE) + 1
                     first = np.argsort(kind, kind="stable")[:prefix]
                     bit = short[first] >> np.uint32(32 - MAP_BITS)
@@ -216,21 +229,26 @@ def _near(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "n_a", "n_b"])
 
 
-def _fragmented(batches):
-    """The set of each text, cut into fragments."""
-    width = 64 - FRAGMENTS.bit_length() + 1
-    for big in batches:
-        for batch in in_slices(big, "text"):
-            rows = []
-            for node, own, values in zip(batch["node"].to_pylist(), batch["set_id"].to_pylist(), shingle_sets(batch["text"])):
-                if own != set_id(values):
-                    continue
-                cuts = np.searchsorted(values >> np.uint64(width), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                rows += [(node, f, values[cuts[f] : cuts[f + 1]].tobytes()) for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1]]
-            node, fragment, blob = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(blob, pa.binary())], ["node", "fragment", "blob"]
-            )
+def _fragmented(order):
+    """The set of each text, cut into fragments of the global order."""
+
+    def run(batches):
+        pivots = order.value[3]
+        for big in batches:
+            for batch in in_slices(big, "text"):
+                rows = []
+                for node, own, values in zip(batch["node"].to_pylist(), batch["set_id"].to_pylist(), shingle_sets(batch["text"])):
+                    if own != set_id(values):
+                        continue
+                    place = kinds_of((values >> np.uint64(32)).astype(np.uint32), order.value) + values / 2.0**64
+                    fragment = np.searchsorted(pivots, place, "right")
+                    rows += [(node, int(f), values[fragment == f].tobytes()) for f in np.unique(fragment)]
+                node, fragment, blob = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(blob, pa.binary())], ["node", "fragment", "blob"]
+                )
+
+    return run
 
 
 def _overlapping(batches):
@@ -247,8 +265,8 @@ def _overlapping(batches):
 
 PAIR = "a long, b long, n_a long, n_b long"
 HEADS = ("a", "b", "n_a", "n_b")
-#: Rounds in which each set tries one leader, before pairs across components are listed.
-ROUNDS = 2
+#: How many leaders each set tries in each round, before pairs across components are listed.
+ROUNDS = (1, 4, 8)
 
 
 def within(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -264,17 +282,14 @@ class Join:
         session = docs.sparkSession
         id_type = docs.schema["doc_id"].dataType.simpleString()
         self.texts = cut(self.docs.mapInArrow(_named, f"doc_id {id_type}, n long, set_id binary"))
-        # Equal sets are one node: copies meet here once for each task.
-        first = self.texts.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("first"))
-        copies = (
-            self.texts.join(first, "set_id")
-            .groupBy("doc_id")
-            .agg(F.max(F.col("doc_id").eqNullSafe(F.col("first"))).alias("is_first"))
-            .where(~F.col("is_first"))
-        )
-        distinct = within(self.docs, cut(copies.select("doc_id")), "left_anti")
-        order = session.sparkContext.broadcast(
-            global_order(distinct, int(session.conf.get("spark.sql.shuffle.partitions")))
+        # Equal sets are one node: of copies only the smallest doc_id of a set goes on.
+        named = self.texts.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
+        first = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        copies = named.select("doc_id").join(first, "doc_id", "left_anti").distinct()
+        distinct = within(self.docs, cut(copies), "left_anti")
+        total = self.texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        order = self.order = session.sparkContext.broadcast(
+            global_order(distinct, int(session.conf.get("spark.sql.shuffle.partitions")), total)
         )
         prefixed = cut(
             distinct.mapInArrow(
@@ -284,7 +299,6 @@ class Join:
             .where(F.col("set_id").isNotNull())
             .withColumn("node", F.monotonically_increasing_id())
         )
-        order.unpersist()
         # Repeated rows of a first document are left: one node of each set stays, of the smallest doc_id.
         smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
         kept = prefixed.groupBy("set_id").agg(smallest["node"].alias("node")).select("node")
@@ -295,7 +309,7 @@ class Join:
             F.col("e.keys").alias("key"), "node", "n", F.col("e.places").alias("place")
         )
         shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-        self.entries = cut(entries.join(shared, "key"))
+        self.entries = cut(dealt_anew(entries, shared, "key"))
 
     def open_entries(self, entries: DataFrame, known: DataFrame | None) -> DataFrame:
         """Of ``entries`` those of prefix shingles that sets of different components have, with their components."""
@@ -303,18 +317,29 @@ class Join:
             return entries.withColumn("component", F.col("node"))
         owned = entries.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         keys = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return cut(owned.join(keys, "key"))
-
-    def led(self, entries: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """For each set one pair with a leader of another component: that with which it shares most prefix shingles."""
-        leader = entries.groupBy("key").agg(F.min(F.struct("component", "node", "n")).alias("first"))
-        pairs = entries.join(leader, "key").where(F.col("first.component") != F.col("component"))
-        pairs = pairs.select(
+        return cut(dealt_anew(owned, keys, "key"))
+
+    def led(self, entries: DataFrame, tested: DataFrame | None, turn: int, most: int) -> DataFrame:
+        """For each set at most ``most`` pairs with leaders of other components: those with which it shares most prefix shingles.
+
+        A shingle's leaders are the sets with the least and the greatest hash; each turn hashes anew.
+        """
+        place = F.xxhash64("node", F.lit(turn)) if turn else F.col("component")
+        own = F.struct(place.alias("place"), "component", "node", "n")
+        leaders = entries.groupBy("key").agg(F.array(F.min(own), F.max(own)).alias("leaders"))
+        pairs = dealt_anew(entries, leaders, "key").select("node", "n", "component", F.explode("leaders").alias("first"))
+        pairs = pairs.where(F.col("first.component") != F.col("component")).select(
             F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b")
-        ).where(alike_in_size("n_a", "n_b"))
-        counted = untested(pairs.groupBy(*HEADS).count(), tested)
-        best = counted.groupBy("b").agg(F.max(F.struct("count", "a", "n_a", "n_b")).alias("p"))
-        return best.select("p.a", "b", "p.n_a", "p.n_b")
+        )
+        counted = untested(pairs.where(alike_in_size("n_a", "n_b")).groupBy(*HEADS).count(), tested)
+        listed = F.collect_list(F.struct("count", "a", "n_a", "n_b"))
+        best = counted.groupBy("b").agg(F.slice(F.sort_array(listed, asc=False), 1, most).alias("best"))
+        best = best.select("b", F.explode("best").alias("p")).select("p.a", "b", "p.n_a", "p.n_b")
+        # A pair may come both ways round.
+        return best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+            F.max(F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b"))).alias("n_a"),
+            F.max(F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a"))).alias("n_b"),
+        )
 
     def across(self, entries: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Every candidate pair of sets in different components."""
@@ -337,12 +362,9 @@ class Join:
         segments = (
             within(self.docs, wanted, "inner")
             .select("node", "set_id", "text")
-            .mapInArrow(_fragmented, "node long, fragment int, blob binary")
-        )
-        fragments = near.select(*HEADS, F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-        met = fragments.join(segments.toDF("a", "fragment", "blob_a"), ["a", "fragment"]).join(
-            segments.toDF("b", "fragment", "blob_b"), ["b", "fragment"]
+            .mapInArrow(_fragmented(self.order), "node long, fragment int, blob binary")
         )
+        met = near.join(segments.toDF("a", "fragment", "blob_a"), "a").join(segments.toDF("b", "fragment", "blob_b"), ["b", "fragment"])
         shared = met.select(*HEADS, "fragment", "blob_a", "blob_b").mapInArrow(_overlapping, f"{PAIR}, fragment int, shared long")
         total = shared.groupBy(*HEADS, "fragment").agg(F.max("shared").alias("shared")).groupBy(*HEADS).agg(F.sum("shared").alias("shared"))
         similar = WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))
@@ -387,9 +409,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     """``classes`` with set_id (null: no shingles) and component (null likewise), which tells components of one doc_id apart."""
     join = Join(docs)
     links, known, tested, entries = None, None, None, join.entries
-    for step in [join.led] * ROUNDS + [join.across]:
+    for turn, most in enumerate((*ROUNDS, None)):
         entries = join.open_entries(entries, known)
-        pairs = cut(step(entries, tested))
+        pairs = cut(join.led(entries, tested, turn, most) if most else join.across(entries, tested))
         if pairs.isEmpty():
             continue
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
@@ -400,8 +422,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     if known is not None:
         owned = join.sets.select("set_id", "doc_id", "node").join(known, "node", "left")
         by_set = owned.select("set_id", "doc_id", F.coalesce("component", "node").alias("component"))
+    join.order.destroy()
     least = by_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = by_set.join(least, "component").select("set_id", "component", "component_id")
+    by_set = dealt_anew(by_set, least, "component").select("set_id", "component", "component_id")
     out = join.texts.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", "set_id", "component", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

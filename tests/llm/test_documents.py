@@ -232,25 +232,28 @@ def test_quality_of_nothing(none):
 def test_scores(docs):
     texts = docs.select("doc_id", "text").collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    single, pairs = Counter(), Counter()
+    single, grams = Counter(), Counter()
     for r in texts:
         if not held(r.doc_id):
             w = [*lowered(r.text), None]
             single.update(w)
-            pairs.update(zip([0, *w[:-1]], w))
+            grams.update(zip([0, *w[:-1]], w))
+            grams.update(zip([0, *w[:-2]], w[:-1], w[1:]))
     n, v = sum(single.values()), len(single)
     context, kinds = Counter(), Counter()
-    for (a, _), c in pairs.items():
-        context[a] += c
-        kinds[a] += 1
-    got = by_id(ngram_trie.scores(docs, block_bytes=3000))
+    for (*h, _), c in grams.items():
+        context[tuple(h)] += c
+        kinds[tuple(h)] += 1
+    got = by_id(ngram_trie.scores(docs, block_bytes=3000, parts=5))
     assert sum(map(len, got.values())) == len(texts)
     for r in texts:
         w = [*lowered(r.text), None]
         p1 = [(single[t] + 1) / (n + v + 1) for t in w]
         full = 0.0
-        for a, b, p in zip([0, *w[:-1]], w, p1):
-            full += math.log10((pairs[a, b] + kinds[a] * p) / (context[a] + kinds[a]) if context[a] else p)
+        for i, p in enumerate(p1):
+            for h in ((0, *w)[i : i + 1], (0, *w)[i - 1 : i + 1] if i else ()):
+                p = (grams[(*h, w[i])] + kinds[h] * p) / (context[h] + kinds[h]) if h and context[h] else p
+            full += math.log10(p)
         for row in got[r.doc_id]:
             assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (held(r.doc_id), len(w), sum(single[t] > 0 for t in w), n)
             assert abs(row.base_score - sum(map(math.log10, p1))) < 1e-9 * len(w) * 10
@@ -259,12 +262,28 @@ def test_scores(docs):
 
 def test_elias_fano_finds_what_it_holds():
     rng = np.random.default_rng(2)
-    for universe, size in ((1 << 64, 5000), (1 << 20, 3000), (10, 10), (1 << 40, 1), (5, 0)):
-        values = np.unique(rng.integers(0, universe, size, dtype=np.uint64, endpoint=False))
-        trie = ngram_trie.EliasFano(ngram_trie.EliasFano.coded(values, universe))
-        assert (trie.find(values) == np.arange(len(values))).all()
+    dense = np.arange(3000, dtype=np.uint64) + np.uint64(7)
+    sets = [np.unique(rng.integers(0, u, n, dtype=np.uint64, endpoint=False)) for u, n in ((1 << 64, 5000), (1 << 20, 3000), (10, 10), (1 << 40, 1), (5, 0))]
+    for universe, values in [*zip((1 << 64, 1 << 20, 10, 1 << 40, 5), sets), (1 << 40, dense)]:
+        coded = ngram_trie.EliasFano(ngram_trie.EliasFano.coded(values, universe))
+        assert (coded.find(values) == np.arange(len(values))).all()
+        assert (coded.at(np.arange(len(values))) == values).all()
         others = np.setdiff1d(rng.integers(0, universe, 500, dtype=np.uint64, endpoint=False), values)
-        assert (trie.find(others) == -1).all()
+        assert (coded.find(others) == -1).all()
+
+
+def test_numbers_of_more_than_32_bits_survive():
+    from hostelry.llm.arrays import packed, unpacked
+
+    for values in ([], [0], [255, 256], [5_000_000_000, 1], [(1 << 64) - 1], [1 << 32]):
+        assert unpacked(packed(np.array(values, np.uint64))).tolist() == values
+    # Successors of more than 2**24 parents, some of them without any.
+    parents = (1 << 24) + 5000
+    parent = np.repeat(np.array([0, 3, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, parents - 1]), 3)
+    name = np.tile(np.array([2, 5, 40_000_000]), 6)
+    level = ngram_trie.Level(ngram_trie.Level.coded(parent, name, parents))
+    assert (level.find(parent, name) == np.arange(18)).all()
+    assert (level.find(parent, name + 1) == -1).all() and (level.find(np.array([1, 2, 1 << 23, -1]), np.array([2, 2, 2, 2])) == -1).all()
 
 
 def test_scores_of_nothing(none):
@@ -302,15 +321,38 @@ def test_pruning_keeps_the_best():
     rng = np.random.default_rng(7)
     words = np.array([f"t{i}" for i in range(400)])
     texts = [" ".join(words[np.minimum(rng.geometric(0.02, rng.integers(5, 60)), 399)]) for _ in range(3000)]
-    shard = bm25_search.Shard(pa.array(texts), 30.0)
-    for q in range(20):
-        _, terms, counts, _ = bm25_search.terms_of(pa.array([texts[q]]))
-        weights = counts * 1.0
-        found, scores = shard.top(terms, weights, 10)
-        at = np.searchsorted(shard.terms, terms)
-        every = shard.added(np.zeros(shard.size), shard.list_ends, at, weights)
-        best = np.sort(every)[::-1][:10]
-        assert np.allclose(np.sort(scores)[::-1][:10], best)
+    text, term, count, lengths = bm25_search.terms_of(pa.array(texts))
+    by_term = np.lexsort((text, term))
+    terms, sizes = np.unique(term, return_counts=True)
+    asked = [np.flatnonzero(text == q) for q in range(20)]
+    block = bm25_search.Block(list(range(20)), [term[a] for a in asked], [count[a] * 1.0 for a in asked], 10)
+    shard = bm25_search.Shard(lengths, terms, sizes, text[by_term], count[by_term], block.words, 30.0)
+    bounds, long = shard.bounds(block, slice(0, 20)), shard.columns(block, slice(0, 20))
+    rough = long.astype(np.float32) @ shard.rough
+    impact = bm25_search.impacts(count, lengths[text], 30.0)
+    pruned = 0
+    for q, a in enumerate(asked):
+        weight = dict(zip(term[a].tolist(), (count[a] * 1.0).tolist()))
+        every = np.zeros(3000)
+        np.add.at(every, text, impact * np.array([weight.get(t, 0.0) for t in term.tolist()]))
+        size = bm25_search.BLOCK_DOCS
+        most = np.array([every[i : i + size].max() for i in range(0, 3000, size)])
+        assert (bounds[q] * (1 + bm25_search.LOSS) >= most).all()
+        least = np.sort(every)[-10]
+        open_blocks = bounds[q] >= least
+        pruned += (~open_blocks).sum()
+        mine = slice(block.ends[q], block.ends[q + 1])
+        docs, scores = shard.scored(shard.place[block.own[mine]], block.weights[mine], long[q], rough[q], open_blocks, least, 10)
+        assert np.allclose(scores, every[docs], atol=1e-6)
+        assert np.allclose(np.sort(scores)[::-1][:10], np.sort(every)[::-1][:10], atol=1e-6)
+
+
+def test_search_prefers_small_ids_among_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(bm25_search, "SHARD_DOCS", 50)
+    rows = [(i, "one two three four") for i in range(400)] + [(1000 + i, f"one other{i} words{i} here") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = bm25_search.search(frame, frame.where("doc_id IN (5, 1007)"), k=5).orderBy("query", "rank").collect()
+    assert [r.doc_id for r in got[:5]] == [0, 1, 2, 3, 4] and got[5].doc_id == 1007 and len(got) == 10
 
 
 def test_search_of_nothing(docs, none):

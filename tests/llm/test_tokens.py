@@ -28,18 +28,36 @@ def count(library, text):
     return len(library.encode(text, add_special_tokens=False).ids)
 
 
+def composed(counter, text, size, before, after=64):
+    """(tokens, whether every chunk got the state it expected)."""
+    maps = [
+        counter.chunk_map(text[max(i - before, 0) : i], text[i : i + size], text[i + size : i + size + after], i <= before)
+        for i in range(0, max(len(text), 1), size)
+    ]
+    return sum(n for n, _, _ in maps), all(x[2] == y[1] for x, y in zip(maps, maps[1:]))
+
+
 def test_transducer_and_chunk_maps_on_mixed_texts(counter, library):
     random.seed(1)
-    pool = ["a", "th", "the", " ", "  ", "\n", "\t", "'s", "<|endoftext|>", "é", "1", "23", "!!", "aaaa", "漢", "😀", " ", " x", "ing", "\r\n", "\0", "\x1c"]
-    for _ in range(600):
+    pool = ["a", "th", "the", " ", "  ", "\n", "\t", "'s", "<|endoftext|>", "é", "1", "23", "!!", "aaaa", "漢", "😀", " ", " x", "ing", "\r\n", "\0", "\x1c"]
+    sure = 0
+    for _ in range(1500):
         text = "".join(random.choice(pool) for _ in range(random.randint(0, 40)))
-        size = random.randint(1, 9)
-        parts = [counter.chunk_map(text[i : i + size]) for i in range(0, len(text), size)]
-        halves = [counter.composed(parts[: len(parts) // 2]), counter.composed(parts[len(parts) // 2 :])]
         want = count(library, text)
         assert counter.whole(text) == want
-        assert counter.applied(counter.composed(parts)) == want
-        assert counter.applied(counter.composed(halves)) == want
+        size = random.randint(1, 9)
+        assert composed(counter, text, size, len(text)) == (want, True)
+        got, fits = composed(counter, text, size, random.randint(1, 30))
+        sure += fits
+        assert got == want or not fits
+    assert sure > 700
+
+
+def test_runs_without_a_boundary_compose(counter, library):
+    random.seed(2)
+    for alphabet in ("ab", "etaoins", "0123", "=-", " ", " \n", "é漢"):
+        text = "".join(random.choice(alphabet) for _ in range(12_000)) + "x."
+        assert composed(counter, text, 3000, 1024) == (count(library, text), True)
 
 
 def test_long_runs(counter, library):
@@ -54,7 +72,7 @@ def test_states_are_bounded(library):
     assert small.whole(text) == count(library, text)
 
 
-@pytest.mark.parametrize("chunk", [7, 32_768])
+@pytest.mark.parametrize("chunk", [90, 32_768])
 def test_counts(docs, library, chunk):
     got = token_counts.token_counts(docs, JSON, P.PATTERN, chunk_chars=chunk).collect()
     want = [(r.doc_id, len((r.text or "").encode()), count(library, r.text or "")) for r in docs.collect()]
@@ -63,6 +81,22 @@ def test_counts(docs, library, chunk):
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
+def test_counts_where_no_guess_is_right(docs, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "BEFORE", (1, 2))
+    some = docs.where("length(text) < 250")
+    got = token_counts.token_counts(some, JSON, P.PATTERN, chunk_chars=40).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(count(library, r.text) for r in some.collect())
+
+
+def test_a_text_of_50_mb_without_spaces(spark, counter):
+    # Every 1,048,575 characters are the same run of letters, which the slash ends.
+    frame = spark.range(1).selectExpr("id AS doc_id", "repeat(concat(repeat('abcdefgh', 131071), 'abcdefg/'), 50) AS text")
+    got = token_counts.token_counts(frame, JSON, P.PATTERN).first()
+    assert got.n_bytes == 50 << 20
+    once = counter.whole("abcdefgh" * 131071 + "abcdefg/")
+    assert got.n_tokens == 50 * once
+
+
 def test_no_rows(none):
     assert token_counts.token_counts(none, JSON, P.PATTERN).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(none, RANKS, P.PATTERN), RANKS).count() == 0
