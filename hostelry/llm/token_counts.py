@@ -7,31 +7,42 @@ one next state and emits the change in the token count (a merge takes tokens
 back, so it may be negative). States are made when first reached and kept up to
 a bound, as regular-expression engines do.
 
-A long text is cut into chunks. Each chunk's state map is a triple: the text up
-to its first certain boundary, whose cost depends on the state that enters; the
-tokens between, which do not; and the text after the last boundary, which stands
-for the state that leaves. Maps compose associatively, so chunks of one text are
-counted in parallel and scanned in order afterwards.
+A long text is cut into chunks, which are mapped in parallel. A chunk's map takes
+the state that enters (how far the current pre-token began before it, and the
+transducer's state there) to the state that leaves and the tokens emitted between.
+States of a transducer that forgets what lies some hundred characters back are few:
+the entering one is read off the characters before the chunk, from the last certain
+boundary among them, or, in a run that has none, from some way into it. Maps compose
+if the state that one expects is the state that the one before leaves, which a scan
+over the chunks' numbers checks; no two chunks' texts ever meet. Texts where a
+guess was wrong are mapped again from further back, at last from their begin.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostelry.functions.storage import cut
 from hostelry.llm.arrays import per_process
 
 #: Between a character that is not white space and one that is, a pre-token always ends.
-BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
-UNIT = re.compile(r"\s*\S+|\s+")
+#: The pattern's white space leaves out four control characters that Python's has.
+BOUNDARY = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
+UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Without this, every space follows a character that is not white space.
 AFTER_SPACE = re.compile(r"\s ")
 CHUNK = 32_768
+#: Characters before a chunk that its entering state is read off, by round; and those after it that may decide a boundary.
+BEFORE, AFTER = (1024, 65_536), 64
+#: A pre-token that began further back than this is told apart by the transducer's state alone.
+MEMORY = BEFORE[0]
 MAX_STATES = 200_000
 MAX_UNITS = 300_000
 
@@ -122,7 +133,8 @@ class Transducer:
         move = self.moves[state][byte] = (to, delta)
         return move
 
-    def count(self, text: bytes) -> int:
+    def run(self, text: bytes) -> tuple[int, tuple]:
+        """Tokens of a pre-token, or of the first part of one, and the state after it."""
         if len(self.states) > self.max_states:
             self.reset()
         state = total = 0
@@ -130,7 +142,7 @@ class Transducer:
         for byte in text:
             state, delta = moves[state].get(byte) or self.step(state, byte)
             total += delta
-        return total
+        return total, self.states[state]
 
 
 class Units(dict):
@@ -153,7 +165,7 @@ class Units(dict):
         n = len(parts) - 1
         for part in parts:
             for piece in self.pattern.findall(part):
-                n += self.transducer.count(piece.encode())
+                n += self.transducer.run(piece.encode())[0]
         if len(unit) < 64:
             self[unit] = n
         return n
@@ -175,33 +187,46 @@ class Counter:
             units = text.replace(" ", "\0 ").split("\0") if "\0" not in text else UNIT.findall(text)
         return sum(map(self.units.__getitem__, units))
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(text before the first boundary, tokens between, text after the last); no boundary: (text, None, "")."""
-        cuts = [m.start() for m in BOUNDARY.finditer(text)] if text else []
-        if not cuts:
-            return text, None, ""
-        return text[: cuts[0]], self.whole(text[cuts[0] : cuts[-1]]), text[cuts[-1] :]
-
-    def composed(self, maps) -> tuple[str, int | None, str]:
-        """The map of chunks in order; associative."""
-        head, count, tail = [], None, []
-        for h, c, t in maps:
-            if count is None:
-                head.append(h)
-                if c is not None:
-                    count, tail = c, [t]
-            else:
-                tail.append(h)
-                if c is not None:
-                    # Where one chunk's end meets the next one's start there may be a boundary too.
-                    count += self.whole("".join(tail)) + c
-                    tail = [t]
-        return "".join(head), count, "".join(tail)
-
-    def applied(self, chunk: tuple[str, int | None, str]) -> int:
-        """Tokens when the map is entered in the start state."""
-        head, count, tail = chunk
-        return self.whole(head) + (count or 0) + self.whole(tail)
+    def at(self, text: str, start: int, place: int) -> tuple[int, int, int, tuple]:
+        """Where the pre-token at ``place`` begins, tokens from there to ``place``, and the state there.
+
+        ``start`` is a begin of a pre-token, or a guess of one.
+        """
+        begin = special = start
+        while begin < place:
+            match = self.units.special.search(text, special)
+            stop = match.start() if match else len(text)
+            if special <= begin < stop:
+                part = text[begin:stop]
+                for piece in self.units.pattern.finditer(part):
+                    if begin + piece.end() > place:
+                        at = begin + piece.start()
+                        tokens, state = self.units.transducer.run(text[at:place].encode())
+                        return at, tokens, state
+                begin = stop
+            if match is None:
+                break
+            if match.end() > place > match.start():
+                return match.start(), 0, ("special", place - match.start())
+            begin = special = match.end()
+        return place, 0, self.units.transducer.states[0]
+
+    def chunk_map(self, before: str, chunk: str, after: str, first: bool) -> tuple[int, bytes, bytes]:
+        """(tokens emitted in the chunk, state expected to enter, state that leaves)."""
+        text = before + chunk + after
+        a, b = len(before), len(before) + len(chunk)
+        start = 0
+        if not first:
+            start = max((m.start() for m in BOUNDARY.finditer(text, 0, a + 1) if m.start() <= a), default=0)
+        later = [m.start() for m in BOUNDARY.finditer(text, a, b + 1) if a < m.start() <= b][-1:]
+        begin, tokens, state = self.at(text, start, a)
+        end, more, left = self.at(text, later[0] if later else start, b)
+        named = lambda offset, state: hashlib.blake2b(repr((min(offset, MEMORY), state)).encode(), digest_size=16).digest()
+        between = self.whole(text[begin:end])
+        if end < len(text) and BOUNDARY.match(text[end] + " ", 1) and not self.units.special.match(text, end):
+            # White space before a character that is none leaves its last one to a pre-token of its own.
+            between = self.whole(text[begin : end + 1]) - self.whole(text[end])
+        return between + more - tokens, named(a - begin, state), named(b - end, left)
 
 
 def _counted(path: str, pattern: str):
@@ -221,29 +246,40 @@ def _chunks_mapped(path: str, pattern: str):
     def run(batches):
         count = per_process((path, pattern), lambda: Counter(path, pattern))
         for batch in batches:
-            maps = [count.chunk_map(t) for t in batch["text"].to_pylist()]
-            head, n, tail = zip(*maps) if maps else ((), (), ())
+            columns = (batch[c].to_pylist() for c in ("before", "text", "after", "first"))
+            maps = [count.chunk_map(*row) for row in zip(*columns)]
+            n, enters, leaves = zip(*maps) if maps else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], batch["n_bytes"], batch["chunk"], pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string())],
-                ["row", "doc_id", "n_bytes", "chunk", "head", "inner", "tail"],
+                [batch["key"], batch["chunk"], pa.array(n, pa.int64()), pa.array(enters, pa.binary()), pa.array(leaves, pa.binary())],
+                ["key", "chunk", "n", "enters", "leaves"],
             )
 
     return run
 
 
-def _maps_scanned(path: str, pattern: str):
-    def run(batches):
-        count = per_process((path, pattern), lambda: Counter(path, pattern))
-        for batch in batches:
-            totals = [
-                count.applied(count.composed((m["head"], m["inner"], m["tail"]) for m in maps))
-                for maps in batch["maps"].to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["n_bytes"], pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
-            )
+def scanned(texts: DataFrame, tokenizer_path: str, pattern: str, chunk_chars: int, before: int | None) -> DataFrame:
+    """key, n_tokens and sure for each text (key, text): the composition of its chunks' maps.
 
-    return run
+    A chunk sees ``before`` characters in front of it, or all of them with None.
+    """
+    place = lambda i: i * chunk_chars + 1
+    back = lambda i: F.least(place(i) - 1, F.lit(before)) if before is not None else place(i) - 1
+    pieces = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / chunk_chars)),
+        lambda i: F.struct(
+            i.alias("chunk"),
+            F.substring("text", (place(i) - back(i)).cast("int"), back(i).cast("int")).alias("before"),
+            F.substring("text", place(i).cast("int"), F.lit(chunk_chars)).alias("text"),
+            F.substring("text", (place(i) + chunk_chars).cast("int"), F.lit(AFTER)).alias("after"),
+            (back(i) == place(i) - 1).alias("first"),
+        ),
+    )
+    chunks = texts.select("key", F.explode(pieces).alias("piece")).select("key", "piece.*").repartition(F.col("key"), F.col("chunk"))
+    maps = chunks.mapInArrow(_chunks_mapped(tokenizer_path, pattern), "key binary, chunk long, n long, enters binary, leaves binary")
+    # Texts that occur more than once are one here.
+    once = maps.groupBy("key", "chunk").agg(*(F.min(c).alias(c) for c in ("n", "enters", "leaves")))
+    fits = F.coalesce(F.lag("leaves").over(Window.partitionBy("key").orderBy("chunk")) == F.col("enters"), F.col("chunk") == 0)
+    return once.withColumn("fits", fits).groupBy("key").agg(F.sum("n").alias("n_tokens"), F.min("fits").alias("sure"))
 
 
 def token_counts(
@@ -264,32 +300,17 @@ def token_counts(
         .select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
         .mapInArrow(_counted(tokenizer_path, pattern), f"doc_id {_type(docs, 'doc_id')}, n_bytes long, n_tokens long")
     )
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")),
-        lambda i: F.struct(i.alias("chunk"), F.substring("text", i * chunk_chars + 1, F.lit(chunk_chars)).alias("text")),
-    )
-    chunks = (
-        base.where(long)
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.explode(pieces).alias("piece"))
-        .select("row", "doc_id", "n_bytes", "piece.chunk", "piece.text")
-        .repartition(F.col("row"), F.col("chunk"))
-    )
-    maps = chunks.mapInArrow(
-        _chunks_mapped(tokenizer_path, pattern),
-        f"row long, doc_id {_type(docs, 'doc_id')}, n_bytes long, chunk int, head string, inner long, tail string",
-    )
-    # Only maps meet here: a few short strings for each chunk of one text.
-    long_rows = (
-        maps.groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("n_bytes").alias("n_bytes"),
-            F.sort_array(F.collect_list(F.struct("chunk", "head", "inner", "tail"))).alias("maps"),
-        )
-        .select("doc_id", "n_bytes", "maps")
-        .mapInArrow(_maps_scanned(tokenizer_path, pattern), f"doc_id {_type(docs, 'doc_id')}, n_bytes long, n_tokens long")
-    )
+    key = F.unhex(F.sha2("text", 256)).alias("key")
+    long_rows = base.where(long).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), key, "text")
+    texts, found = long_rows.select("key", "text"), None
+    for before in (*BEFORE, None):
+        maps = cut(scanned(texts, tokenizer_path, pattern, chunk_chars, before))
+        found = maps.where("sure") if found is None else found.unionByName(maps.where("sure"))
+        unsure = maps.where("NOT sure").select("key")
+        if unsure.isEmpty():
+            break
+        texts = long_rows.select("key", "text").join(unsure, "key", "left_semi")
+    long_rows = long_rows.select("doc_id", "n_bytes", "key").join(found, "key").select("doc_id", "n_bytes", "n_tokens")
     return short_rows.unionByName(long_rows).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
