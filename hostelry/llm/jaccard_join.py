@@ -19,6 +19,9 @@ paired out in full.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,18 +30,19 @@ from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
 from hostelry.llm.arrays import in_slices, mixed, packed, powers, text_bytes, unpacked, word_hashes, word_spans
-
 from hostelry.llm.components import components, dealt_anew
 
 #: Words of a shingle; the similarity as a fraction of integers.
 WORDS, PART, WHOLE = 5, 80, 100
 #: Shingle hashes of a task counted at a time.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: A class list of shingles with at least 2**LEAST_CLASS documents, of at most MOST_HOT entries.
 LEAST_CLASS, MOST_HOT = 4, 2_000_000
 #: Bits of the map of shingles that more than one document may have; a fixed 16 MB.
 MAP_BITS = 27
 FRAGMENTS, FINE = 4, 256
+#: Numbers of 64 bits in a set's sketch.
+SKETCH = 8
 #: Rows of ids that are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -192,13 +196,13 @@ def _prefixed(order):
         shared = order.value[0]
         for big in batches:
             for batch in in_slices(big, "text"):
-                n, ids, hist, keys, places = [], [], [], [], []
+                n, ids, hist, sketch, keys, places = [], [], [], [], [], []
                 for values in shingle_sets(batch["text"]):
                     size = len(values)
                     n.append(size)
                     ids.append(set_id(values))
                     if not size:
-                        hist.append(None), keys.append(None), places.append(None)
+                        hist.append(None), sketch.append(None), keys.append(None), places.append(None)
                         continue
                     short = (values >> np.uint64(32)).astype(np.uint32)
                     kind = kinds_of(short, order.value)
@@ -210,9 +214,12 @@ def _prefixed(order):
                     places.append(place.tolist())
                     fine = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=FINE) if len(place) else None
                     hist.append(None if fine is None else zstandard.compress(fine.astype("<u4").tobytes(), 1))
+                    # Whether an even or an odd number of shingles falls on each bit: what differs in few shingles differs in few bits.
+                    odd = np.bincount((values & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                    sketch.append(np.packbits(odd.astype(bool)).view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(hist, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "set_id", "hist", "keys", "places"],
+                    [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(hist, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "set_id", "hist", "sketch", "keys", "places"],
                 )
 
     return run
@@ -294,7 +301,7 @@ class Join:
         prefixed = cut(
             distinct.mapInArrow(
                 _prefixed(order),
-                f"doc_id {id_type}, n long, set_id binary, hist binary, keys array<long>, places array<long>",
+                f"doc_id {id_type}, n long, set_id binary, hist binary, sketch array<long>, keys array<long>, places array<long>",
             )
             .where(F.col("set_id").isNotNull())
             .withColumn("node", F.monotonically_increasing_id())
@@ -302,7 +309,7 @@ class Join:
         # Repeated rows of a first document are left: one node of each set stays, of the smallest doc_id.
         smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
         kept = prefixed.groupBy("set_id").agg(smallest["node"].alias("node")).select("node")
-        self.sets = prefixed.select("node", "n", "set_id", "doc_id", "hist", "keys", "places").join(kept, "node", "left_semi")
+        self.sets = prefixed.select("node", "n", "set_id", "doc_id", "hist", "sketch", "keys", "places").join(kept, "node", "left_semi")
         if kept.count() == prefixed.count():
             self.sets = prefixed
         entries = self.sets.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(
@@ -342,13 +349,18 @@ class Join:
         )
 
     def across(self, entries: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """Every candidate pair of sets in different components."""
-        one = entries.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"), F.col("component").alias("x"))
-        two = entries.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"), F.col("component").alias("y"))
+        """Every candidate pair of sets in different components whose sketches allow the similarity."""
+        bits = [f"s{i}" for i in range(SKETCH)]
+        sketches = self.sets.where("sketch IS NOT NULL").select("node", *(F.col("sketch")[i].alias(s) for i, s in enumerate(bits)))
+        entries = cut(entries.join(sketches, "node"))
+        one = entries.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"), F.col("component").alias("x"), *(F.col(s).alias(f"{s}_a") for s in bits))
+        two = entries.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"), F.col("component").alias("y"), *(F.col(s).alias(f"{s}_b") for s in bits))
         # At the first shingle that a pair shares, what may follow in both must be enough.
         follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         enough = (WHOLE + PART) * follow >= PART * (F.col("n_a") + F.col("n_b"))
-        apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & alike_in_size("n_a", "n_b") & enough
+        differ = functools.reduce(operator.add, (F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in bits))
+        close = (WHOLE + PART) * differ <= (WHOLE - PART) * (F.col("n_a") + F.col("n_b"))
+        apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & alike_in_size("n_a", "n_b") & enough & close
         return untested(one.join(two, "key").where(apart).select(*HEADS).distinct(), tested)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
