@@ -58,3 +58,32 @@ def threshold_progress(value: Column, threshold: float, saturation: float) -> Co
         .when(exact <= threshold, low.cast("decimal(20,6)"))
     )
     return ladder.otherwise(high.cast("decimal(20,6)"))
+
+
+def to_money(amount: Column, most: str = "999999999999.99") -> Column:
+    """An amount to the cent, half up; null beyond what a column holds."""
+    rounded = F.round(amount.cast("decimal(30,10)"), 2)
+    return F.when(F.abs(rounded) <= F.lit(most).cast("decimal(14,2)"), rounded.cast("decimal(14,2)"))
+
+
+def canonical_text(amount: Column) -> Column:
+    """A decimal as plain text without zeros that say nothing; minus nought is nought."""
+    plain = amount.cast("string")
+    bare = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    return F.when(bare.isin("-0", ""), "0").otherwise(bare)
+
+
+def parsed_integer(text: Column) -> Column:
+    """A whole number, also where it is written with decimals that are all 0 ("3", "3.0", "3,00"); null otherwise."""
+    return F.when(F.trim(text).rlike(r"^[+-]?\d{1,18}([.,]0+)?$"), F.regexp_replace(F.trim(text), r"[.,]0+$", "").try_cast("bigint"))
+
+
+def amount_issue(amount: Column, scale: int, most: Column | None = None) -> Column:
+    """What is wrong with an amount: NOT_A_NUMBER (null), NEGATIVE, TOO_PRECISE or OUT_OF_RANGE; null if nothing."""
+    found = F.when(amount.isNull(), "NOT_A_NUMBER").when(amount < 0, "NEGATIVE").when(amount != F.round(amount, scale), "TOO_PRECISE")
+    return found if most is None else found.when(amount > most, "OUT_OF_RANGE")
+
+
+def gap_proxy(quantity: Column, price: Column) -> Column:
+    """What a gap is worth, to the cent; null where either is not known."""
+    return F.round(quantity.cast("decimal(18,4)") * price.cast("decimal(18,4)"), 2).cast("decimal(18,2)")

@@ -124,3 +124,13 @@ def phrase_category(key: Column, phrases: dict[str, tuple[str, ...]]) -> Column:
         )
     )
     return F.when(F.size(hits) == 1, F.get(hits, 0)).otherwise(F.lit("OTHER"))
+
+
+def document_number(raw: Column) -> Column:
+    """The key of a document's number: single spaces, capitals."""
+    return F.upper(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+
+
+def safe_file_name(path: Column, most: int = 255) -> Column:
+    """The last part of a path, without control characters, of at most ``most`` characters."""
+    return F.substring(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"[\x00-\x1f]", ""), 1, most)

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Exact names (as comparison keys) of online agencies and of direct channels.
+#: Exact names (as comparison keys) of online agencies and of channels without an intermediary.
 OTA_NAMES = ("booking com", "booking", "expedia", "hotels com", "agoda", "airbnb", "vrbo", "hostelworld")
-DIRECT_NAMES = ("direct", "diretto", "website", "sito", "sito web", "phone", "email", "walk in")
+DIRECT_NAMES = (
+    "direct", "diretto", "website", "website direct", "sito", "sito web", "sito ufficiale", "sito diretto", "phone", "phone direct", "telephone",
+    "telefono", "email", "e mail", "mail", "telefono email", "telefono e mail", "telefono mail", "email telefono", "e mail telefono",
+    "phone email", "phone e mail", "phone mail", "email phone", "walk in", "walkin",
+)
+#: Exact names of intermediaries that are no online agencies.
+OTHER_NAMES = ("wholesaler", "tour operator", "corporate", "agency")
 #: Percent, room nights, and confidence in hundredths that decide.
 WINDOW, COVERAGE, VOLUME, STRUCTURAL, RISING, GAP, CONFIDENCE = 30, 80, 20, 70, 55, 15, 5500
 
@@ -19,6 +25,7 @@ def group(kind: Column, verified: Column, key: Column) -> Column:
         F.when(verified & kind.isNotNull(), by_type)
         .when(key.isin(*OTA_NAMES), "OTA")
         .when(key.isin(*DIRECT_NAMES), "DIRECT")
+        .when(key.isin(*OTHER_NAMES), "OTHER")
         .otherwise("UNKNOWN")
     )
 

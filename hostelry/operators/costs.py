@@ -80,8 +80,8 @@ def cpor_anomaly(c: dict[str, Column]) -> Column:
     fence8 = 2 * c["p75_4"] + 3 * c["iqr4"]
     over = actual4 > c["median4"]
     percent = 100 * (actual4 - c["median4"]) >= PERCENT * c["median4"]
-    fence = 2 * actual4 > fence8
-    gap = (actual4 - c["median4"]) / 4_000_000 * c["room_nights"] >= GAP_CENTS
+    fence = 2 * actual4 >= fence8
+    gap = (actual4 - c["median4"]).cast("decimal(19,0)") * c["room_nights"].cast("decimal(19,0)") >= GAP_CENTS * 4_000_000
     return (
         F.when(c["category"] == "OTHER", "NOT_APPLICABLE:CATEGORY_OTHER")
         .when(c["room_nights"].isNull(), "INSUFFICIENT_DATA:OCCUPANCY_INCOMPLETE")

@@ -22,10 +22,9 @@ def current_plan(entries: DataFrame, value: str) -> DataFrame:
     )
     told = entries.groupBy(*CELL, "file_no").agg(F.count(value).alias("valued"), F.sum(value).alias("amount"))
     cells = entries.select(*CELL).distinct()
-    # A property has few files; each full one covers a run of days.
-    covering = cells.join(F.broadcast(files.where("file_scope = 'FULL'")), "property_id").where(
-        F.col("work_date").between(F.col("first_day"), F.col("last_day"))
-    )
+    # A full file covers a run of days: an equi-join on each of them, whatever the number of files.
+    days = files.where("file_scope = 'FULL'").select("property_id", "file_no", F.explode(F.sequence("first_day", "last_day")).alias("work_date"))
+    covering = cells.join(days, ["property_id", "work_date"])
     clears = covering.select(*CELL, "file_no").join(told, [*CELL, "file_no"], "left_anti").select(
         *CELL, "file_no", F.lit("CLEAR").alias("kind"), F.lit(None).cast("long").alias("amount")
     )
@@ -51,22 +50,30 @@ def all_or_nothing(entries: DataFrame, values: dict[str, str]) -> DataFrame:
     )
 
 
-def tolerance4(forecast: Column) -> Column:
-    """Twenty times the rooms by which demand may differ: the greater of 3 and a fifth of the forecast."""
-    return F.greatest(F.lit(60), 4 * F.greatest(forecast, F.lit(1)))
+def tolerance(forecast4: Column) -> Column:
+    """Eighty times the rooms by which demand may differ: the greater of 3 and a fifth of the forecast (in quarters)."""
+    return F.greatest(F.lit(240), 4 * F.greatest(forecast4, F.lit(4)))
 
 
 def overstaffing(c: dict[str, Column]) -> Column:
-    """Status of a day's planned minutes against comparable days; the first rule that applies decides."""
+    """Status of a day's planned minutes against comparable days; the first rule that applies decides.
+
+    c: category, forecast4 (null: insufficient), covered (a plan has the day),
+    scheduled (the category has entries that day), planned, classified and
+    day_minutes of the day's plan, and the sample's n, median4, p75_4, iqr4, confidence.
+    """
     planned4 = 4 * c["planned"]
     over = planned4 > c["median4"]
     percent = 100 * (planned4 - c["median4"]) >= PERCENT * c["median4"]
     hours = planned4 - c["median4"] >= 4 * MINUTES
-    fence = 2 * planned4 > 2 * c["p75_4"] + 3 * c["iqr4"]
+    fence = 2 * planned4 >= 2 * c["p75_4"] + 3 * c["iqr4"]
     return (
         F.when(c["category"] == "NOT SPECIFIED", "NOT_APPLICABLE:CATEGORY_OTHER")
-        .when(c["planned"].isNull(), "INSUFFICIENT_DATA:PLAN_PARTIAL")
-        .when(c["planned"] == 0, "NOT_APPLICABLE:NOT_SCHEDULED")
+        .when(c["forecast4"].isNull(), "INSUFFICIENT_DATA:DEMAND_FORECAST_INSUFFICIENT")
+        .when(~c["covered"], "INSUFFICIENT_DATA:PLAN_MISSING")
+        .when(~c["scheduled"], "NOT_APPLICABLE:NOT_SCHEDULED")
+        .when(c["planned"].isNull(), "INSUFFICIENT_DATA:PLAN_INCOMPLETE")
+        .when(100 * c["classified"] < COVERAGE * c["day_minutes"], "INSUFFICIENT_DATA:CLASSIFICATION_COVERAGE_LOW")
         .when(F.coalesce(c["n"], F.lit(0)) < LEAST, "INSUFFICIENT_DATA:COMPARABLES_INSUFFICIENT")
         .when(c["median4"] <= 0, "NOT_APPLICABLE:EXPECTED_NON_POSITIVE")
         .when(~(over & percent & hours & fence), "CLEAR:CLEAR_WITHIN_EXPECTED_RANGE")

@@ -183,8 +183,8 @@ TARGET_MONTH = "1999-05-01"
         WHEN room_nights IS NULL THEN 'INSUFFICIENT_DATA:OCCUPANCY_INCOMPLETE' WHEN room_nights = 0 THEN 'NOT_APPLICABLE:ZERO_OCCUPIED_ROOM_NIGHTS'
         WHEN coverage_h < 7000 THEN 'INSUFFICIENT_DATA:CLASSIFICATION_COVERAGE_LOW' WHEN coalesce(n, 0) < 5 THEN 'INSUFFICIENT_DATA:COMPARABLES_INSUFFICIENT'
         WHEN median4 <= 0 THEN 'NOT_APPLICABLE:EXPECTED_NON_POSITIVE'
-        WHEN NOT (4 * cpor > median4 AND 100 * (4 * cpor - median4) >= 20 * median4 AND 8 * cpor > 2 * p75_4 + 3 * iqr4
-            AND (4 * cpor - median4) / 4000000 * room_nights >= 10000) THEN 'CLEAR:CLEAR_WITHIN_EXPECTED_RANGE'
+        WHEN NOT (4 * cpor > median4 AND 100 * (4 * cpor - median4) >= 20 * median4 AND 8 * cpor >= 2 * p75_4 + 3 * iqr4
+            AND CAST(4 * cpor - median4 AS HUGEINT) * CAST(room_nights AS HUGEINT) >= 40000000000) THEN 'CLEAR:CLEAR_WITHIN_EXPECTED_RANGE'
         WHEN confidence < 5500 THEN 'SUPPRESSED_LOW_CONFIDENCE:LOW_CONFIDENCE' ELSE 'TRIGGERED:TRIGGER_CPOR_ANOMALY' END AS outcome FROM judged""")
 def cpor_anomaly(spark, sf_dir):
     rows = metrics(spark, sf_dir)

@@ -18,9 +18,10 @@ from hostelry.plans.views import AS_OF, CHANNELS
 CHANNEL_ROWS = [(p, *c) for p, c in CHANNELS.items()]
 CHANNEL_SQL = "channel AS (SELECT * FROM (VALUES {}) AS t(priority, name, kind, verified)), channel_group AS (SELECT priority, name, {} AS grp FROM channel)".format(
     ", ".join(f"('{p}', '{n}', '{k}', {v})" for p, n, k, v in CHANNEL_ROWS),
-    """CASE WHEN verified AND kind IN ('OTA', 'DIRECT') THEN kind WHEN verified THEN 'OTHER'
-    WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) IN ('booking com', 'booking', 'expedia', 'hotels com', 'agoda', 'airbnb', 'vrbo', 'hostelworld') THEN 'OTA'
-    WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) IN ('direct', 'diretto', 'website', 'sito', 'sito web', 'phone', 'email', 'walk in') THEN 'DIRECT' ELSE 'UNKNOWN' END""",
+    f"""CASE WHEN verified AND kind IN ('OTA', 'DIRECT') THEN kind WHEN verified THEN 'OTHER'
+    WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) IN {op.OTA_NAMES} THEN 'OTA'
+    WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) IN {op.DIRECT_NAMES} THEN 'DIRECT'
+    WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) IN {op.OTHER_NAMES} THEN 'OTHER' ELSE 'UNKNOWN' END""",
 )
 
 

@@ -10,7 +10,7 @@ from hostelry.operators import revenue, samples
 from hostelry.operators import snapshots as op
 from hostelry.plans import views
 from hostelry.plans.registry import query
-from hostelry.plans.snapshots import BASE, CERTAINTY
+from hostelry.plans.snapshots import BASE, CERTAINTY, stays_within
 from hostelry.plans.views import AS_OF, NIGHTS
 
 #: Days before the report for which snapshots were observed as they happened.
@@ -146,7 +146,7 @@ class Books:
         )
         # Every sample below reads them; one row for a cell, whatever the number of stays.
         self.books = cut(
-            op.on_books(op.nights(views.stays(spark, sf_dir)), cells).select(
+            op.on_books(op.nights(stays_within(spark, sf_dir, F.date_sub(views.as_of_day(), dates.HORIZON_DAYS), F.date_add(views.as_of_day(), NIGHTS - 1))), cells).select(
                 "property_id", "snapshot_day", "stay_date", "rooms", "uncertain_rooms"
             )
         )
@@ -302,11 +302,15 @@ def occupancy_risk(spark, sf_dir):
     CASE WHEN stay_date = DATE '{AS_OF}' THEN 'OBSERVED' WHEN coalesce(pn, 0) < 5 THEN 'INSUFFICIENT' ELSE 'FORECAST' END AS basis FROM joined""")
 def demand_forecast(spark, sf_dir):
     """Final rooms in quarters: today's are observed, later nights add the expected rest."""
+    return forecast(risk(spark, sf_dir))
+
+
+def forecast(rows):
     today = F.col("stay_date") == F.col("as_of")
-    forecast = F.when(today, 4 * F.col("rooms")).when(F.col("remaining4").isNull(), F.greatest(F.lit(0), F.col("remaining4") * 0))
-    forecast = forecast.otherwise(revenue.forecast4(F.col("rooms"), F.col("remaining4")))
+    rooms4 = F.when(today, 4 * F.col("rooms")).when(F.col("remaining4").isNull(), F.greatest(F.lit(0), F.col("remaining4") * 0))
+    rooms4 = rooms4.otherwise(revenue.forecast4(F.col("rooms"), F.col("remaining4")))
     basis = F.when(today, "OBSERVED").when(F.coalesce("remaining_n", F.lit(0)) < 5, "INSUFFICIENT").otherwise("FORECAST")
-    return risk(spark, sf_dir).select("property_id", "stay_date", forecast.alias("forecast4"), basis.alias("basis"))
+    return rows.select("property_id", "stay_date", rooms4.alias("forecast4"), basis.alias("basis"))
 
 
 @query(f"""WITH l AS (SELECT l_orderkey AS key, list_sort(list(CAST(l_quantity AS BIGINT))) AS v FROM lineitem GROUP BY ALL)

@@ -8,9 +8,9 @@ from hostelry.functions import dates, money
 from hostelry.operators import labor as op
 from hostelry.operators import samples
 from hostelry.plans import views
-from hostelry.plans.expected import CONFIDENCE_SQL, OBSERVED_DAYS, SCORE_SQL, capped_sql, season_sql, summary_sql
+from hostelry.plans.expected import CONFIDENCE_SQL, OBSERVED_DAYS, RISK_SQL, SCORE_SQL, capped_sql, forecast, risk, season_sql, summary_sql
 from hostelry.plans.registry import query
-from hostelry.plans.snapshots import NIGHTLY, nightly
+from hostelry.plans.snapshots import NIGHTLY, TOTALS_SQL, nightly
 from hostelry.plans.views import AS_OF, LABOR_SQL
 
 CELL_SQL = "property_id, work_date, category"
@@ -95,16 +95,22 @@ def labor_economics(spark, sf_dir):
     )
 
 
-COMPARED_SQL = f"""{NIGHTLY}, {LABOR_SQL}, {WORKED_SQL},
-    targets AS (SELECT d.*, n.rooms AS demand FROM day_cells d JOIN nightly n ON n.property_id = d.property_id AND n.stay_date = d.work_date
-        WHERE d.work_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 29),
+COMPARED_SQL = f"""{RISK_SQL}, {TOTALS_SQL}, {LABOR_SQL}, {WORKED_SQL},
+    demand AS (SELECT property_id, stay_date, CASE WHEN stay_date = DATE '{AS_OF}' THEN 4 * rooms WHEN coalesce(pn, 0) >= 5 THEN forecast4 END AS demand4 FROM joined),
+    plan_days AS (SELECT property_id, work_date, CAST(sum(planned) AS BIGINT) AS day_minutes,
+        CAST(sum(CASE WHEN category <> 'NOT SPECIFIED' THEN planned ELSE 0 END) AS BIGINT) AS classified FROM day_cells GROUP BY ALL),
+    kinds AS (SELECT DISTINCT property_id, category FROM day_cells),
+    wanted AS (SELECT k.property_id, k.category, d.stay_date AS work_date, d.demand4, p.work_date IS NOT NULL AS covered, p.day_minutes, p.classified, c.rows_ IS NOT NULL AS scheduled, c.planned
+        FROM kinds k JOIN demand d ON d.property_id = k.property_id AND d.stay_date <= DATE '{AS_OF}' + 29
+        LEFT JOIN plan_days p ON p.property_id = k.property_id AND p.work_date = d.stay_date
+        LEFT JOIN day_cells c ON c.property_id = k.property_id AND c.work_date = d.stay_date AND c.category = k.category),
     cases AS (
         SELECT t.property_id, t.work_date, t.category, h.work_date AS d, coalesce(h.actual, h.planned) AS minutes, h.work_date >= DATE '{AS_OF}' - {OBSERVED_DAYS} AS is_observed
-        FROM targets t JOIN day_cells h ON h.property_id = t.property_id AND h.category = t.category AND h.work_date < DATE '{AS_OF}'
+        FROM wanted t JOIN day_cells h ON h.property_id = t.property_id AND h.category = t.category AND h.work_date < DATE '{AS_OF}'
             AND h.work_date BETWEEN t.work_date - 728 AND t.work_date - 7 AND isodow(h.work_date) = isodow(t.work_date)
         JOIN nightly n ON n.property_id = h.property_id AND n.stay_date = h.work_date
         WHERE {season_sql('h.work_date', 't.work_date')} <= 42 AND coalesce(h.actual, h.planned) IS NOT NULL
-            AND 20 * abs(n.rooms - t.demand) <= greatest(60, 4 * greatest(t.demand, 1))
+            AND 20 * abs(4 * n.rooms - t.demand4) <= greatest(240, 4 * greatest(t.demand4, 4))
     ),
     {capped_sql('capped', 'cases', 'property_id, work_date, category', 'd DESC')},
     sums AS (SELECT property_id, work_date, category, count(*) AS n, count(*) FILTER (is_observed) AS observed, count(*) FILTER (NOT is_observed) AS approximate,
@@ -113,28 +119,39 @@ COMPARED_SQL = f"""{NIGHTLY}, {LABOR_SQL}, {WORKED_SQL},
     scored AS (SELECT *, {CONFIDENCE_SQL} AS confidence FROM (SELECT *, {SCORE_SQL} AS score FROM (SELECT *, greatest(abs(median4), 4) AS floor4 FROM figures)))"""
 
 
-@query(f"""{COMPARED_SQL} SELECT t.property_id, t.work_date, t.category, planned, n, median4, confidence,
-    CASE WHEN t.category = 'NOT SPECIFIED' THEN 'NOT_APPLICABLE:CATEGORY_OTHER' WHEN planned IS NULL THEN 'INSUFFICIENT_DATA:PLAN_PARTIAL'
-        WHEN planned = 0 THEN 'NOT_APPLICABLE:NOT_SCHEDULED' WHEN coalesce(n, 0) < 5 THEN 'INSUFFICIENT_DATA:COMPARABLES_INSUFFICIENT'
+@query(f"""{COMPARED_SQL} SELECT t.property_id, t.work_date, t.category, planned, demand4, n, median4, confidence,
+    CASE WHEN t.category = 'NOT SPECIFIED' THEN 'NOT_APPLICABLE:CATEGORY_OTHER' WHEN demand4 IS NULL THEN 'INSUFFICIENT_DATA:DEMAND_FORECAST_INSUFFICIENT'
+        WHEN NOT covered THEN 'INSUFFICIENT_DATA:PLAN_MISSING' WHEN NOT scheduled THEN 'NOT_APPLICABLE:NOT_SCHEDULED' WHEN planned IS NULL THEN 'INSUFFICIENT_DATA:PLAN_INCOMPLETE'
+        WHEN 100 * classified < 70 * day_minutes THEN 'INSUFFICIENT_DATA:CLASSIFICATION_COVERAGE_LOW' WHEN coalesce(n, 0) < 5 THEN 'INSUFFICIENT_DATA:COMPARABLES_INSUFFICIENT'
         WHEN median4 <= 0 THEN 'NOT_APPLICABLE:EXPECTED_NON_POSITIVE'
-        WHEN NOT (4 * planned > median4 AND 100 * (4 * planned - median4) >= 20 * median4 AND 4 * planned - median4 >= 960 AND 8 * planned > 2 * p75_4 + 3 * iqr4)
+        WHEN NOT (4 * planned > median4 AND 100 * (4 * planned - median4) >= 20 * median4 AND 4 * planned - median4 >= 960 AND 8 * planned >= 2 * p75_4 + 3 * iqr4)
             THEN 'CLEAR:CLEAR_WITHIN_EXPECTED_RANGE'
         WHEN confidence < 5500 THEN 'SUPPRESSED_LOW_CONFIDENCE:LOW_CONFIDENCE' ELSE 'TRIGGERED:TRIGGER_OVERSTAFFING' END AS outcome
-    FROM targets t LEFT JOIN scored s ON s.property_id = t.property_id AND s.work_date = t.work_date AND s.category = t.category""")
+    FROM wanted t LEFT JOIN scored s ON s.property_id = t.property_id AND s.work_date = t.work_date AND s.category = t.category""")
 def labor_overstaffing(spark, sf_dir):
-    cells = day_cells(spark, sf_dir)
-    demand = nightly(spark, sf_dir).select("property_id", F.col("stay_date").alias("work_date"), F.col("rooms").alias("demand"))
-    near = F.datediff("work_date", views.as_of_day()).between(0, 29)
-    target = cells.join(demand, ["property_id", "work_date"]).where(near)
-    wanted = target.select(*op.CELL, "demand", F.explode(dates.same_weekday_before(F.col("work_date"))).alias("d"))
+    """Every category and day of the next 30: planned minutes against days of like demand, with demand as forecast on the day of report."""
+    return overstaffing(day_cells(spark, sf_dir), forecast(risk(spark, sf_dir)), nightly(spark, sf_dir))
+
+
+def overstaffing(cells, demand, nights):
+    demand = demand.where(F.col("stay_date") <= F.date_add(views.as_of_day(), 29)).select(
+        "property_id", F.col("stay_date").alias("work_date"), F.when(F.col("basis") != "INSUFFICIENT", F.col("forecast4")).alias("demand4")
+    )
+    own = F.when(F.col("category") != "NOT SPECIFIED", F.col("planned")).otherwise(0)
+    days = cells.groupBy("property_id", "work_date").agg(F.sum("planned").alias("day_minutes"), F.sum(own).alias("classified"), F.lit(True).alias("has_plan"))
+    target = cells.select("property_id", "category").distinct().join(demand, "property_id").join(days, ["property_id", "work_date"], "left")
+    target = target.join(cells.select(*op.CELL, "planned", F.lit(True).alias("has_rows")), op.CELL, "left")
+    target = target.withColumns({"covered": F.col("has_plan").isNotNull(), "scheduled": F.col("has_rows").isNotNull()})
+    wanted = target.select(*op.CELL, "demand4", F.explode(dates.same_weekday_before(F.col("work_date"))).alias("d"))
     wanted = wanted.where(F.col("d") < views.as_of_day())
     past = cells.select("property_id", F.col("work_date").alias("d"), "category", F.coalesce("actual", "planned").alias("minutes"))
-    past = past.join(demand.select("property_id", F.col("work_date").alias("d"), F.col("demand").alias("rooms")), ["property_id", "d"])
+    past = past.join(nights.select("property_id", F.col("stay_date").alias("d"), "rooms"), ["property_id", "d"])
     cases = wanted.join(past.where(F.col("minutes").isNotNull()), ["property_id", "category", "d"])
-    cases = cases.where(20 * F.abs(F.col("rooms") - F.col("demand")) <= op.tolerance4(F.col("demand")))
+    cases = cases.where(20 * F.abs(4 * F.col("rooms") - F.col("demand4")) <= op.tolerance(F.col("demand4")))
     cases = cases.withColumn("is_observed", F.col("d") >= F.date_sub(views.as_of_day(), OBSERVED_DAYS))
     kept = samples.capped(cases, op.CELL, F.col("d").desc(), least=op.LEAST, most=op.MOST)
     figures = samples.sampled(kept, op.CELL, "minutes").withColumn("confidence", samples.confidence()).select(*op.CELL, "confidence", "s.*")
-    judged = target.join(figures, op.CELL, "left")
-    outcome = op.overstaffing({c: F.col(c) for c in ("category", "planned", "n", "median4", "p75_4", "iqr4", "confidence")})
-    return judged.select(*op.CELL, "planned", "n", "median4", "confidence", outcome.alias("outcome"))
+    judged = target.join(figures, op.CELL, "left").withColumn("forecast4", F.col("demand4"))
+    names = ("category", "forecast4", "covered", "scheduled", "planned", "classified", "day_minutes", "n", "median4", "p75_4", "iqr4", "confidence")
+    outcome = op.overstaffing({c: F.col(c) for c in names})
+    return judged.select(*op.CELL, "planned", "demand4", "n", "median4", "confidence", outcome.alias("outcome"))

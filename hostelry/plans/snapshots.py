@@ -103,8 +103,19 @@ def cells(spark, sf_dir):
     return views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("property_id"), days).select("*", stay)
 
 
+def stays_within(spark, sf_dir, first, last):
+    """Stays with a night from ``first`` to ``last``: the filter stands before nights are exploded and reaches the scan."""
+    stays = views.stays(spark, sf_dir)
+    return stays.where((F.col("check_in") <= last) & (F.expr("date_add(check_in, nights)") > first))
+
+
+def grid_nights(spark, sf_dir):
+    first = views.as_of_day()
+    return op.nights(stays_within(spark, sf_dir, first, F.date_add(first, NIGHTS - 1)))
+
+
 def curve(spark, sf_dir):
-    return op.on_books(op.nights(views.stays(spark, sf_dir)), cells(spark, sf_dir))
+    return op.on_books(grid_nights(spark, sf_dir), cells(spark, sf_dir))
 
 
 @query(f"{BASE}, {SNAP_SQL} SELECT * FROM curve")
@@ -115,7 +126,7 @@ def booking_curve(spark, sf_dir):
 @query(f"{BASE}, {SNAP_SQL} SELECT property_id, snapshot_day, stay_date, bookings, rooms, uncertain_bookings, uncertain_rooms FROM curve")
 def reconstruct_grid(spark, sf_dir):
     first, last = F.date_sub(views.as_of_day(), 28), views.as_of_day()
-    return op.reconstructed(op.nights(views.stays(spark, sf_dir)), cells(spark, sf_dir), first, last)
+    return op.reconstructed(grid_nights(spark, sf_dir), cells(spark, sf_dir), first, last)
 
 
 @query(f"""{BASE}, {SNAP_SQL} SELECT a.property_id, a.snapshot_day, a.stay_date, a.rooms, b.rooms AS prior_rooms, a.rooms - b.rooms AS pickup
