@@ -256,7 +256,10 @@ def named(sample, name):
         WHEN NOT (100 * (a4 - e4) <= -20 * e4 AND e4 - a4 >= 8) THEN 'CLEAR:CLEAR_WITHIN_EXPECTED_RANGE'
         WHEN conf < 5000 THEN 'SUPPRESSED_LOW_CONFIDENCE:LOW_CONFIDENCE' ELSE 'TRIGGERED:TRIGGER_PICKUP_SHORTFALL' END AS outcome FROM joined""")
 def pickup_low(spark, sf_dir):
-    b = Books(spark, sf_dir)
+    return pickup_of(Books(spark, sf_dir), spark, sf_dir)
+
+
+def pickup_of(b: Books, spark, sf_dir):
     keys = ["property_id", "stay_date"]
     rows = now(b, spark, sf_dir).join(named(b.baseline(), "baseline"), keys, "left").join(named(b.pickups(), "expected"), keys, "left")
     rows = rows.withColumn("confidence", F.when(F.col("expected_n").isNotNull() & F.col("baseline_n").isNotNull(), F.least("baseline_confidence", "expected_confidence")).otherwise(F.coalesce("baseline_confidence", "expected_confidence")))
@@ -273,7 +276,10 @@ RISK_SQL = f"""{PREFIX}, {BASELINE_SQL}, {REMAINING_SQL}, {FINALS_SQL}, {NOW_SQL
 
 
 def risk(spark, sf_dir):
-    b = Books(spark, sf_dir)
+    return risk_of(Books(spark, sf_dir), spark, sf_dir)
+
+
+def risk_of(b: Books, spark, sf_dir):
     keys = ["property_id", "stay_date"]
     pairs = b.final_pairs()
     rows = now(b, spark, sf_dir).join(named(b.baseline(), "baseline"), keys, "left")
@@ -292,8 +298,12 @@ def risk(spark, sf_dir):
         WHEN 100 * short4 >= 40 * available AND short4 >= 12 THEN 'TRIGGERED:TRIGGER_OCCUPANCY_AND_ROOM_SHORTFALL'
         WHEN 100 * short4 >= 40 * available THEN 'TRIGGERED:TRIGGER_OCCUPANCY_GAP' ELSE 'TRIGGERED:TRIGGER_ROOM_SHORTFALL' END AS outcome FROM joined""")
 def occupancy_risk(spark, sf_dir):
+    return occupancy_of(risk(spark, sf_dir))
+
+
+def occupancy_of(rows):
     c = {k: F.col(v) for k, v in {"rooms": "rooms", "available": "available", "baseline_n": "baseline_n", "pairs": "remaining_n", "final4": "final4", "remaining4": "remaining4", "confidence": "confidence"}.items()}
-    return risk(spark, sf_dir).select(
+    return rows.select(
         "property_id", "stay_date", "rooms", "available", "final4", "remaining4", "confidence", revenue.occupancy_risk(c).alias("outcome")
     )
 

@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from hostelry.plans import costs, decisions, distribution, expected, imports, labor, quality, records, snapshots  # noqa: F401
+    from hostelry.plans import analysis, costs, decisions, distribution, expected, imports, labor, quality, records, snapshots  # noqa: F401
 
 
 load()
