@@ -8,9 +8,13 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostelry.functions.storage import shared_folder
+
 #: The base rules. kind: (pattern, pattern of the part whose length counts, least length).
 RULES = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -22,6 +26,7 @@ RULES = {
 VERSIONS = {kind: f"{kind}-1" for kind in RULES}
 
 FINDINGS = "array<struct<start:int,place:int,kind:string,end:int>>"
+LEDGER = {"blob": "string", "rule": "string", "spans": FINDINGS}
 
 
 def found(text: Column, kind: str, place: int) -> Column:
@@ -102,10 +107,30 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and spans for every row of ``docs``: one full scan with an empty ledger."""
+def ledger(session: SparkSession, folder: str) -> DataFrame:
+    """blob, rule and spans of every pair that the ledger in ``folder`` has, each once; a new folder is an empty ledger."""
+    none = session.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in LEDGER.items()))
+    none.write.mode("append").parquet(folder)
+    rows = session.read.schema(", ".join(f"{name} {kind}" for name, kind in LEDGER.items())).parquet(folder)
+    # A scan that was recorded twice, as after a failure, counts once.
+    return rows.groupBy("blob", "rule").agg(F.min("spans").alias("spans"))
+
+
+def secrets(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id and spans for every row of ``docs``, by the ledger in ``folder`` (none: a new one).
+
+    A path may have any number of rows, one for each version of its text. Only pairs
+    of blob and rule version that the ledger lacks are scanned; they are appended to
+    it, and its findings, old and new, are joined back to all paths. Findings of
+    rule versions that are no longer in force stay in the ledger and out of the result.
+    """
+    session = docs.sparkSession
     paths = blobs_of(docs)
-    return joined_back(paths.select("doc_id", "blob"), scan(paths))
+    known = None if folder is None else ledger(session, folder)
+    folder = folder or f"{shared_folder(session)}/cut-{uuid.uuid4().hex}"
+    scan(paths, known).select(*LEDGER).write.mode("append").parquet(folder)
+    now = ledger(session, folder).where(F.col("rule").isin(*VERSIONS.values()))
+    return joined_back(paths.select("doc_id", "blob"), now)
 
 
 def redacted(text: Column, spans: Column) -> Column:

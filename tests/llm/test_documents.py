@@ -104,6 +104,24 @@ def test_only_unseen_pairs_are_scanned(docs):
     assert secret_scan.scan(paths, everything).count() == 0
 
 
+def test_a_ledger_grows_by_what_it_lacks(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ledger")
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "clean"), (3, "token=abcdefgh"), (4, None)], schema)
+    kinds = lambda frame: {r.doc_id: [s.kind for s in r.spans] for r in frame.collect()}
+    assert kinds(secret_scan.secrets(first, folder)) == {1: ["assign"], 2: [], 3: ["assign"], 4: []}
+    assert secret_scan.ledger(spark, folder).count() == 3 * 3
+    # Another version of one path, a new path with an old text, and nothing else: one blob is new.
+    second = spark.createDataFrame([(1, "token=abcdefgh"), (1, "0123456789abcdef01234567"), (9, "clean")], schema)
+    rows = secret_scan.secrets(second, folder).collect()
+    assert sorted((r.doc_id, [s.kind for s in r.spans]) for r in rows) == [(1, ["assign"]), (1, ["hex"]), (9, [])]
+    assert secret_scan.ledger(spark, folder).count() == 4 * 3
+    # A new version of one rule scans every blob at hand for it alone, and replaces what the old one found.
+    monkeypatch.setitem(secret_scan.VERSIONS, "hex", "hex-2")
+    assert sorted([s.kind for s in r.spans] for r in secret_scan.secrets(second, folder).collect()) == [[], ["assign"], ["hex"]]
+    assert secret_scan.ledger(spark, folder).groupBy("rule").count().where("rule = 'hex-2'").first()["count"] == 3
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "é token=abcdefgh 0123456789abcdef01234567"), (2, "clean")], "doc_id long, text string")
     rows = secret_scan.joined_back(secret_scan.blobs_of(frame), secret_scan.scan(secret_scan.blobs_of(frame)))
