@@ -15,10 +15,11 @@ import hashlib
 import zlib
 from array import array
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,101 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+class Merges:
+    """Byte-pair merges by rank: in each word the pair of least rank merges first, the leftmost of equal ones.
+
+    Words are merged together, one pair in each of them at a time; long ones, where
+    that would take many rounds, each by a queue of its pairs.
+    """
+
+    LONG = 48
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def merged(self, left: int, right: int) -> int | None:
+        key = left << 32 | right
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.values[at]) if at < len(self.keys) and self.keys[at] == key else None
+
+    def encoded(self, words: list[bytes]) -> list[array]:
+        """The ids of each word."""
+        out: list[array | None] = [None] * len(words)
+        rest = []
+        for i, word in enumerate(words):
+            if (rank := self.ranks.get(word)) is not None:
+                out[i] = array("I", [rank])
+            elif len(word) > self.LONG:
+                out[i] = array("I", self.queued(word))
+            else:
+                rest.append(i)
+        if rest:
+            flat, ends = self.together([words[i] for i in rest])
+            whole = flat.astype(np.uint32)
+            for i, a, b in zip(rest, ends[:-1].tolist(), ends[1:].tolist()):
+                out[i] = array("I", whole[a:b].tobytes())
+        return out
+
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and where each word's begin."""
+        sizes = np.array([len(w) for w in words])
+        ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        done_ids, done_owner = [], []
+        while len(ids):
+            rank = np.full(len(ids), self.NONE)
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = np.flatnonzero((self.keys[at] == key) & (owner[:-1] == owner[1:]))
+            rank[found] = self.values[at[found]]
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.minimum.reduceat(rank, begin)
+            spread = np.repeat(least, np.diff(np.append(begin, len(ids))))
+            ended = spread == self.NONE
+            done_ids.append(ids[ended])
+            done_owner.append(owner[ended])
+            place = np.flatnonzero((rank == spread) & ~ended)
+            place = place[np.append(True, owner[place[1:]] != owner[place[:-1]])] if len(place) else place
+            ids[place] = rank[place]
+            keep = ~ended
+            keep[place + 1] = False
+            ids, owner = ids[keep], owner[keep]
+        flat, of = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(of, kind="stable")
+        return flat[order], np.searchsorted(of[order], np.arange(len(words) + 1))
+
+    def queued(self, word: bytes) -> list[int]:
+        ids = self.single[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        get, n = self.merged, len(ids)
+        queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i], ids[i + 1])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            rank, i, left, right = heapq.heappop(queue)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x in (before[i], i):
+                y = after[x] if x >= 0 else n
+                if y < n and (r := get(ids[x], ids[y])) is not None:
+                    heapq.heappush(queue, (r, x, ids[x], ids[y]))
+        return [i for i in ids if i >= 0]
+
+
 BLOCKS = "block string, part int, doc_ids array<{id}>, blob binary"
 
 
@@ -134,25 +230,21 @@ def _blocked(pattern: str, parts: int | None, block_bytes: int):
     return run
 
 
-def _encoded(ranks_path: str, pattern: str):
+def _encoded(ranks_path: str):
     """For one part of all distinct words: encode each once, and answer every block."""
 
     def run(batches):
-        encoder = per_process(
-            ("bpe", ranks_path),
-            lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}),
-        )
+        merges = per_process(("merges", ranks_path), lambda: Merges(read_ranks(ranks_path)))
         ids_of: dict[bytes, array] = {}
         for batch in batches:
             out = []
             for blob in batch["blob"].to_pylist():
                 size = int.from_bytes(blob[:4], "little")
                 numbers, words = blob[4 : 4 + size], blob[4 + size :]
-                found = []
-                for word in unpacked_words(words):
-                    if (ids := ids_of.get(word)) is None:
-                        ids = ids_of[word] = array("I", encoder.encode_ordinary(word.decode()))
-                    found.append(ids)
+                own = unpacked_words(words)
+                new = [word for word in own if word not in ids_of]
+                ids_of.update(zip(new, merges.encoded(new)))
+                found = [ids_of[word] for word in own]
                 n = len(found)
                 flat = np.frombuffer(b"".join(found), np.uint32)
                 out.append(packed(np.concatenate([[n], unpacked(numbers), [len(i) for i in found], flat])))
@@ -218,7 +310,7 @@ def encode(
     answers = (
         rows.mapInArrow(_blocked(pattern, parts, block_bytes), schema)
         .groupBy("part")
-        .applyInArrow(_with_iterator(_encoded(ranks_path, pattern)), f"block string, doc_ids array<{id_type}>, blob binary")
+        .applyInArrow(_with_iterator(_encoded(ranks_path)), f"block string, doc_ids array<{id_type}>, blob binary")
     )
     texts = rows.mapInArrow(_blocked(pattern, None, block_bytes), schema).select("block", "doc_ids", "blob")
     return texts.unionByName(answers).groupBy("block").applyInArrow(_assembled, f"doc_id {id_type}, ids binary")

@@ -97,6 +97,18 @@ def test_a_text_of_50_mb_without_spaces(spark, counter):
     assert got.n_tokens == 50 * once
 
 
+def test_merges_against_the_library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    merges = byte_bpe.Merges(ranks)
+    random.seed(3)
+    syllables = ["a", "aa", "the", "ing", "tion", "er", "é", "漢", "😀", "1", "00", "!", "==", " ", "un", "s", "'", "ab", "ba", "xyz"]
+    words = sorted({"".join(random.choice(syllables) for _ in range(random.randint(1, 14))) for _ in range(4000)} | {"a" * n for n in range(1, 200)})
+    want = [library.encode_ordinary(w) for w in words]
+    assert [list(i) for i in merges.encoded([w.encode() for w in words])] == want
+    assert [merges.queued(w.encode()) for w in words if w.encode() not in ranks] == [x for w, x in zip(words, want) if w.encode() not in ranks]
+
+
 def test_no_rows(none):
     assert token_counts.token_counts(none, JSON, P.PATTERN).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(none, RANKS, P.PATTERN), RANKS).count() == 0
