@@ -135,6 +135,24 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.classes(table(spark, sf_dir, "documents"))
 
 
+_OP5_SQL = f"""
+    WITH RECURSIVE lists AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    sets AS (
+        SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {op5.WORDS} THEN list_transform(range(1, len(w) - {op5.WORDS} + 2), lambda i: array_to_string(w[i:i + {op5.WORDS} - 1], ' '))
+                                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM lists
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY ALL),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE {op5.WHOLE} * k >= {op5.PART} * (x.n + y.n - k)
+    ),
+    reached AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id
+    FROM lists LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reached GROUP BY ALL) USING (doc_id)"""
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = op6.draws(table(spark, sf_dir, "documents"))
     rows = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -202,4 +220,4 @@ QUERIES = {
     "op9_ngram_trie": op9_ngram_trie,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL, "op7_bm25_search": _OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL, "op5_jaccard_join": _OP5_SQL, "op7_bm25_search": _OP7_SQL}
