@@ -28,8 +28,11 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> I
     rows = pd.concat(list(batches)).sort_values("run_sequence")
     out = []
     for run, day, status in zip(rows["run_sequence"], rows["as_of"], rows["status"]):
-        if run <= last:
-            continue  # a run seen before, or out of order, changes nothing
+        if run == last:
+            continue  # the last run again changes nothing
+        if run < last:
+            out.append((key[0], run, day, status, "REFUSED_OUT_OF_ORDER"))
+            continue
         state, transition = step(state, status)
         episodes, last = episodes + (transition in ("OPENED", "REOPENED")), int(run)
         out.append((key[0], run, day, status, transition))
@@ -38,7 +41,10 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> I
 
 
 def lifecycle_stream(runs: DataFrame) -> DataFrame:
-    """Lifecycle steps of a stream of (identity, run_sequence, as_of, status); replays are no-ops."""
+    """Lifecycle steps of a stream of (identity, run_sequence, as_of, status); the last run again is a no-op.
+
+    A run older than the last one is refused: its row says so, and the state stays.
+    """
     return runs.select("identity", "run_sequence", "as_of", "status").groupBy("identity").applyInPandasWithState(
         _advance, STEP, HELD, "append", GroupStateTimeout.NoTimeout
     )

@@ -76,6 +76,18 @@ def test_lifecycle_stream(spark, tmp_path):
     assert got == [None, "OPENED", "RESOLVED", "REOPENED"]
 
 
+def test_lifecycle_stream_refuses_older_runs(spark, tmp_path):
+    schema = "identity long, run_sequence long, as_of string, status string"
+    source, steps = str(tmp_path / "in"), []
+    for runs in ([(1, 5, "2024-01-05", "TRIGGERED")], [(1, 5, "2024-01-05", "TRIGGERED"), (1, 3, "2024-01-03", "CLEAR")]):
+        rows = spark.createDataFrame(runs, schema).withColumn("as_of", F.to_date("as_of"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = memory.lifecycle_stream(spark.readStream.schema(rows.schema).parquet(source))
+        keep = lambda batch, n: steps.extend((r.run_sequence, r.transition) for r in batch.collect())
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert steps == [(5, "OPENED"), (3, "REFUSED_OUT_OF_ORDER")]
+
+
 def test_each_import_refreshes_once(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "in"))
     seen = []
