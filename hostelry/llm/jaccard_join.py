@@ -273,7 +273,7 @@ def _overlapping(batches):
 PAIR = "a long, b long, n_a long, n_b long"
 HEADS = ("a", "b", "n_a", "n_b")
 #: How many leaders each set tries in each round, before pairs across components are listed.
-ROUNDS = (1, 4, 8)
+ROUNDS = (1, 8, 16)
 
 
 def within(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
