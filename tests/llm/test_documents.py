@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -240,6 +241,17 @@ def test_estimates_count_all_documents(docs, monkeypatch):
     assert any(r.base_failed for r in rows) and seen == [len(rows)]
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_verdicts_against_labels(spark):
+    """The labels take no part in the estimates; the verdicts agree with them."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    judged = quality_rules.quality(read("documents"), ["doc_id"]).select("doc_id", "kept", "p_good", "base_failed")
+    rows = judged.join(read("labels"), "doc_id").collect()
+    kept = {q: sum(r.kept for r in rows if r.quality == q) / sum(r.quality == q for r in rows) for q in (0, 1)}
+    assert kept[1] > 0.95 and kept[0] < 0.05
+    assert all((r.p_good >= 0.5) == r.kept for r in rows if not r.base_failed)
+
+
 def test_quality_of_nothing(none):
     assert quality_rules.quality(none, ["doc_id"]).count() == 0
 
