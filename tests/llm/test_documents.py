@@ -259,7 +259,8 @@ def test_quality_of_nothing(none):
 # Language model
 
 
-def test_scores(docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores(docs, order):
     texts = docs.select("doc_id", "text").collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     single, grams = Counter(), Counter()
@@ -274,14 +275,14 @@ def test_scores(docs):
     for (*h, _), c in grams.items():
         context[tuple(h)] += c
         kinds[tuple(h)] += 1
-    got = by_id(ngram_trie.scores(docs, block_bytes=3000, parts=5))
+    got = by_id(ngram_trie.scores(docs, block_bytes=3000, parts=5, order=order))
     assert sum(map(len, got.values())) == len(texts)
     for r in texts:
         w = [*lowered(r.text), None]
         p1 = [(single[t] + 1) / (n + v + 1) for t in w]
         full = 0.0
         for i, p in enumerate(p1):
-            for h in ((0, *w)[i : i + 1], (0, *w)[i - 1 : i + 1] if i else ()):
+            for h in ((0, *w)[i : i + 1], (0, *w)[i - 1 : i + 1] if i and order > 2 else ()):
                 p = (grams[(*h, w[i])] + kinds[h] * p) / (context[h] + kinds[h]) if h and context[h] else p
             full += math.log10(p)
         for row in got[r.doc_id]:
