@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import table
+from hostelry.llm import best_fit_packing as op13
 from hostelry.llm import bm25_search as op7
 from hostelry.llm import byte_bpe as op10
 from hostelry.llm import jaccard_join as op5
 from hostelry.llm import chat_tree as op3
+from hostelry.llm import collocations as op11
 from hostelry.llm import merkle_audit as op4
 from hostelry.llm import ngram_trie as op9
 from hostelry.llm import quality_rules as op8
 from hostelry.llm import secret_scan as op2
 from hostelry.llm import source_mix as op6
+from hostelry.llm import token_alignment as op12
 from hostelry.llm import token_counts as op1
 
 
@@ -208,6 +211,54 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.collocations(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY ALL),
+    sizes AS (SELECT unnest(range(1, {op11.WORDS + 1})) AS k),
+    grams AS (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, sizes WHERE len(w) >= k)
+    ),
+    counts AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {op11.LEAST}),
+    cuts AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+    scores AS (
+        SELECT x.lang, x.phrase, x.a, c, l.a AS l, r.a AS r, n,
+               CAST(CAST(1000 AS HUGEINT) * x.a * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+        FROM cuts x JOIN counts l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:c], ' ')
+        JOIN counts r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[c + 1:x.k], ' ') JOIN totals t ON t.lang = x.lang
+    ),
+    least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    spans AS (SELECT lang, a, w, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT lang, k, a, w, unnest(range(2, k)) AS s FROM (SELECT DISTINCT lang, k, a, w FROM cuts))),
+    longer AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM spans GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM least LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR most < a
+    QUALIFY rank <= {op11.TOP}"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12.aligned(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    )
+    digest = F.when(F.size("links") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = op12.alignment(found.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = op13.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    packed = op13.pack(cut_up.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -219,5 +270,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_trie": op9_ngram_trie,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL, "op5_jaccard_join": _OP5_SQL, "op7_bm25_search": _OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": _op2_sql(), "op4_merkle_audit": _OP4_SQL, "op5_jaccard_join": _OP5_SQL, "op7_bm25_search": _OP7_SQL, "op11_collocations": _OP11_SQL}
