@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -29,6 +30,8 @@ WIDTH_BITS, ROWS, SHARD_BITS = 24, 2, 18
 MERGED = 32
 #: Words hashed at a time, and phrases that a task counts before it hands them on.
 AT_A_TIME, HELD = 1 << 19, 1 << 21
+#: Phrases of a range of hashes, whose counts meet in one task.
+RANGE = 1 << 15
 GROW, ADD = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
 PIECE = np.zeros(256, bool)
@@ -188,17 +191,42 @@ class Survivors:
             self.counts = np.concatenate([self.counts, counts[new]])
             self.hashes, self.rows = np.insert(self.hashes, at[new], found[new]), np.insert(self.rows, at[new], rows)
 
-    def batches(self):
-        at = 0
-        for lang, length, phrase in self.parts:
-            to = at + len(lang)
-            yield from pa.Table.from_arrays(
-                [lang.cast(pa.string()), length, phrase.cast(pa.string()), pa.array(self.counts[at:to])], ["lang", "n_words", "phrase", "a"]
-            ).to_batches(max_chunksize=1 << 16)
-            at = to
+    def batches(self, ranges: int):
+        """A row for each range of hashes that has phrases, with lists of them."""
+        if not len(self.counts):
+            return
+        hashes = np.empty(len(self.rows), np.uint64)
+        hashes[self.rows] = self.hashes
+        number = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(number, kind="stable")
+        found, begin = np.unique(number[order], return_index=True)
+        offsets = pa.array(np.append(begin, len(order)), pa.int32())
+        columns = [pa.concat_arrays([part[i] for part in self.parts]) for i in range(3)] + [pa.array(self.counts)]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        lists = [pa.ListArray.from_arrays(offsets, c.take(pa.array(order)).cast(kind)) for c, kind in zip(columns, kinds)]
+        batch = pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *lists], ["range", *COUNTED.names])
+        for at in range(0, batch.num_rows, 16):
+            yield batch.slice(at, 16)
 
 
-def _counted(bits, width_bits: int, words: int):
+COUNTED = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+
+
+def _added(least: int):
+    """Exact counts of one range's phrases from all tasks, those of ``least`` and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = COUNTED.empty_table()
+        for batch in batches:
+            own = pa.Table.from_arrays([batch[name].flatten() for name in COUNTED.names], schema=COUNTED)
+            both = pa.concat_tables([total, own]).group_by(["lang", "n_words", "phrase"]).aggregate([("a", "sum")])
+            total = both.rename_columns({"a_sum": "a"}).select(COUNTED.names).cast(COUNTED)
+        yield from total.filter(pa.compute.field("a") >= least).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+def _counted(bits, width_bits: int, words: int, ranges: int):
     def run(batches):
         rows = np.frombuffer(bits.value, np.uint8).reshape(ROWS, -1)
 
@@ -219,9 +247,9 @@ def _counted(bits, width_bits: int, words: int):
                     length = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
                     held.add(found, batch["lang"], first, length, hashes)
                 if len(held.counts) > HELD:
-                    yield from held.batches()
+                    yield from held.batches(ranges)
                     held = Survivors()
-        yield from held.batches()
+        yield from held.batches(ranges)
 
     return run
 
@@ -230,9 +258,11 @@ def phrase_counts(docs: DataFrame, *, width_bits: int = WIDTH_BITS, words: int =
     """(lang, n_words, phrase, a) of every phrase of up to ``words`` words that occurs ``least`` times in its language, and (lang, n)."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     bits, totals = frequent_cells(rows, width_bits=width_bits, words=words, least=least)
-    counter = _counted(docs.sparkSession.sparkContext.broadcast(bits), width_bits, words)
-    found = rows.mapInArrow(counter, "lang string, n_words int, phrase string, a long")
-    counts = found.groupBy("lang", "n_words", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    # A sketch's set cells tell about how many phrases survive.
+    survivors = int(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum()) // ROWS
+    counter = _counted(docs.sparkSession.sparkContext.broadcast(bits), width_bits, words, survivors // RANGE + 1)
+    found = rows.mapInArrow(counter, "range int, lang array<string>, n_words array<int>, phrase array<string>, a array<long>")
+    counts = found.groupBy("range").applyInArrow(_added(least), "lang string, n_words int, phrase string, a long")
     return cut(counts), totals
 
 

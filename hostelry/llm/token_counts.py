@@ -14,8 +14,10 @@ States of a transducer that forgets what lies some hundred characters back are f
 the entering one is read off the characters before the chunk, from the last certain
 boundary among them, or, in a run that has none, from some way into it. Maps compose
 if the state that one expects is the state that the one before leaves, which a scan
-over the chunks' numbers checks; no two chunks' texts ever meet. Texts where a
-guess was wrong are mapped again from further back, at last from their begin.
+over the chunks' numbers checks. Texts where a guess was wrong are mapped again from
+further back; where that is wrong too, their chunks pass in order through one task,
+which carries the state from one to the next. Chunks are cut in one reading of the
+text, and none sees more of it than a margin.
 """
 
 from __future__ import annotations
@@ -133,12 +135,16 @@ class Transducer:
         move = self.moves[state][byte] = (to, delta)
         return move
 
-    def run(self, text: bytes) -> tuple[int, tuple]:
-        """Tokens of a pre-token, or of the first part of one, and the state after it."""
+    def run(self, text: bytes, begin: tuple = ()) -> tuple[int, tuple]:
+        """Tokens of a pre-token, or of a part of one that ``begin`` enters, and the state after it."""
         if len(self.states) > self.max_states:
             self.reset()
         state = total = 0
         moves = self.moves
+        if begin and (state := self.names.get(begin)) is None:
+            state = self.names[begin] = len(self.states)
+            self.states.append(begin)
+            moves.append({})
         for byte in text:
             state, delta = moves[state].get(byte) or self.step(state, byte)
             total += delta
@@ -211,6 +217,42 @@ class Counter:
             begin = special = match.end()
         return place, 0, self.units.transducer.states[0]
 
+    def continued(self, carried: tuple, chunk: str, after: str) -> tuple[int, tuple]:
+        """(tokens emitted in the chunk, what is carried on) from what the chunk before carried.
+
+        That is: characters that stand for the open pre-token, the transducer's state in it,
+        and how many characters belong to a special token that has been counted.
+        """
+        context, state, skip = carried
+        if skip:
+            chunk, skip = chunk[skip:], max(skip - len(chunk), 0)
+            if not chunk:
+                return 0, ("", (), skip)
+        text, place = context + chunk + after, len(context) + len(chunk)
+        total = begin = special = 0
+        known = len(context)
+        while begin < place:
+            match = self.units.special.search(text, special)
+            stop = match.start() if match else len(text)
+            for piece in self.units.pattern.finditer(text[begin:stop]):
+                at, end = begin + piece.start(), begin + piece.end()
+                if at >= place:
+                    return total, ("", (), 0)
+                own = text[max(at, known) : min(end, place)].encode()
+                tokens, left = self.units.transducer.run(own, state if at < known else ())
+                total += tokens
+                if end > place:
+                    # Two characters tell the kind of a pre-token, and the last whether it may go on.
+                    open_part = text[at:place]
+                    return total, (open_part if len(open_part) < 4 else open_part[:2] + open_part[-1], left, 0)
+            if match is None or match.start() >= place:
+                break
+            total += 1
+            if match.end() > place:
+                return total, ("", (), match.end() - place)
+            begin = special = match.end()
+        return total, ("", (), 0)
+
     def chunk_map(self, before: str, chunk: str, after: str, first: bool) -> tuple[int, bytes, bytes]:
         """(tokens emitted in the chunk, state expected to enter, state that leaves)."""
         text = before + chunk + after
@@ -257,24 +299,38 @@ def _chunks_mapped(path: str, pattern: str):
     return run
 
 
-def scanned(texts: DataFrame, tokenizer_path: str, pattern: str, chunk_chars: int, before: int | None) -> DataFrame:
+def _chunked(size: int, before: int):
+    """Chunks of each text with ``before`` characters in front and ``AFTER`` behind; ``first`` if these reach its begin."""
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+                rows = []
+                for i, at in enumerate(range(0, len(text), size)):
+                    end = at + size
+                    rows.append((key, i, text[max(at - before, 0) : at], text[at:end], text[end : end + AFTER], at <= before))
+                    if len(rows) == 64 or end >= len(text):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHUNK.types)], schema=_CHUNK)
+                        rows = []
+
+    return run
+
+
+_CHUNK = pa.schema(
+    [("key", pa.binary()), ("chunk", pa.int64()), ("before", pa.string()), ("text", pa.string()), ("after", pa.string()), ("first", pa.bool_())]
+)
+
+
+def _chunks(texts: DataFrame, size: int, before: int) -> DataFrame:
+    return texts.mapInArrow(_chunked(size, before), "key binary, chunk long, before string, text string, after string, first boolean")
+
+
+def scanned(texts: DataFrame, tokenizer_path: str, pattern: str, chunk_chars: int, before: int) -> DataFrame:
     """key, n_tokens and sure for each text (key, text): the composition of its chunks' maps.
 
-    A chunk sees ``before`` characters in front of it, or all of them with None.
+    A chunk sees ``before`` characters in front of it.
     """
-    place = lambda i: i * chunk_chars + 1
-    back = lambda i: F.least(place(i) - 1, F.lit(before)) if before is not None else place(i) - 1
-    pieces = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / chunk_chars)),
-        lambda i: F.struct(
-            i.alias("chunk"),
-            F.substring("text", (place(i) - back(i)).cast("int"), back(i).cast("int")).alias("before"),
-            F.substring("text", place(i).cast("int"), F.lit(chunk_chars)).alias("text"),
-            F.substring("text", (place(i) + chunk_chars).cast("int"), F.lit(AFTER)).alias("after"),
-            (back(i) == place(i) - 1).alias("first"),
-        ),
-    )
-    chunks = texts.select("key", F.explode(pieces).alias("piece")).select("key", "piece.*").repartition(F.col("key"), F.col("chunk"))
+    chunks = _chunks(texts, chunk_chars, before).repartition(F.col("key"), F.col("chunk"))
     maps = chunks.mapInArrow(_chunks_mapped(tokenizer_path, pattern), "key binary, chunk long, n long, enters binary, leaves binary")
     # Texts that occur more than once are one here.
     once = maps.groupBy("key", "chunk").agg(*(F.min(c).alias(c) for c in ("n", "enters", "leaves")))
@@ -282,6 +338,35 @@ def scanned(texts: DataFrame, tokenizer_path: str, pattern: str, chunk_chars: in
     return once.withColumn("fits", fits).groupBy("key").agg(F.sum("n").alias("n_tokens"), F.min("fits").alias("sure"))
 
 
+def _in_order(path: str, pattern: str):
+    def run(batches):
+        count = per_process((path, pattern), lambda: Counter(path, pattern))
+        key, last, total, carried = None, -1, 0, ("", (), 0)
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([total], pa.int64()), pa.array([True])], ["key", "n_tokens", "sure"])
+
+        for batch in batches:
+            for own, chunk, text, after in zip(*(batch[c].to_pylist() for c in ("key", "chunk", "text", "after"))):
+                if own != key:
+                    if key is not None:
+                        yield row()
+                    key, last, total, carried = own, -1, 0, ("", (), 0)
+                if chunk > last:  # a text that occurs more than once comes so here
+                    tokens, carried = count.continued(carried, text, after)
+                    total, last = total + tokens, chunk
+        if key is not None:
+            yield row()
+
+    return run
+
+
+def in_order(texts: DataFrame, tokenizer_path: str, pattern: str, chunk_chars: int) -> DataFrame:
+    """The same as ``scanned``, always sure: chunks pass one after the other with the state that the one before left."""
+    chunks = _chunks(texts, chunk_chars, 0).repartition("key").sortWithinPartitions("key", "chunk")
+    return chunks.mapInArrow(_in_order(tokenizer_path, pattern), "key binary, n_tokens long, sure boolean")
+
+
 def token_counts(
     docs: DataFrame, tokenizer_path: str, pattern: str, *, limit: int = 512, chunk_chars: int = CHUNK
 ) -> DataFrame:
@@ -304,7 +389,8 @@ def token_counts(
     long_rows = base.where(long).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), key, "text")
     texts, found = long_rows.select("key", "text"), None
     for before in (*BEFORE, None):
-        maps = cut(scanned(texts, tokenizer_path, pattern, chunk_chars, before))
+        composed = in_order(texts, tokenizer_path, pattern, chunk_chars) if before is None else scanned(texts, tokenizer_path, pattern, chunk_chars, before)
+        maps = cut(composed)
         found = maps.where("sure") if found is None else found.unionByName(maps.where("sure"))
         unsure = maps.where("NOT sure").select("key")
         if unsure.isEmpty():

@@ -53,6 +53,25 @@ def test_transducer_and_chunk_maps_on_mixed_texts(counter, library):
     assert sure > 700
 
 
+def carried(counter, text, size, after=64):
+    total, state = 0, ("", (), 0)
+    for i in range(0, len(text), size):
+        tokens, state = counter.continued(state, text[i : i + size], text[i + size : i + size + after])
+        total += tokens
+    return total
+
+
+def test_chunks_in_order_carry_the_state(counter, library):
+    random.seed(4)
+    pool = ["a", "the", " ", "  ", "\n", "\t", "'s", "'", "''", "<|endoftext|>", "<|end", "é", "1", "23", "!!", "aaaa", "漢", "😀", "\u00a0", " x", "\r\n", "\0", "\x1c", "=" * 9, " " * 7, "b" * 11]
+    for _ in range(1500):
+        text = "".join(random.choice(pool) for _ in range(random.randint(0, 40)))
+        assert carried(counter, text, random.randint(1, 30)) == count(library, text)
+    for text in ("x" + "a" * 5000, " " * 777 + "b", "abc" * 3000 + "!", "\n" * 400 + " a", "'" * 50 + "s"):
+        for size in (1, 7, 90, 1000):
+            assert carried(counter, text, size) == count(library, text)
+
+
 def test_runs_without_a_boundary_compose(counter, library):
     random.seed(2)
     for alphabet in ("ab", "etaoins", "0123", "=-", " ", " \n", "é漢"):
@@ -97,6 +116,13 @@ def test_a_text_of_50_mb_without_spaces(spark, counter):
     assert got.n_tokens == 50 * once
 
 
+def test_a_long_run_whose_state_no_margin_tells(spark, counter):
+    """Tokens of equal letters depend on how far back the run began."""
+    frame = spark.range(2).selectExpr("id AS doc_id", "concat('xyz', repeat('a', 400000), ' b') AS text")
+    got = [r.n_tokens for r in token_counts.token_counts(frame, JSON, P.PATTERN).collect()]
+    assert got == [counter.whole("xyz" + "a" * 400000 + " b")] * 2
+
+
 def test_merges_against_the_library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
