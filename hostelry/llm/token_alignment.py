@@ -22,7 +22,7 @@ from hostelry.llm.arrays import gathered, in_slices, per_process, text_bytes
 from hostelry.llm.units import Kept, Pieces, byte_level, distinct, space_cuts, units
 
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens of a word up to which its cuts are searched one by one.
 SHORT = 64
 #: Id pairs up to which their counts are broadcast whole; beyond it the most frequent ones are, and the others are shuffled.
@@ -39,24 +39,39 @@ class Side:
     """One tokenizer: ids of distinct units, their ends within the unit, and whether they give the unit's bytes."""
 
     def __init__(self, encode):
-        self.kept = Kept(encode)
+        self.encode = encode
+        self.kept = Kept(self._flagged)
         self.bytes = np.frombuffer(b"".join(encode.token_bytes), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in encode.token_bytes])])
+        self.sizes = np.diff(self.offsets)
+
+    def _flagged(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with one more in front of each unit's: 1 where its tokens do not give its bytes."""
+        flat, counts = self.encode(names)
+        flat = flat.astype(np.int64)
+        made = np.add.reduceat(np.append(self.sizes[flat], 0), np.cumsum(counts) - counts)
+        want = np.fromiter(map(len, names), np.int64, len(names))
+        wrong = (made != want) | (counts == 0)
+        if not wrong.any():
+            # All lengths agree, so all bytes can be compared as they lie.
+            joined, laid = gathered(self.bytes, self.offsets, flat)[0], np.frombuffer(b"".join(names), np.uint8)
+            wrong = np.add.reduceat(joined != laid, np.cumsum(want) - want) > 0
+        else:
+            tokens = self.encode.token_bytes
+            begin = np.cumsum(counts) - counts
+            wrong = np.array([b"".join(tokens[i] for i in flat[x : x + n]) != name for x, n, name in zip(begin, counts, names)])
+        return np.insert(flat, np.cumsum(counts) - counts, wrong), counts + 1
 
     def __call__(self, data, begins, hashes, first):
         rows = self.kept.rows(data, begins, hashes, first)
         flat, counts = gathered(self.kept.flat, self.kept.ends, rows)
-        flat = flat.astype(np.int64)
-        sizes = np.diff(self.offsets)[flat]
-        owner = np.repeat(np.arange(len(counts)), counts)
-        unit_sizes = np.diff(begins)[first]
-        made = np.bincount(owner, sizes, len(counts)).astype(np.int64)
-        ends = np.cumsum(sizes) - np.repeat(np.cumsum(made) - made, counts)
-        same = made == unit_sizes
-        joined = gathered(self.bytes, self.offsets, flat[same[owner]])[0]
-        want, size = gathered(data, begins, first[same])
-        wrong = np.bincount(np.repeat(np.flatnonzero(same), size), joined != want, len(counts)) > 0
-        return flat, ends, counts, same & ~wrong
+        flags = np.cumsum(counts) - counts
+        good = flat[flags] == 0
+        flat, counts = np.delete(flat, flags).astype(np.int64), counts - 1
+        total = np.cumsum(self.sizes[flat])
+        last = np.cumsum(counts)
+        before = np.concatenate([[0], total[last[:-1] - 1]]) if len(total) else np.zeros(0, np.int64)
+        return flat, total - np.repeat(before, counts), counts, good
 
 
 def _tokenized(byte_path: str, pattern: str, piece_path: str):
@@ -107,34 +122,27 @@ def up_to(ends: Column, cuts: Column) -> Column:
     return F.transform(let(F.sort_array(marked), places), lambda p, k: p - k)
 
 
-def _short_side(ids: Column, ends: Column, cuts: Column) -> Column:
-    """The ids of each group as text, by asking of every end whether it is a cut."""
-    marked = F.transform(ids, lambda i, k: F.concat(i.cast("string"), F.when(F.array_contains(cuts, F.get(ends, k)), ";").otherwise(",")))
-    return F.slice(F.split(F.array_join(marked, ""), ";"), F.lit(1), F.size(cuts))
-
-
-def _long_side(ids: Column, ends: Column, cuts: Column) -> Column:
-    """The same by the numbers of ids up to each cut, which a sort gives."""
-
-    def groups(n: Column) -> Column:
-        before = lambda k: F.when(k > 1, F.get(n, k - 2)).otherwise(0)
-        part = lambda k: F.slice(ids, before(k) + 1, F.get(n, k - 1) - before(k))
-        return F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: F.array_join(part(k).cast("array<string>"), ","))
-
-    return let(up_to(ends, cuts), groups)
-
-
 def groups(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
     """``a1,a2|b1;a3|b2``: the ids of groups, which end where tokens of both sides do."""
 
     def listed(cuts: Column) -> Column:
-        both = lambda side: F.array_join(F.zip_with(side(a, a_ends, cuts), side(b, b_ends, cuts), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-        # Where every token of one side has the bytes of one of the other, ids are paired as they stand.
-        paired = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
-        one_to_one = (F.size(cuts) == F.size(a)) & (F.size(cuts) == F.size(b))
-        return F.when(one_to_one, paired).when(F.size(a) + F.size(b) <= SHORT, both(_short_side)).otherwise(both(_long_side))
+        # Few ends are searched for each cut, many are sorted with the cuts.
+        few = F.size(a) + F.size(b) <= SHORT
+        searched = lambda ends: F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
+        places = lambda ends: F.when(few, searched(ends)).otherwise(up_to(ends, cuts))
+        return let(places(a_ends), lambda i: let(places(b_ends), lambda j: each(cuts, i, j)))
+
+    def each(cuts: Column, i: Column, j: Column) -> Column:
+        def part(ids: Column, n: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(n, k - 2), F.lit(0))
+            return F.array_join(F.slice(ids, before + 1, F.get(n, k - 1) - before), ",")
+
+        texts = lambda x, y: F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: F.concat(part(x, i, k), F.lit("|"), part(y, j, k)))
+        return F.array_join(let(a.cast("array<string>"), lambda x: let(b.cast("array<string>"), lambda y: texts(x, y))), ";")
 
-    return let(F.array_intersect(a_ends, b_ends), listed)
+    # Where the ends are the same, ids are paired as they stand.
+    paired = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+    return F.when(a_ends == b_ends, paired).otherwise(let(F.array_intersect(a_ends, b_ends), listed))
 
 
 def links(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
@@ -157,7 +165,7 @@ def links(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
 
         return F.filter(F.transform(ends, link), F.isnotnull)
 
-    return let(F.sort_array(every), each)
+    return F.when(a_ends == b_ends, F.zip_with(a, b, pair)).otherwise(let(F.sort_array(every), each))
 
 
 def aligned(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> DataFrame:

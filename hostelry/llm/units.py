@@ -23,7 +23,7 @@ from hostelry.llm.arrays import SPACE, gathered, word_hashes
 #: UTF-8 bytes of text taken at a time; a longer unit widens it.
 PART = 2 << 20
 #: Distinct units kept from part to part, and ids of them.
-KEPT, KEPT_IDS = 1 << 21, 1 << 24
+KEPT, KEPT_IDS = 1 << 20, 1 << 23
 
 
 def _ends_in_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
