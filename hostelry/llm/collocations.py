@@ -26,6 +26,8 @@ from hostelry.llm.arrays import LOWER, gathered, in_slices, mixed, packed, text_
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Cells of a sketch's row (its rows take different bits of one hash), and of the shards that are merged apart.
 WIDTH_BITS, ROWS, SHARD_BITS = 24, 2, 18
+#: Where a task's cells stop, and hashes that are added before they are held to it; ``least`` must be below.
+FULL = 1 << 15
 #: Sketches that are summed by one task before the last sum.
 MERGED = 32
 #: Words hashed at a time, and phrases that a task counts before it hands them on.
@@ -105,7 +107,8 @@ def _cells(hashes: np.ndarray, row: int, width_bits: int) -> np.ndarray:
 def _sketched(width_bits: int, words: int):
     def run(batches):
         shard_bits = min(SHARD_BITS, width_bits)
-        sketch = np.zeros((ROWS, 1 << width_bits), np.uint32)
+        # Cells stop at half of what 16 bits hold, far above any ``least``: of more than that nothing is asked.
+        sketch = np.zeros((ROWS, 1 << width_bits), np.uint16)
         totals: dict[str, int] = {}
         for big in batches:
             for batch in in_slices(big, "text"):
@@ -115,8 +118,11 @@ def _sketched(width_bits: int, words: int):
                     totals[lang] = totals.get(lang, 0) + n
                 for at in range(0, len(found.hashes), AT_A_TIME):
                     for _, _, hashes in found.phrases(None, at, min(at + AT_A_TIME, len(found.hashes)), words):
-                        for row in range(ROWS):
-                            np.add.at(sketch[row], _cells(hashes, row, width_bits), np.uint32(1))
+                        for begin in range(0, len(hashes), FULL):
+                            for row, cells in enumerate(sketch):
+                                own = _cells(hashes[begin : begin + FULL], row, width_bits).astype(np.intp)
+                                np.add.at(cells, own, np.uint16(1))
+                                cells[own] = np.minimum(cells[own], FULL - 1)
         for lang, n in totals.items():
             yield _sketch_rows([None], [None], [lang], [n])
         shards = sketch.reshape(-1, 1 << shard_bits)
@@ -302,6 +308,8 @@ def collocations(
     each, other columns are ignored. Phrases never cross a mark or a line's end. Scores
     are exact: products are decimals of 38 digits, so counts may have 17.
     """
+    if least >= FULL:
+        raise ValueError(f"least must be below {FULL}")
     counts, totals = phrase_counts(docs, width_bits=width_bits, words=words, least=least)
     kept = scored(counts, totals).join(subsumed(counts, share), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

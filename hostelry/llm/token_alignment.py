@@ -22,7 +22,9 @@ from hostelry.llm.arrays import gathered, in_slices, per_process, text_bytes
 from hostelry.llm.units import Kept, Pieces, byte_level, distinct, space_cuts, units
 
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+#: Distinct words of each side that a worker keeps.
+KEPT = 1 << 19
 #: Tokens of a word up to which its cuts are searched one by one.
 SHORT = 64
 #: Id pairs up to which their counts are broadcast whole; beyond it the most frequent ones are, and the others are shuffled.
@@ -40,7 +42,7 @@ class Side:
 
     def __init__(self, encode):
         self.encode = encode
-        self.kept = Kept(self._flagged)
+        self.kept = Kept(self._flagged, KEPT)
         self.bytes = np.frombuffer(b"".join(encode.token_bytes), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in encode.token_bytes])])
         self.sizes = np.diff(self.offsets)
@@ -122,50 +124,78 @@ def up_to(ends: Column, cuts: Column) -> Column:
     return F.transform(let(F.sort_array(marked), places), lambda p, k: p - k)
 
 
-def groups(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
-    """``a1,a2|b1;a3|b2``: the ids of groups, which end where tokens of both sides do."""
+def _mark(side: int):
+    return lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long") if side == 0 else i.cast("long").bitwiseOR(F.lit(_SIDE)))
 
-    def listed(cuts: Column) -> Column:
-        # Few ends are searched for each cut, many are sorted with the cuts.
-        few = F.size(a) + F.size(b) <= SHORT
-        searched = lambda ends: F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
-        places = lambda ends: F.when(few, searched(ends)).otherwise(up_to(ends, cuts))
-        return let(places(a_ends), lambda i: let(places(b_ends), lambda j: each(cuts, i, j)))
 
-    def each(cuts: Column, i: Column, j: Column) -> Column:
-        def part(ids: Column, n: Column, k: Column) -> Column:
-            before = F.coalesce(F.get(n, k - 2), F.lit(0))
-            return F.array_join(F.slice(ids, before + 1, F.get(n, k - 1) - before), ",")
+def merged(a_ends: Column, b_ends: Column) -> Column:
+    """All ends in order as ``end << 32 | side | number``; where both sides end, the first side comes first."""
+    return F.sort_array(F.concat(F.transform(a_ends, _mark(0)), F.transform(b_ends, _mark(1))))
 
-        texts = lambda x, y: F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: F.concat(part(x, i, k), F.lit("|"), part(y, j, k)))
-        return F.array_join(let(a.cast("array<string>"), lambda x: let(b.cast("array<string>"), lambda y: texts(x, y))), ";")
 
-    # Where the ends are the same, ids are paired as they stand.
-    paired = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
-    return F.when(a_ends == b_ends, paired).otherwise(let(F.array_intersect(a_ends, b_ends), listed))
+def groups(ends: Column, a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
+    """``a1,a2|b1;a3|b2``: the ids of groups, which end where tokens of both sides do (``ends``: ``merged``)."""
+
+    def few(cuts: Column) -> Column:
+        """Ends are walked in order; each is searched among the cuts."""
+        number = lambda x: x.bitwiseAND(_SIDE - 1).cast("int")
+        of = lambda ids, x: F.concat(F.lit(","), F.get(ids, number(x)).cast("string"))
+        state = lambda done, x, y: F.struct(done.alias("done"), x.alias("x"), y.alias("y"))
+
+        def step(acc: Column, x: Column) -> Column:
+            behind = F.concat(acc["y"], of(b, x))
+            closed = F.concat(acc["done"], F.lit(";"), F.substring(acc["x"], 2, _SIDE - 1), F.lit("|"), F.substring(behind, 2, _SIDE - 1))
+            return (
+                F.when(x.bitwiseAND(_SIDE) == 0, state(acc["done"], F.concat(acc["x"], of(a, x)), acc["y"]))
+                .when(F.array_contains(cuts, F.shiftright(x, 32).cast("int")), state(closed, F.lit(""), F.lit("")))
+                .otherwise(state(acc["done"], acc["x"], behind))
+            )
+
+        return F.aggregate(ends, state(F.lit(""), F.lit(""), F.lit("")), step, lambda acc: F.substring(acc["done"], 2, _SIDE - 1))
+
+    def many(cuts: Column) -> Column:
+        """The cuts are sorted in among the ends."""
+
+        def each(i: Column, j: Column) -> Column:
+            def part(ids: Column, n: Column, k: Column) -> Column:
+                before = F.coalesce(F.get(n, k - 2), F.lit(0))
+                return F.array_join(F.slice(ids, before + 1, F.get(n, k - 1) - before), ",")
+
+            texts = lambda x, y: F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: F.concat(part(x, i, k), F.lit("|"), part(y, j, k)))
+            return F.array_join(let(a.cast("array<string>"), lambda x: let(b.cast("array<string>"), lambda y: texts(x, y))), ";")
 
+        return let(up_to(a_ends, cuts), lambda i: let(up_to(b_ends, cuts), lambda j: each(i, j)))
 
-def links(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
-    """Pairs ``a << 32 | b`` of all tokens whose bytes overlap, in order.
+    return let(F.array_intersect(a_ends, b_ends), lambda cuts: F.when(F.size(ends) <= SHORT, few(cuts)).otherwise(many(cuts)))
 
-    Between two neighbouring ends, of either side, lies what one pair shares. Sorted
-    together, an end of one side at place p with number i there has p - i ends of the
-    other side before it; where both sides end, the first of the two stands for them.
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
+
+
+def links(ends: Column, a: Column, b: Column) -> Column:
+    """Pairs ``a << 32 | b`` of all tokens whose bytes overlap, in order (``ends``: ``merged``).
+
+    Between two neighbouring ends, of either side, lies what one pair shares. An end of
+    one side at place p with number i there has p - i ends of the other side before it;
+    where both sides end, the first of the two stands for them.
     """
-    mark = lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long"))
-    every = F.concat(F.transform(a_ends, mark), F.transform(b_ends, lambda e, j: mark(e, j).bitwiseOR(F.lit(_SIDE))))
-    pair = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long"))
 
-    def each(ends: Column) -> Column:
-        def link(x: Column, p: Column) -> Column:
-            number = x.bitwiseAND(_SIDE - 1).cast("int")
-            again = (p > 0) & (F.shiftright(F.get(ends, p - 1), 32) == F.shiftright(x, 32))
-            of_a = pair(F.get(a, number), F.get(b, p - number))
-            return F.when(x.bitwiseAND(_SIDE) == 0, of_a).when(~F.coalesce(again, F.lit(False)), pair(F.get(a, p - number), F.get(b, number)))
+    def link(x: Column, p: Column) -> Column:
+        number = x.bitwiseAND(_SIDE - 1).cast("int")
+        again = (p > 0) & (F.shiftright(F.get(ends, p - 1), 32) == F.shiftright(x, 32))
+        of_a = _pair(F.get(a, number), F.get(b, p - number))
+        return F.when(x.bitwiseAND(_SIDE) == 0, of_a).when(~F.coalesce(again, F.lit(False)), _pair(F.get(a, p - number), F.get(b, number)))
 
-        return F.filter(F.transform(ends, link), F.isnotnull)
+    return F.filter(F.transform(ends, link), F.isnotnull)
 
-    return F.when(a_ends == b_ends, F.zip_with(a, b, pair)).otherwise(let(F.sort_array(every), each))
+
+def word(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
+    """groups and links of one word. Where all ends are the same, ids are paired as they stand."""
+    both = lambda texts, pairs: F.struct(texts.alias("groups"), pairs.alias("links"))
+    paired = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+    apart = let(merged(a_ends, b_ends), lambda ends: both(groups(ends, a, a_ends, b, b_ends), links(ends, a, b)))
+    return F.when(a_ends == b_ends, both(paired, F.zip_with(a, b, _pair))).otherwise(apart)
 
 
 def aligned(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> DataFrame:
@@ -182,9 +212,7 @@ def aligned(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> D
     )
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_tokenized(byte_path, pattern, piece_path), schema)
-    word = lambda w: F.struct(
-        groups(w["a"], w["a_ends"], w["b"], w["b_ends"]).alias("groups"), links(w["a"], w["a_ends"], w["b"], w["b_ends"]).alias("links")
-    )
+    each = lambda w: word(w["a"], w["a_ends"], w["b"], w["b_ends"])
 
     def text(known: Column):
         own = lambda t, part: F.transform(t["words"], lambda k: F.get(known, k)[part])
@@ -193,7 +221,7 @@ def aligned(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> D
             F.array_join(own(t, "groups"), ";").alias("groups"), F.flatten(own(t, "links")).alias("links"),
         )
 
-    return blocks.select(F.inline(let(F.transform("words", word), lambda known: F.transform("texts", text(known)))))
+    return blocks.select(F.inline(let(F.transform("words", each), lambda known: F.transform("texts", text(known)))))
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ def distinct(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Kept:
     """Ids of units, as ``encode`` gives them for a list of units (end to end, and how many each has)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int | None = None):
+        self.encode, self.most = encode, most
         self._forget()
 
     def _forget(self) -> None:
@@ -104,7 +104,7 @@ class Kept:
 
     def rows(self, data: np.ndarray, begins: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows in ``flat`` and ``ends`` of distinct units (rising hashes, and a unit with each)."""
-        if len(self.hashes) > KEPT or len(self.flat) > KEPT_IDS:
+        if len(self.hashes) > (self.most or KEPT) or len(self.flat) > KEPT_IDS:
             self._forget()
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)
@@ -208,6 +208,7 @@ def byte_level(path: str, pattern: str, special_as_text: bool) -> ByteLevel:
     byte = printable_bytes()
     added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
     ids = {i: bytes(byte[c] for c in entry) for entry, i in spec["model"]["vocab"].items() if i not in added}
+    del spec
     token_bytes = [b""] * (max([*ids, *added]) + 1)
     for i, text in (ids | added).items():
         token_bytes[i] = text
