@@ -21,8 +21,8 @@ from hostelry.functions.storage import cut
 from hostelry.llm.arrays import gathered, in_slices, per_process, text_bytes
 from hostelry.llm.units import Kept, Pieces, byte_level, distinct, space_cuts, units
 
-#: UTF-8 bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 3 << 20
+#: UTF-8 bytes of text with which a block ends. Larger blocks repeat fewer words.
+BLOCK_BYTES = 12 << 20
 #: Distinct words of each side that a worker keeps.
 KEPT = 1 << 19
 #: Tokens of a word up to which its cuts are searched one by one.
@@ -76,35 +76,70 @@ class Side:
         return flat, total - np.repeat(before, counts), counts, good
 
 
+class Block:
+    """Texts as numbers of words, and the words' tokens, gathered slice by slice."""
+
+    def __init__(self, a: Side, b: Side):
+        self.sides, self.bytes = (a, b), 0
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tokens: list[list[np.ndarray]] = [[] for _ in range(6)]
+        self.good, self.sizes = np.zeros(0, bool), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.texts: list[tuple] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        data, offsets = text_bytes(batch["text"])
+        self.bytes += len(data)
+        some = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][some], 0x20)
+        offsets = offsets + np.concatenate([[0], np.cumsum(some)])
+        begins = units(data, offsets, space_cuts)
+        hashes, first, place = distinct(data, begins)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        numbers = np.empty(len(hashes), np.int64)
+        numbers[known], numbers[new] = self.number[at[known]], np.arange(len(self.good), len(self.good) + len(new))
+        self.hashes, self.number = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.number, at[new], numbers[new])
+        found = [side(data, begins, hashes[new], first[new]) for side in self.sides]
+        for i, (ids, ends, counts, _) in enumerate(found):
+            for j, values in enumerate((ids, ends, counts)):
+                self.tokens[3 * i + j].append(values.astype(np.int32))
+        self.good = np.concatenate([self.good, found[0][3] & found[1][3]])
+        self.sizes = tuple(np.concatenate([known_n, n]) for known_n, (_, _, n, _) in zip(self.sizes, found))
+        words = numbers[place]
+        at = np.searchsorted(begins, offsets)
+        bad = np.concatenate([[0], np.cumsum(~self.good[words])])
+        good = bad[at[1:]] == bad[at[:-1]]
+        sums = [np.concatenate([[0], np.cumsum(n[words])]) for n in self.sizes]
+        n_a, n_b = (np.where(good, s[at[1:]] - s[at[:-1]], 0) for s in sums)
+        self.texts.append((batch["doc_id"], words[np.repeat(good, np.diff(at))].astype(np.int32), np.where(good, np.diff(at), 0), n_a, n_b))
+
+    def row(self) -> pa.RecordBatch:
+        a, a_ends, a_n, b, b_ends, b_n = (np.concatenate(values) for values in self.tokens)
+        table = pa.StructArray.from_arrays([_lists(a, a_n), _lists(a_ends, a_n), _lists(b, b_n), _lists(b_ends, b_n)], ["a", "a_ends", "b", "b_ends"])
+        words, sizes, n_a, n_b = (np.concatenate([t[i] for t in self.texts]) for i in range(1, 5))
+        doc_ids = pa.concat_arrays([t[0] for t in self.texts])
+        texts = pa.StructArray.from_arrays([doc_ids, _lists(words, sizes), pa.array(n_a), pa.array(n_b)], ["doc_id", "words", "n_a", "n_b"])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([one(table), one(texts)], ["words", "texts"])
+
+
 def _tokenized(byte_path: str, pattern: str, piece_path: str):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         a = per_process(("side", byte_path, pattern), lambda: Side(byte_level(byte_path, pattern, True)))
         b = per_process(("side", piece_path), lambda: Side(Pieces(piece_path)))
+        block = Block(a, b)
         for big in batches:
-            for batch in in_slices(big, "text", BLOCK_BYTES):
-                data, offsets = text_bytes(batch["text"])
-                some = np.diff(offsets) > 0
-                data = np.insert(data, offsets[:-1][some], 0x20)
-                offsets = offsets + np.concatenate([[0], np.cumsum(some)])
-                begins = units(data, offsets, space_cuts)
-                hashes, first, number = distinct(data, begins)
-                (a_ids, a_ends, a_n, a_ok), (b_ids, b_ends, b_n, b_ok) = (side(data, begins, hashes, first) for side in (a, b))
-                table = pa.StructArray.from_arrays(
-                    [_lists(a_ids, a_n), _lists(a_ends, a_n), _lists(b_ids, b_n), _lists(b_ends, b_n)], ["a", "a_ends", "b", "b_ends"]
-                )
-                at = np.searchsorted(begins, offsets)
-                bad = np.concatenate([[0], np.cumsum(~(a_ok & b_ok)[number])])
-                good = bad[at[1:]] == bad[at[:-1]]
-                own = np.where(good, np.diff(at), 0)
-                sums = [np.concatenate([[0], np.cumsum(n[number])]) for n in (a_n, b_n)]
-                n_a, n_b = (np.where(good, s[at[1:]] - s[at[:-1]], 0) for s in sums)
-                texts = pa.StructArray.from_arrays(
-                    [batch["doc_id"], _lists(number[np.repeat(good, np.diff(at))], own), pa.array(n_a), pa.array(n_b)],
-                    ["doc_id", "words", "n_a", "n_b"],
-                )
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([one(table), one(texts)], ["words", "texts"])
+            for batch in in_slices(big, "text"):
+                block.add(batch)
+                if block.bytes >= BLOCK_BYTES:
+                    yield block.row()
+                    block = Block(a, b)
+        if block.texts:
+            yield block.row()
 
     return run
 
