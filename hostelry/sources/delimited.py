@@ -15,10 +15,25 @@ CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first lines of a file as bytes, at most ``HEAD``; no more of it is read than its first lines need."""
+    lines = spark.read.option("sep", "\x01").option("encoding", "ISO-8859-1").option("quote", "").option("lineSep", "\n").schema("line string").csv(path)
+    head = "\n".join(row.line or "" for row in lines.limit(200).collect())
+    return head.encode("latin-1", "replace")[:HEAD]
+
+
+def _outside_quotes(line: str, delimiter: str) -> int:
+    return sum(part.count(delimiter) for part in line.split('"')[::2])
+
+
 def sniffed(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> tuple[str, str]:
-    """(delimiter, encoding): UTF-8 unless the head is not, else Windows-1252; the delimiter that cuts the header most."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("head")).first()["head"]
-    raw = bytes(head)
+    """(delimiter, encoding): UTF-8 unless the head is not, else Windows-1252; the delimiter of a ``sep=`` line, else the one that cuts the header most.
+
+    A head with a NUL is no text and is refused.
+    """
+    raw = _head(spark, path)
+    if b"\0" in raw:
+        raise ValueError("the file is not plain text in UTF-8 or Windows-1252")
     if encoding is None:
         try:
             # A head may end within a character.
@@ -27,15 +42,30 @@ def sniffed(spark: SparkSession, path: str, delimiter: str | None = None, encodi
         except UnicodeDecodeError:
             encoding = "windows-1252"
     if delimiter is None:
-        header = raw.decode("utf-8" if encoding == "UTF-8" else "cp1252", "replace").lstrip("﻿").splitlines()[:1] or [""]
-        delimiter = max(DELIMITERS, key=lambda d: header[0].count(d))
+        lines = [x for x in raw.decode("utf-8" if encoding == "UTF-8" else "cp1252", "replace").lstrip("\ufeff").splitlines() if x.strip()] or [""]
+        if hinted(lines[0]) in DELIMITERS:
+            return hinted(lines[0]), encoding
+        header = lines[1] if hinted(lines[0]) and len(lines) > 1 else lines[0]
+        best = max(DELIMITERS, key=lambda d: _outside_quotes(header, d))
+        delimiter = best if _outside_quotes(header, best) else ","
     return delimiter, encoding
 
 
+def hinted(line: str) -> str | None:
+    """The delimiter that a first line such as ``sep=;`` names."""
+    return line[4] if len(line) == 5 and line.lower().startswith("sep=") else None
+
+
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
     """All cells as text under the file's headers; blanks stay apart from missing cells. Too many columns are refused."""
     delimiter, encoding = sniffed(spark, path, delimiter, encoding)
     windows = encoding == "windows-1252"
+    first = _head(spark, path).decode("utf-8", "replace").lstrip("\ufeff").splitlines()[:1]
+    source = path
+    if first and hinted(first[0]):
+        # The hint is no header: the lines behind it are read as text first.
+        lines = spark.read.option("encoding", "ISO-8859-1" if windows else encoding).option("sep", "\x01").option("quote", "").schema("line string").csv(path)
+        source = lines.where(~F.col("line").rlike("(?i)^\ufeff?sep=.$")).rdd.map(lambda row: row.line)
     rows = (
         spark.read.option("header", True)
         .option("sep", delimiter)
@@ -44,7 +74,7 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
         .option("escape", '"')
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
-        .csv(path)
+        .csv(source)
     )
     if len(rows.columns) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} columns")

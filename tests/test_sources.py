@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from hostelry.sources import delimited, invoice_xml, sinks, workbook
+from hostelry.sources import delimited, formats, invoice_xml, sinks, workbook
 from hostelry.streaming import memory
 
 
@@ -95,3 +95,48 @@ def test_each_import_refreshes_once(spark, tmp_path):
     memory.on_each_import(files, str(tmp_path / "cp"), lambda batch, n: seen.append(batch.count())).awaitTermination(120)
     memory.on_each_import(files, str(tmp_path / "cp"), lambda batch, n: seen.append(batch.count())).awaitTermination(120)
     assert seen == [3]
+
+
+def test_kinds_of_files_and_refusals(spark, tmp_path):
+    files = {
+        "a.csv": b"Id;City\n1;x\n", "b.CSV": "sep=,\nId;x,City\n1,Forl\u00ec\n".encode(), "c.csv": b"PK\x03\x04zip", "d.csv": "Id,x".encode("utf-16"), "e.csv": b" \r\n\n", "f.csv": "Citt\u00e0\tId\n".encode("cp1252"),
+        "g.xlsx": b"PK\x03\x04rest", "h.xlsx": b"Id;City", "i.xml": b"\xef\xbb\xbf<F/>", "j.xml": b"<!DOCTYPE x><F/>", "k.xml": b"text", "l.pdf": b"%PDF", "m.xml.p7m": b"x", "n": b"x", "o.csv": b'"a;b;c",Id,City\n',
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in formats.detect(spark, str(tmp_path)).collect()}
+    none = (None, None, None)
+    assert got == {
+        "a.csv": ("csv", None, "UTF-8", ";", False), "b.CSV": ("csv", None, "UTF-8", ",", True), "c.csv": (None, "WORKBOOK_NAMED_CSV", *none), "d.csv": (None, "NOT_TEXT", *none), "e.csv": (None, "EMPTY_FILE", *none),
+        "f.csv": ("csv", None, "windows-1252", "\t", False), "g.xlsx": ("xlsx", None, *none), "h.xlsx": (None, "NOT_A_WORKBOOK", *none), "i.xml": ("xml", None, *none), "j.xml": (None, "DOCTYPE", *none),
+        "k.xml": (None, "NOT_XML", *none), "l.pdf": (None, "PDF_NOT_SUPPORTED", *none), "m.xml.p7m": (None, "SIGNED_P7M_NOT_SUPPORTED", *none), "n": (None, "UNSUPPORTED_EXTENSION", *none),
+        "o.csv": ("csv", None, "UTF-8", ",", False),
+    }
+
+
+def test_a_hint_line_and_no_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sep=;\nId;Name,City\n1;a,b\n")
+    rows = delimited.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert rows.columns == ["Id", "Name,City"] and [tuple(r) for r in rows.collect()] == [("1", "a,b")]
+    (tmp_path / "b.csv").write_bytes("Id,x\n".encode("utf-16"))
+    with pytest.raises(ValueError):
+        delimited.read_delimited(spark, str(tmp_path / "b.csv"))
+
+
+def test_canonical_layout():
+    found, others = formats.canonical_mapping(["Work Date", "role", "Role", "Note"], ["work_date", "role", "planned_hours"])
+    assert found == {"work_date": "Work Date", "role": "role"} and others == ["Note"]
+
+
+def test_of_two_writers_one_conflicts(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    ids = lambda at=None: sorted(r.id for r in sinks.stored(spark, path, at).collect())
+    assert sinks.stored(spark, path) is None and sinks.commit(rows(1, 2), path, 0) == 1
+    # Both have read version 1; the second to commit fails and leaves nothing behind.
+    assert sinks.commit(rows(3), path, 1) == 2
+    with pytest.raises(sinks.Conflict):
+        sinks.commit(rows(4), path, 1)
+    assert ids() == [1, 2, 3] and ids(1) == [1, 2] and sinks.version(spark, path) == 2
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("commit=")]) == 2
+    assert sinks.commit(rows(9), path, 2, replace=True) == 3 and ids() == [9]
