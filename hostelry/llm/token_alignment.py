@@ -22,10 +22,10 @@ from hostelry.llm.arrays import gathered, in_slices, per_process, text_bytes
 from hostelry.llm.units import Kept, Pieces, byte_level, distinct, space_cuts, units
 
 #: UTF-8 bytes of text with which a block ends. Larger blocks repeat fewer words.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Distinct words of each side that a worker keeps.
-KEPT = 1 << 19
-#: Tokens of a word up to which its cuts are searched one by one.
+KEPT = 1 << 18
+#: Tokens of a word up to which its groups are put together one by one.
 SHORT = 64
 #: Id pairs up to which their counts are broadcast whole; beyond it the most frequent ones are, and the others are shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -172,21 +172,21 @@ def groups(ends: Column, a: Column, a_ends: Column, b: Column, b_ends: Column) -
     """``a1,a2|b1;a3|b2``: the ids of groups, which end where tokens of both sides do (``ends``: ``merged``)."""
 
     def few(cuts: Column) -> Column:
-        """Ends are walked in order; each is searched among the cuts."""
+        """Ends are walked in order, and the cuts with them."""
         number = lambda x: x.bitwiseAND(_SIDE - 1).cast("int")
         of = lambda ids, x: F.concat(F.lit(","), F.get(ids, number(x)).cast("string"))
-        state = lambda done, x, y: F.struct(done.alias("done"), x.alias("x"), y.alias("y"))
+        state = lambda done, x, y, k: F.struct(done.alias("done"), x.alias("x"), y.alias("y"), k.alias("k"))
 
         def step(acc: Column, x: Column) -> Column:
             behind = F.concat(acc["y"], of(b, x))
             closed = F.concat(acc["done"], F.lit(";"), F.substring(acc["x"], 2, _SIDE - 1), F.lit("|"), F.substring(behind, 2, _SIDE - 1))
             return (
-                F.when(x.bitwiseAND(_SIDE) == 0, state(acc["done"], F.concat(acc["x"], of(a, x)), acc["y"]))
-                .when(F.array_contains(cuts, F.shiftright(x, 32).cast("int")), state(closed, F.lit(""), F.lit("")))
-                .otherwise(state(acc["done"], acc["x"], behind))
+                F.when(x.bitwiseAND(_SIDE) == 0, state(acc["done"], F.concat(acc["x"], of(a, x)), acc["y"], acc["k"]))
+                .when(F.get(cuts, acc["k"]) == F.shiftright(x, 32), state(closed, F.lit(""), F.lit(""), acc["k"] + 1))
+                .otherwise(state(acc["done"], acc["x"], behind, acc["k"]))
             )
 
-        return F.aggregate(ends, state(F.lit(""), F.lit(""), F.lit("")), step, lambda acc: F.substring(acc["done"], 2, _SIDE - 1))
+        return F.aggregate(ends, state(F.lit(""), F.lit(""), F.lit(""), F.lit(0)), step, lambda acc: F.substring(acc["done"], 2, _SIDE - 1))
 
     def many(cuts: Column) -> Column:
         """The cuts are sorted in among the ends."""
