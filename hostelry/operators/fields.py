@@ -248,3 +248,42 @@ def assigned(found: DataFrame, order: list[str]) -> DataFrame:
     clash = lambda chosen, e: F.exists(chosen, lambda c: (c["col"] == e["col"]) | (c["field"] == e["field"]))
     chosen = F.aggregate("entries", none, lambda chosen, e: F.when(clash(chosen, e), chosen).otherwise(F.concat(chosen, F.array(e))))
     return listed.select("file", F.inline(chosen)).select("file", "col", "field", "level", "total", "kind", "score")
+
+
+# Weights of a kind of data in hundredths, and the scores and leads (in ten-thousandths) that make it sure.
+COVERAGE, BREADTH, TITLE = 58, 24, 18
+FLOOR, HIGH, MEDIUM = 2500, (6200, 2000), (4000, 800)
+
+
+def domain_scores(chosen: DataFrame, files: DataFrame, groups: DataFrame) -> DataFrame:
+    """file, domain, score, coverage (both in ten-thousandths) of every kind of data for each file.
+
+    chosen: file, domain, field, level (1 to 3); files: file, title (its lines); groups: domain, group, fields (any
+    of them will do) and title_words (stems, the same in all groups of a domain). Groups with a field that is at
+    least fairly sure count for coverage, all fields for breadth, a word of the title for the rest.
+    """
+    domains = groups.groupBy("domain").agg(F.count("*").alias("groups"), F.first("title_words").alias("title_words"))
+    stems = files.select("file", words.tokens(F.coalesce("title", F.lit(""))).alias("stems"))
+    # Kinds of data are few and fixed, so every file meets all of them.
+    kinds = F.broadcast(domains.agg(F.collect_list(F.struct("domain", "groups", "title_words")).alias("kinds")))
+    every = stems.join(kinds, F.lit(True)).select("file", "stems", F.inline("kinds"))
+    sure = chosen.where("level >= 2").join(groups.select("domain", "group", F.explode("fields").alias("field")), ["domain", "field"])
+    met = sure.groupBy("file", "domain").agg(F.countDistinct("group").alias("met"))
+    broad = chosen.groupBy("file", "domain").agg(F.countDistinct("field").alias("fields"))
+    told = every.join(met, ["file", "domain"], "left").join(broad, ["file", "domain"], "left").fillna(0, ["met", "fields"])
+    least = F.greatest(F.lit(4), F.col("groups")).cast("long")
+    hit = F.arrays_overlap("stems", "title_words").cast("long")
+    # Over one denominator, so that the rounding is exact.
+    below = F.col("groups") * least
+    above = COVERAGE * F.col("met") * least + BREADTH * F.least(F.col("fields"), least) * F.col("groups") + TITLE * hit * below
+    rounded = lambda a, b: ((2 * a + b - (2 * a + b) % (2 * b)) / (2 * b)).cast("long")
+    return told.select("file", "domain", rounded(100 * above, below).alias("score"), rounded(10_000 * F.col("met"), F.col("groups")).alias("coverage"))
+
+
+def domain_verdicts(scores: DataFrame, floor: int = FLOOR, high: tuple[int, int] = HIGH, medium: tuple[int, int] = MEDIUM) -> DataFrame:
+    """file, domain and level: the best kind of data where its score and its lead over the next suffice, else null and LOW."""
+    by = Window.partitionBy("file").orderBy(F.col("score").desc(), "domain")
+    ranked = scores.withColumns({"place": F.row_number().over(by), "next": F.coalesce(F.lead("score").over(by), F.lit(0))}).where("place = 1")
+    reaches = lambda need: (F.col("score") >= need[0]) & (F.col("score") - F.col("next") >= need[1])
+    level = F.when(F.col("score") < floor, "LOW").when(reaches(high), "HIGH").when(reaches(medium), "MEDIUM").otherwise("LOW")
+    return ranked.select("file", F.when(level != "LOW", F.col("domain")).alias("domain"), level.alias("level"), "score", (F.col("score") - F.col("next")).alias("lead"))

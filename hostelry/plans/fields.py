@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostelry.functions.cells import stemmed
 from hostelry.functions.storage import cut
+from hostelry.operators import days
 from hostelry.operators import fields as op
 from hostelry.plans.registry import query
 from hostelry.plans.views import table
@@ -140,3 +142,60 @@ def related_amounts(spark, sf_dir):
     cells = cut(rows.select(F.concat(F.lit("file_"), "f").alias("file"), "row", F.inline(listed)))
     found = op.invoice_amounts(cells, op.column_profiles(cells))
     return found.select("file", F.col("col").cast("long").alias("col"), "field")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS start FROM orders)
+    SELECT 'week_' || k AS file, CAST(i AS BIGINT) AS col, start + CAST(i AS INTEGER) AS day, CASE k % 6 WHEN 0 THEN 'HEADERS' WHEN 5 THEN 'PERSON' ELSE 'TITLE' END AS source
+    FROM o, (SELECT unnest(range(7)) AS i) WHERE k % 6 <> 4""")
+def day_grids(spark, sf_dir):
+    """Dates of the columns of weeks: dates, weekdays after a title, weekdays with days, days and months, days that do not fit, a day that a person names."""
+    k, start = F.col("o_orderkey"), F.to_date("o_orderdate")
+    names = F.array(*(F.lit(x) for x in ("Lun", "Martedì", "mer", "Thursday", "Ven.", "sab", "Domenica")))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("week_"), k).alias("file"), (k % 6).alias("form"), start.alias("start"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("col"))
+    day = F.date_add("start", F.col("col"))
+    name = F.get(names, F.weekday(day))
+    label = (
+        F.when(F.col("form") == 0, day.cast("string")).when(F.col("form").isin(1, 5), name).when(F.col("form") == 2, F.concat(name, F.lit(" "), F.dayofmonth(day).cast("string")))
+        .when(F.col("form") == 3, F.date_format(day, "dd/MM")).otherwise(F.concat(name, F.lit(" "), F.dayofmonth(F.date_add(day, 1)).cast("string")))
+    )
+    anchors = rows.where("col = 0").select("file", F.when(F.col("form").between(1, 4), F.col("start")).alias("title_start"), F.when(F.col("form") == 5, F.date_add("start", (F.col("k") % 7).cast("int"))).alias("person_start"))
+    found = days.resolved_days(rows.select("file", "col", label.alias("label")), anchors)
+    return found.select("file", F.col("col").cast("long").alias("col"), F.col("on").alias("day"), "source")
+
+
+#: Groups of fields that each kind of data needs, and words of titles that name it.
+DOMAINS = {
+    "BOOKINGS": ((("check_in",), ("check_out", "nights"), ("room_revenue",)), "prenotazioni bookings urgent"),
+    "COSTS": ((("supplier",), ("invoice_number", "invoice_date"), ("line_total",), ("description",)), "fatture invoices high"),
+    "LABOR": ((("work_date",), ("planned_hours", "actual_hours")), "turni ore low"),
+}
+_DOMAIN_FIELDS = [(d, g, f) for d, (groups, _) in DOMAINS.items() for g, fields in enumerate(groups) for f in fields]
+_THRESHOLDS = (op.FLOOR, op.HIGH, op.MEDIUM)
+
+
+@query(f"""WITH names AS (SELECT unnest({[d for d, _, _ in _DOMAIN_FIELDS]}) AS domain, unnest({[g for _, g, _ in _DOMAIN_FIELDS]}) AS grp, unnest({[f for _, _, f in _DOMAIN_FIELDS]}) AS field, unnest(range({len(_DOMAIN_FIELDS)})) AS j),
+    kinds AS (SELECT domain, count(DISTINCT grp) AS n, greatest(4, count(DISTINCT grp)) AS least FROM names GROUP BY ALL),
+    chosen AS (SELECT o_orderkey AS k, domain, grp, (o_orderkey // (j + 1)) % 3 + 1 AS level FROM orders, names WHERE (o_orderkey // 7 + 3 * j) % 5 < 3),
+    met AS (SELECT k, domain, count(DISTINCT CASE WHEN level >= 2 THEN grp END) AS met, count(*) AS fields FROM chosen GROUP BY ALL),
+    titles AS (SELECT o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'BOOKINGS' WHEN '2-HIGH' THEN 'COSTS' WHEN '5-LOW' THEN 'LABOR' END AS hit FROM orders),
+    raw AS (
+        SELECT t.k, x.domain, 58 * coalesce(met, 0) * least + 24 * least(coalesce(fields, 0), least) * n + 18 * (CASE WHEN hit = x.domain THEN 1 ELSE 0 END) * n * least AS above, n * least AS below
+        FROM titles t CROSS JOIN kinds x LEFT JOIN met m ON m.k = t.k AND m.domain = x.domain
+    ),
+    scored AS (SELECT k, domain, (200 * above + below) // (2 * below) AS score FROM raw),
+    ranked AS (SELECT k, domain, score, coalesce(lead(score) OVER w, 0) AS next, row_number() OVER w AS place FROM scored WINDOW w AS (PARTITION BY k ORDER BY score DESC, domain)),
+    told AS (SELECT *, CASE WHEN score < {_THRESHOLDS[0]} THEN 'LOW' WHEN score >= {_THRESHOLDS[1][0]} AND score - next >= {_THRESHOLDS[1][1]} THEN 'HIGH'
+        WHEN score >= {_THRESHOLDS[2][0]} AND score - next >= {_THRESHOLDS[2][1]} THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ranked WHERE place = 1)
+    SELECT k AS file, CASE WHEN level <> 'LOW' THEN domain END AS domain, level, CAST(score AS BIGINT) AS score, CAST(score - next AS BIGINT) AS lead FROM told""")
+def file_domains(spark, sf_dir):
+    """The kind of data of each file, by the fields that were found, their breadth and the title, where it leads far enough."""
+    orders = table(spark, sf_dir, "orders")
+    names = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(f).alias("field"), F.lit(j).alias("j")) for j, (d, _, f) in enumerate(_DOMAIN_FIELDS)))
+    every = orders.select(F.col("o_orderkey").alias("file"), F.inline(names))
+    chosen = every.where("(file div 7 + 3 * j) % 5 < 3").select("file", "domain", "field", F.expr("(file div (j + 1)) % 3 + 1").alias("level"))
+    groups = spark.createDataFrame(
+        [(d, g, list(fields), stemmed(told.split())) for d, (parts, told) in DOMAINS.items() for g, fields in enumerate(parts)], "domain string, group int, fields array<string>, title_words array<string>"
+    )
+    files = orders.select(F.col("o_orderkey").alias("file"), F.concat(F.lit("Elenco: "), "o_orderpriority").alias("title"))
+    found = op.domain_verdicts(op.domain_scores(chosen, files, groups), *_THRESHOLDS)
+    return found.select("file", "domain", "level", "score", "lead")
