@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostelry.functions import cells as words
-from hostelry.operators import fields, sheets, structured
+from hostelry.operators import days, fields, sheets, structured
 
 CELLS = "file string, sheet string, row int, col int, value string"
 
@@ -306,3 +307,76 @@ def test_documents_and_their_issues(spark):
     first = structured.invoice_documents(lines).where("document = 1").first()
     assert first.issues == ["gross:INCONSISTENT_HEADER", "line:DUPLICATE_LINE_NUMBER"] and first.lines == 3 and float(first.line_sum) == 30 and not first.ready
     assert structured.invoice_documents(lines).where("document = 3").first().ready
+
+
+NAMES = ["Lun", "Martedì", "mer", "gio.", "Friday", "SAB", "dom"]
+
+
+def plain_days(labels, start, person):
+    """All starts within a week tried in turn: the one from which days follow each other and every label agrees."""
+    day = datetime.timedelta(days=1)
+    starts = [start] if not person else [start - i * day for i in range(7)]
+    weekdays = [NAMES.index(x.split(" ")[0]) for x in labels]
+    for first in starts:
+        if person and first.weekday() != weekdays[0]:
+            continue
+        cursor, out = first, []
+        for label, week in zip(labels, weekdays):
+            while cursor.weekday() != week:
+                cursor += day
+            if " " in label and int(label.split(" ")[1]) != cursor.day:
+                return None
+            out.append(cursor)
+            cursor += day
+        return out
+    return None
+
+
+def test_days_equal_a_search_of_starts(spark):
+    draw = random.Random(11)
+    labels, anchors, want = [], [], {}
+    for f in range(60):
+        start = datetime.date(2026, 1, 1) + datetime.timedelta(days=draw.randint(0, 700))
+        person = draw.random() < 0.4
+        shown = [start + datetime.timedelta(days=i) for i in sorted(draw.sample(range(9), draw.randint(3, 6)))]
+        told = [NAMES[d.weekday()] + (f" {d.day + (draw.random() < 0.05)}" if draw.random() < 0.5 else "") for d in shown]
+        anchor = start + datetime.timedelta(days=draw.randint(0, 6)) if person else start
+        labels += [(f"f{f}", 2 * i + 1, x) for i, x in enumerate(told)] + [(f"f{f}", 0, "Persona"), (f"f{f}", 40, "Totale")]
+        anchors.append((f"f{f}", None if person else anchor, anchor if person else None))
+        if (days_found := plain_days(told, anchor, person)) is not None:
+            want[f"f{f}"] = days_found
+    found = days.resolved_days(
+        spark.createDataFrame(labels, "file string, col int, label string"), spark.createDataFrame(anchors, "file string, title_start date, person_start date")
+    )
+    got: dict = {}
+    for r in found.orderBy("file", "col").collect():
+        got.setdefault(r.file, []).append(r.on)
+    assert got == want and 30 < len(want) < 60
+
+
+def test_labels_of_days(spark):
+    told = {
+        "2026-10-26": "2026-10-26", "26/10/26": "2026-10-26", "26.10": "(26, 10)", "lun 26 ott": "0 (26, 10)", "Monday": "0", "31/02/2026": "None", "Lun 45": "None", "Totale": "None", "lun 3 pane": "None", "Marzo": "None",
+    }
+    rows = spark.createDataFrame([(x,) for x in told], "x string").select("x", days.day_of(F.col("x")).alias("d")).collect()
+
+    def shown(d):
+        if d is None:
+            return "None"
+        return str(d.on) if d.on else " ".join(str(p) for p in (d.weekday, (d.day, d.month) if d.day else None) if p is not None)
+
+    assert {r.x: shown(r.d) for r in rows} == told
+    labels = spark.createDataFrame([("f", i, x) for i, x in enumerate(("29/12", "31/12", "02/01"))] + [("g", i, "Lun") for i in range(2)] + [("h", i, "Lun") for i in range(3)], "file string, col int, label string")
+    anchors = spark.createDataFrame([(f, datetime.date(2026, 12, 28)) for f in "fg"], "file string, title_start date").withColumn("person_start", F.lit(None).cast("date"))
+    assert [str(r.on) for r in days.resolved_days(labels, anchors).orderBy("col").collect()] == ["2026-12-29", "2026-12-31", "2027-01-02"]
+
+
+def test_kinds_of_data(spark):
+    groups = spark.createDataFrame([("A", 0, ["x"], ["prim"]), ("A", 1, ["y", "z"], ["prim"]), ("B", 0, ["u"], ["second"])], "domain string, group int, fields array<string>, title_words array<string>")
+    chosen = spark.createDataFrame([("f", "A", "x", 3), ("f", "A", "z", 2), ("g", "A", "x", 1), ("g", "B", "u", 3)], "file string, domain string, field string, level int")
+    files = spark.createDataFrame([("f", "Prima lista"), ("g", None), ("h", "nulla")], "file string, title string")
+    scores = fields.domain_scores(chosen, files, groups)
+    got = {(r.file, r.domain): r.score for r in scores.collect()}
+    exact = lambda met, groups, fields_, hit: round(10_000 * (0.58 * met / groups + 0.24 * min(1, fields_ / 4) + 0.18 * hit))
+    assert got == {("f", "A"): exact(2, 2, 2, 1), ("f", "B"): 0, ("g", "A"): exact(0, 2, 1, 0), ("g", "B"): exact(1, 1, 1, 0), ("h", "A"): 0, ("h", "B"): 0}
+    assert {r.file: (r.domain, r.level) for r in fields.domain_verdicts(scores).collect()} == {"f": ("A", "HIGH"), "g": ("B", "HIGH"), "h": (None, "LOW")}
