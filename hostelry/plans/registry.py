@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from hostelry.plans import analysis, costs, decisions, distribution, expected, fields, imports, labor, quality, records, sheets, snapshots, structured  # noqa: F401
+    from hostelry.plans import analysis, costs, decisions, distribution, expected, fields, imports, labor, quality, records, removals, sheets, snapshots, structured  # noqa: F401
 
 
 load()
