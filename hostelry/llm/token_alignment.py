@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import gathered, in_slices, per_process, text_bytes
+from hostelry.llm.arrays import SLICE, gathered, in_slices, per_process, text_bytes
 from hostelry.llm.units import Kept, Pieces, byte_level, distinct, space_cuts, units
 
 #: UTF-8 bytes of text with which a block ends. Larger blocks repeat fewer words.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Distinct words of each side that a worker keeps.
-KEPT = 1 << 18
+KEPT = 1 << 17
 #: Tokens of a word up to which its groups are put together one by one.
 SHORT = 64
 #: Id pairs up to which their counts are broadcast whole; beyond it the most frequent ones are, and the others are shuffled.
@@ -133,7 +133,7 @@ def _tokenized(byte_path: str, pattern: str, piece_path: str):
         b = per_process(("side", piece_path), lambda: Side(Pieces(piece_path)))
         block = Block(a, b)
         for big in batches:
-            for batch in in_slices(big, "text"):
+            for batch in in_slices(big, "text", SLICE):
                 block.add(batch)
                 if block.bytes >= BLOCK_BYTES:
                     yield block.row()
