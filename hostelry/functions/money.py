@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def to_cents(amount: Column) -> Column:
-    """Whole cents of a decimal amount; an amount with a fraction of a cent is an error."""
+    """Whole cents of a decimal amount, null for null; an amount with a fraction of a cent is an error."""
     cents = amount * 100
-    return F.when(cents == cents.cast("bigint"), cents.cast("bigint")).otherwise(
+    return F.when(cents.isNull() | (cents == cents.cast("bigint")), cents.cast("bigint")).otherwise(
         F.raise_error(F.lit("amount finer than a cent")).cast("bigint")
     )
 

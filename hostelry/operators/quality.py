@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +97,3 @@ def running_check(rows: DataFrame, keys: list[str], order: str, total: str, cent
 def unpivoted(rows: DataFrame, ids: list[str], days: list[str]) -> DataFrame:
     """A grid of people and days as one row for each filled cell."""
     return rows.unpivot(ids, days, "day", "minutes").where("minutes IS NOT NULL AND minutes <> 0")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import ROUND_HALF_UP, Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from hostelry.functions import dates, money, stats, text
@@ -109,3 +110,19 @@ def test_python_text_functions(spark):
     rows = spark.createDataFrame([("ab", "ba"), ("kitten", "sitting"), (None, "x")], "a string, b string")
     got = rows.select(text.transposing_distance("a", "b").alias("d"), text.similarity("a", "b").alias("r"), text.normal_key("a").alias("k")).collect()
     assert [r.d for r in got] == [1, 3, None] and got[0].k == "ab" and abs(got[1].r - 0.6154) < 1e-9
+
+
+def test_keys_of_any_text(spark):
+    told = {
+        "Società_& Figli": "societa and figli", "ÀÉ  x": "ae x", "ﬁne №5": "fine no5", "Straße": "strasse", "Ǆ Ελλάς": "dz ελλασ", "東京・x": "東京 x", "²½": "21 2", "": "", "!?": "",
+    }
+    rows = spark.createDataFrame([(t,) for t in [*told, None]], "t string")
+    assert {r.t: r.k for r in rows.select("t", text.normal_key("t").alias("k")).collect()} == told | {None: None}
+
+
+def test_cents_there_and_back(spark):
+    amounts = spark.createDataFrame([(Decimal("12.34"),), (Decimal("-0.05"),), (Decimal("99999999.99"),), (None,)], "a decimal(14,2)")
+    rows = amounts.select("a", money.to_cents(F.col("a")).alias("c"), money.from_cents(money.to_cents(F.col("a"))).alias("back")).collect()
+    assert [r.c for r in rows] == [1234, -5, 9999999999, None] and all(r.a == r.back for r in rows)
+    with pytest.raises(Exception, match="finer than a cent"):
+        spark.createDataFrame([(Decimal("1.005"),)], "a decimal(10,3)").select(money.to_cents(F.col("a"))).collect()

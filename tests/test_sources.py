@@ -140,3 +140,9 @@ def test_of_two_writers_one_conflicts(spark, tmp_path):
     assert ids() == [1, 2, 3] and ids(1) == [1, 2] and sinks.version(spark, path) == 2
     assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("commit=")]) == 2
     assert sinks.commit(rows(9), path, 2, replace=True) == 3 and ids() == [9]
+
+
+def test_a_template_is_a_header_and_nothing_else(spark, tmp_path):
+    delimited.write_template(spark, ["work_date", "role, kind"], str(tmp_path / "t"))
+    rows = delimited.read_delimited(spark, str(next((tmp_path / "t").glob("*.csv"))))
+    assert rows.columns == ["work_date", "role, kind"] and rows.count() == 0

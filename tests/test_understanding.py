@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostelry.functions import cells as words
-from hostelry.operators import days, fields, sheets, structured
+from hostelry.operators import days, fields, quality, removals, sheets, structured
 
 CELLS = "file string, sheet string, row int, col int, value string"
 
@@ -380,3 +380,31 @@ def test_kinds_of_data(spark):
     exact = lambda met, groups, fields_, hit: round(10_000 * (0.58 * met / groups + 0.24 * min(1, fields_ / 4) + 0.18 * hit))
     assert got == {("f", "A"): exact(2, 2, 2, 1), ("f", "B"): 0, ("g", "A"): exact(0, 2, 1, 0), ("g", "B"): exact(1, 1, 1, 0), ("h", "A"): 0, ("h", "B"): 0}
     assert {r.file: (r.domain, r.level) for r in fields.domain_verdicts(scores).collect()} == {"f": ("A", "HIGH"), "g": ("B", "HIGH"), "h": (None, "LOW")}
+
+
+def test_removals_follow_the_log(spark):
+    records = spark.createDataFrame([(k, "r" if k < 6 else "q", datetime.date(2026, 1, k)) for k in range(1, 8)], "key int, register string, day date")
+    log = spark.createDataFrame([(2, 1, "REMOVED"), (3, 1, "REMOVED"), (3, 2, "RESTORED")], "key int, entry long, action string")
+    registers = spark.createDataFrame([("r", datetime.date(2026, 1, 1), datetime.date(2026, 1, 4))], "register string, first_day date, last_day date")
+    held = spark.createDataFrame([("r", 1), ("r", 2), ("r", 2)], "register string, key int")
+    assert {r.key: r.valid for r in removals.with_state(records, log).collect()} == {k: k != 2 for k in range(1, 8)}
+    gained = removals.entries(records, log, registers, held).cache()
+    # 5 lies behind the register's days, 6 and 7 are another's.
+    assert {(r.key, r.entry, r.action) for r in gained.collect()} == {(2, 2, "RESTORED"), (3, 3, "REMOVED"), (4, 1, "REMOVED")}
+    after = removals.with_state(records, log.unionByName(gained.select("key", "entry", "action")))
+    assert {r.key for r in after.where("NOT valid").collect()} == {3, 4}
+    again = removals.entries(records, log.unionByName(gained.select("key", "entry", "action")), registers, held)
+    assert again.count() == 0
+    assert [(r.key, r.place, r.removed) for r in removals.preview(records, gained, 1).collect()] == [(4, 1, 2)]
+
+
+def test_equal_records_take_places(spark):
+    incoming = spark.createDataFrame([(1, "f", "a"), (2, "f", "a"), (3, "f", "b"), (4, "f", "c"), (5, "f", "c"), (6, "g", "a")], "id int, fingerprint string, category string")
+    stored = spark.createDataFrame([(10, "f", "a", True), (11, "f", "x", True), (12, "f", "a", False), (13, "f", "b", False), (14, "h", "a", True)], "key int, fingerprint string, category string, valid boolean")
+    got = {r.id: (r.key, r.place) for r in removals.placed(incoming, stored).collect()}
+    assert got == {1: (10, "KEPT"), 2: (11, "RECLASSIFIED"), 3: (12, "RESTORED"), 4: (13, "RESTORED"), 5: (None, "NEW"), 6: (None, "NEW")}
+
+
+def test_rows_that_share_a_key(spark):
+    rows = quality.siblings(spark.createDataFrame([("a",), ("b",), ("a",)], "id string"), "id")
+    assert sorted((r.id, r.sharing) for r in rows.collect()) == [("a", 2), ("a", 2), ("b", 1)]
