@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +25,27 @@ def shared_folder(session: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders of tables that ``cut`` has written and nobody has dropped, with their sessions.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(session: SparkSession, folder: str) -> None:
+    path = session._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables that ``cut`` has written; called when the driver ends with its session open."""
+    while _written:
+        folder, session = _written.popitem()
+        try:
+            if session.sparkContext._jsc is not None:
+                _delete(session, folder)
+        except (Py4JError, OSError):  # the session has ended before
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder and continue from there.
 
@@ -32,6 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     session = df.sparkSession
     path = f"{shared_folder(session)}/cut-{uuid.uuid4().hex}"
+    _written[path] = session
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
@@ -42,9 +66,10 @@ def drop(*tables: DataFrame | None) -> None:
         folders = {file.rpartition("/")[0] for file in df.inputFiles()} if df is not None else ()
         for folder in folders:
             if "/cut-" in folder:
-                jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, folder)
+                name = folder.rpartition("/")[2]
+                for path in [p for p in _written if p.endswith(name)]:
+                    del _written[path]
 
 
 def table(session: SparkSession, sf_dir: str, name: str) -> DataFrame:

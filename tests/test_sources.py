@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from hostelry.functions import storage
 from hostelry.sources import delimited, formats, invoice_xml, sinks, workbook
 from hostelry.streaming import memory
 
@@ -146,3 +147,18 @@ def test_a_template_is_a_header_and_nothing_else(spark, tmp_path):
     delimited.write_template(spark, ["work_date", "role, kind"], str(tmp_path / "t"))
     rows = delimited.read_delimited(spark, str(next((tmp_path / "t").glob("*.csv"))))
     assert rows.columns == ["work_date", "role, kind"] and rows.count() == 0
+
+
+def test_tables_that_were_cut_are_deleted(spark):
+    import os
+
+    folder = storage.shared_folder(spark).removeprefix("file:")
+    tables = lambda: {name for name in os.listdir(folder) if name.startswith("cut-")}
+    storage.clear()
+    before = tables()
+    one, two = storage.cut(spark.range(3)), storage.cut(spark.range(4))
+    assert len(tables() - before) == 2 and one.count() == 3
+    storage.drop(one)
+    assert len(tables() - before) == 1 and two.count() == 4
+    storage.clear()
+    assert tables() == before
