@@ -37,7 +37,7 @@ BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 SUCCESSOR_BYTES = 5
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each range of first words.
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 ONE = np.uint64(1)
 
 
@@ -438,7 +438,7 @@ def _scored(train_tokens: int, vocabulary: int, order: int):
 
 
 def scores(
-    docs: DataFrame, *, folds: int = 7, held_fold: int = 2, block_bytes: int = BLOCK_BYTES, parts: int | None = None, order: int = 2
+    docs: DataFrame, *, folds: int = 7, held_fold: int = 2, block_bytes: int = BLOCK_BYTES, parts: int | None = None, order: int = 3
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
