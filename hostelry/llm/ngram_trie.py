@@ -37,7 +37,7 @@ BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 SUCCESSOR_BYTES = 5
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for each range of first words.
-PART_BYTES = 3 << 20
+PART_BYTES = 5 << 20
 ONE = np.uint64(1)
 
 
@@ -382,7 +382,7 @@ def _answered(table: pa.Table) -> pa.Table:
         at = np.searchsorted(words, own_words)
         mine, mine_deep = pair[x : x + len(seconds)], triple[y : y + len(thirds)]
         x, y = x + len(seconds), y + len(thirds)
-        blobs.append(joined(packed(total[at]), codes[0][at].tobytes(), codes[1][mine].tobytes(), codes[2][mine].tobytes(), codes[3][mine_deep].tobytes(), *books))
+        blobs.append(joined(packed(total[at]), packed(codes[0][at]), packed(codes[1][mine]), packed(codes[2][mine]), packed(codes[3][mine_deep]), *books))
     n = len(blobs)
     known = int((total > 0).sum())
     return pa.table(
@@ -407,7 +407,7 @@ def _scored(train_tokens: int, vocabulary: int, order: int):
                 continue  # equal blocks have equal answers
             last = r["part"]
             total, *codes = parted(r["blob"])
-            values = [np.frombuffer(book)[np.frombuffer(code, np.uint8)] for code, book in zip(codes[:4], codes[4:])]
+            values = [np.frombuffer(book)[unpacked(code)] for code, book in zip(codes[:4], codes[4:])]
             found.append((unpacked(total).astype(np.int64), *values))
         c, one_rest, two, two_rest, three = map(np.concatenate, zip(*found))
         # A context that no training text has leaves everything to the shorter one.
