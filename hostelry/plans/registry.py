@@ -12,6 +12,8 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL where there is one."""
 
     def add(function: Callable) -> Callable:
+        if function.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {function.__name__}")
         QUERIES[function.__name__] = function
         if sql is not None:
             ORACLE_SQL[function.__name__] = sql

@@ -95,7 +95,7 @@ _DOCUMENTS_SQL = f"""{INVOICE_ROWS_SQL},
     SELECT 'file_' || f AS file, row_number() OVER (PARTITION BY f ORDER BY first_row) AS document, lines, CAST(line_sum AS BIGINT) AS line_cents, currency,
         concat_ws(',', CASE WHEN two_currencies THEN 'currency:INCONSISTENT_HEADER' END, CASE WHEN two_gross THEN 'gross:INCONSISTENT_HEADER' END, CASE WHEN repeated THEN 'line:DUPLICATE_LINE_NUMBER' END) AS issues,
         CAST(line_issues AS BIGINT) AS line_issues, NOT two_currencies AND NOT coalesce(two_gross, false) AND NOT repeated AND line_issues = 0 AS ready FROM made""")
-def invoice_documents(spark, sf_dir):
+def structured_documents(spark, sf_dir):
     """Documents of the files that are read: their lines, sums and what is wrong with them."""
     rows, formats = _invoices(spark, sf_dir)
     refusals = cut(op.refused(rows, formats, op.INVOICE_DATES, op.INVOICE_NUMBERS))
