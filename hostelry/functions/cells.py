@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hostelry.functions.bound import bound
 from hostelry.functions.dates import month_name_date, without_weekday
 from hostelry.functions.text import MARKED, PLAIN
 
@@ -73,22 +74,35 @@ def tokens(text: Column) -> Column:
     return F.concat(stems, F.array_except(signs, stems))
 
 
+def is_empty(text: Column) -> Column:
+    """Whether the kind of a cell is EMPTY."""
+    return F.coalesce(F.trim(text), F.lit("")) == ""
+
+
 def kind(text: Column) -> Column:
     """EMPTY, DATE, TIME, NUMBER or TEXT."""
     bare = F.trim(text)
-    dated = without_weekday(bare)
-    return (
-        F.when(F.coalesce(bare, F.lit("")) == "", "EMPTY").when(dated.rlike(DATE) | month_name_date(dated).isNotNull(), "DATE")
-        .when(bare.rlike(TIME), "TIME").when(bare.rlike(NUMBER) | bare.rlike(HOURS), "NUMBER").otherwise("TEXT")
-    )
+
+    def rare(bare: Column) -> Column:
+        is_date = bound(without_weekday(bare), lambda d: d.rlike(DATE) | month_name_date(d).isNotNull())
+        return F.when(is_date, "DATE").when(bare.rlike(TIME), "TIME").when(bare.rlike(HOURS), "NUMBER").otherwise("TEXT")
+
+    # What has no digit is a text; plain dates and numbers need not be looked at for weekdays and names of months.
+    plain = F.when(is_empty(text), "EMPTY").when(~bare.rlike("[0-9]"), "TEXT").when(bare.rlike(DATE), "DATE").when(bare.rlike(NUMBER), "NUMBER")
+    return plain.otherwise(bound(bare, rare))
 
 
 def amount(text: Column) -> Column:
     """A written amount or number of hours as a decimal; null where it is none. With both marks the comma is the decimal one."""
+
+    def read(bare: Column) -> Column:
+        both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
+        pointed = F.when(both, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+        return F.replace(pointed, F.lit(","), F.lit(".")).try_cast("decimal(20,4)")
+
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), HOURS, "$1"), r"(?i)€|\beur(o)?\b\.?|\s", "")
-    both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
-    pointed = F.when(both, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    return F.replace(pointed, F.lit(","), F.lit(".")).try_cast("decimal(20,4)")
+    is_plain = text.rlike(r"^[0-9]+([.,][0-9]+)?$")
+    return F.when(is_plain, F.replace(text, F.lit(","), F.lit(".")).try_cast("decimal(20,4)")).otherwise(bound(bare, read))
 
 
 def starts_with(key: Column, phrases: tuple[str, ...]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hostelry.functions.bound import bound
+
 #: Days a season reaches to either side, and days of history.
 SEASON_DAYS, HORIZON_DAYS = 42, 730
 
@@ -124,15 +126,24 @@ def month_name_date(text: Column) -> Column:
     first = text.rlike(day_first)
     part = lambda a, b: F.when(first, F.regexp_extract(text, day_first, a)).otherwise(F.regexp_extract(text, month_first, b))
     iso = F.concat_ws("-", part(3, 3), F.lpad(_named(MONTH_NAMES, part(2, 1)).cast("string"), 2, "0"), F.lpad(part(1, 2), 2, "0"))
-    return F.when(_named(MONTH_NAMES, part(2, 1)).isNotNull(), iso.try_cast("date"))
+    return F.when(first | text.rlike(month_first), F.when(_named(MONTH_NAMES, part(2, 1)).isNotNull(), iso.try_cast("date")))
 
 
 def parsed_date(text: Column, pattern: str) -> Column:
     """A date by the configured pattern, ISO or a month's name; null where a weekday before it is another one."""
-    bare = without_weekday(text)
-    found = F.coalesce(F.try_to_date(bare, pattern), F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), bare.try_cast("date")), month_name_date(bare))
-    agrees = F.coalesce(leading_weekday(text) == weekday(found), F.lit(True))
-    return F.when(agrees, found)
+    iso = r"^\d{4}-\d{2}-\d{2}$"
+
+    def found(bare: Column) -> Column:
+        return F.coalesce(F.try_to_date(bare, pattern), F.when(bare.rlike(iso), bare.try_cast("date")), month_name_date(bare))
+
+    def whole(text: Column) -> Column:
+        return bound(bound(without_weekday(text), found), lambda day: F.when(F.coalesce(leading_weekday(text) == weekday(day), F.lit(True)), day))
+
+    plain = F.when(text.rlike(r"^\d\S*$"), F.try_to_date(text, pattern))
+    if set(pattern) & set("/. "):
+        # No ISO date has such a sign, so none is tried by the pattern: a reading that fails is the slowest.
+        return F.when(text.rlike(iso), text.try_cast("date")).otherwise(F.coalesce(plain, bound(text, whole)))
+    return F.coalesce(plain, bound(text, whole))
 
 
 def local_time_state(moment: Column, zone: Column | str) -> Column:

@@ -7,6 +7,10 @@ letters are taken out, so no word is compared with all others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import permutations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from pyspark.sql import types as T
 
 from hostelry.functions import cells as words
 from hostelry.functions.dates import parsed_date
+from hostelry.functions.storage import cut
 
 # Likeness of a misspelt word in per cent, its least length, spellings of a word and readings of a header.
 LIKENESS, LEAST_LETTERS, SPELLINGS, READINGS = 85, 4, 3, 128
@@ -25,7 +30,9 @@ OPPOSITES = (
 )
 # Rows and share of rows on which a relation must hold, and the relations' bounds.
 LEAST_ROWS, HOLDS = 5, 95
-LONGEST_STAY, TYPICAL_STAY, LONGEST_LEAD, DATE_COLUMNS, AMOUNT_COLUMNS, TAX_RATE, PENNY = 90, 21, 540, 4, 6, 30, "0.02"
+LONGEST_STAY, TYPICAL_STAY, LONGEST_LEAD, DATE_COLUMNS, AMOUNT_COLUMNS, TAX_RATE, PENNY = 90, 21, 540, 4, 6, 30, 200
+#: Ten-thousandths from which a hundred amounts may pass 64 bits.
+WIDE = 90_000_000_000_000_000
 BONUS, NAME_FLOOR, NAME_SCALE, NEUTRAL, VALUES_ALONE = 0.15, 0.55, 0.45, 0.85, 0.62
 #: Letters of a word up to which its shortened forms are listed; longer ones are compared with words of like length.
 LISTED_LETTERS = 20
@@ -145,8 +152,8 @@ def read_headers(headers: DataFrame, phrases: DataFrame, context: tuple[str, ...
 
 def column_profiles(cells: DataFrame) -> DataFrame:
     """file, col, n, and shares in thousandths of dates, numbers, texts and distinct values among filled cells (file, row, col, value)."""
-    kind = words.kind(F.col("value"))
-    rows = cells.select("file", "col", "value", kind.alias("kind")).where("kind <> 'EMPTY'")
+    # The test is pushed below the kind, so it must not be the kind itself, which would be told twice.
+    rows = cells.where(~words.is_empty(F.col("value"))).select("file", "col", "value", words.kind(F.col("value")).alias("kind"))
     share = lambda c: F.expr(f"{c} * 1000 div n").alias
     counts = rows.groupBy("file", "col").agg(
         F.count("*").alias("n"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k.lower()) for k in ("DATE", "NUMBER", "TEXT")), F.countDistinct("value").alias("distinct"),
@@ -162,18 +169,42 @@ def _permuted(values: Column, size: int) -> Column:
     return out
 
 
-def _choices(cells: DataFrame, columns: DataFrame, value: Column, least: int, most: int, size: int) -> DataFrame:
-    """file and chosen (values of ``size`` columns in some order) for every row of files with ``least`` to ``most`` such columns."""
-    files = columns.groupBy("file").agg(F.count("*").alias("k")).where(F.col("k").between(least, most))
-    told = cells.join(columns.select("file", "col"), ["file", "col"]).join(files, "file").select("file", "row", "col", value.alias("v")).where("v IS NOT NULL")
-    rows = told.groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("values"))
-    return rows.select("file", F.explode(_permuted(F.col("values"), size)).alias("chosen"))
-
+def _counts(cells: DataFrame, columns: DataFrame, value: Column, least: int, most: int, size: int, tests: Callable[..., dict[str, Column]], narrow: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """file, cols, checked and a count for each of ``tests``: on how many rows they hold of ``size`` columns in some order.
 
-def _unique(choices: DataFrame, good: Column, names: tuple[str, ...]) -> DataFrame:
-    """file, col, field where exactly one order of columns makes ``good`` hold on enough rows."""
-    cols = F.transform("chosen", lambda c: c["col"])
-    counts = choices.groupBy("file", cols.alias("cols")).agg(F.count("*").alias("checked"), F.count(F.when(good, 1)).alias("good"))
+    Of files with ``least`` to ``most`` such columns. A row's values stand side by side and meet the orders of as
+    many columns, so that orders are counted where they are made; values stand there as ``narrow`` makes them (of
+    which ``tests`` must say the same). Rows that have a column twice or a value that it makes null are counted apart.
+    """
+    files = columns.groupBy("file").agg(F.array_sort(F.collect_list("col")).alias("held")).where(F.size("held").between(least, most))
+    slots = cut(files.select("file", F.size("held").alias("k"), F.posexplode("held").alias("slot", "col")))
+    told = cells.join(slots, ["file", "col"]).select("file", "row", "k", "slot", "col", value.alias("v"))
+    told = told.withColumn("u", narrow(F.col("v")))
+    names = [f"v{i}" for i in range(most)]
+    rows = told.groupBy("file", "row").agg(F.max("k").alias("k"), F.count("v").alias("n"), *(F.max(F.when(F.col("slot") == i, F.col("u"))).alias(v) for i, v in enumerate(names)))
+    filled = reduce(lambda a, b: a + b, (F.col(v).isNotNull().cast("int") for v in names))
+    rows = rows.select("file", "row", "k", F.array(*names).alias("values"), (F.col("n") > filled).alias("apart"))
+    places = [f"p{i}" for i in range(size)]
+    orders = [(k, False, *p) for k in range(least, most + 1) for p in permutations(range(k), size)] + [(k, True, *(-1 for _ in places)) for k in range(least, most + 1)]
+    orders = cells.sparkSession.createDataFrame(orders, ", ".join(["k int", "apart boolean", *(f"{p} int" for p in places)]))
+    met = rows.join(F.broadcast(orders), ["k", "apart"]).select("file", "apart", *places, *(F.get("values", F.col(p)).alias(f"c{p}") for p in places))
+    there = reduce(lambda a, b: a & b, (F.col(f"c{p}").isNotNull() for p in places))
+    counted = lambda **good: [F.count("*").alias("checked"), *(F.count(F.when(g, 1)).alias(n) for n, g in good.items())]
+    counts = cut(met.where(F.col("apart") | there).groupBy("file", "apart", *places).agg(*counted(**tests(*(F.col(f"c{p}") for p in places)))))
+    held = slots.groupBy("file").agg(F.array_sort(F.collect_list("col")).alias("held"))
+    found = counts.where("NOT apart").join(held, "file").select("file", F.array(*(F.get("held", F.col(p)) for p in places)).alias("cols"), "checked", *tests(*(F.lit(None),) * size))
+    if counts.where("apart").isEmpty():
+        return found
+    again = rows.where("apart").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    listed = told.join(again, (F.col("file") == F.col("_file")) & F.col("row").eqNullSafe(F.col("_row")), "left_semi").where("v IS NOT NULL")
+    listed = listed.groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("values"))
+    chosen = listed.select("file", F.explode(_permuted(F.col("values"), size)).alias("chosen"))
+    more = chosen.groupBy("file", F.transform("chosen", lambda c: c["col"]).alias("cols")).agg(*counted(**tests(*(F.get("chosen", i)["v"] for i in range(size)))))
+    return found.unionByName(more).groupBy("file", "cols").agg(*(F.sum(c).alias(c) for c in found.columns[2:]))
+
+
+def _unique(counts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """file, col, field where exactly one order of columns is ``good`` on enough rows."""
     held = counts.where((F.col("checked") >= LEAST_ROWS) & (100 * F.col("good") >= HOLDS * F.col("checked")))
     one = held.groupBy("file").agg(F.count("*").alias("k"), F.first("cols").alias("cols")).where("k = 1")
     return one.select("file", F.explode(F.arrays_zip("cols", F.array(*map(F.lit, names)).alias("field"))).alias("z")).select("file", F.col("z.cols").alias("col"), F.col("z.field").alias("field"))
@@ -187,15 +218,10 @@ def booking_dates(cells: DataFrame, profiles: DataFrame, pattern: str = "dd/MM/y
     """
     dated = profiles.where(f"dates >= 900 AND n >= {LEAST_ROWS}")
     value = parsed_date(F.col("value"), pattern)
-    day = lambda i: F.get("chosen", i)["v"]
-    three = _choices(cells, dated, value, 3, DATE_COLUMNS, 3)
-    stay, lead = F.date_diff(day(2), day(1)), F.date_diff(day(1), day(0))
-    found = _unique(three, stay.between(1, LONGEST_STAY) & lead.between(0, LONGEST_LEAD), ("booked_at", "check_in", "check_out"))
-    two = _choices(cells, dated, value, 2, 2, 2)
-    gap = F.date_diff(day(1), day(0))
-    counts = two.groupBy("file", F.transform("chosen", lambda c: c["col"]).alias("cols")).agg(
-        F.count("*").alias("checked"), F.count(F.when(gap.between(1, LONGEST_STAY), 1)).alias("good"), F.count(F.when(gap <= TYPICAL_STAY, 1)).alias("short")
-    )
+    told = lambda booked, arrival, departure: {"good": F.date_diff(departure, arrival).between(1, LONGEST_STAY) & F.date_diff(arrival, booked).between(0, LONGEST_LEAD)}
+    found = _unique(_counts(cells, dated, value, 3, DATE_COLUMNS, 3, told), ("booked_at", "check_in", "check_out"))
+    stay = lambda a, b: {"good": F.date_diff(b, a).between(1, LONGEST_STAY), "short": F.date_diff(b, a) <= TYPICAL_STAY}
+    counts = _counts(cells, dated, value, 2, 2, 2, stay)
     # The gap in the middle is short where more than half of them are.
     held = counts.where(f"checked >= {LEAST_ROWS} AND good = checked AND short >= checked div 2 + 1")
     roles = held.select("file", F.get("cols", 0).alias("check_in"), F.get("cols", 1).alias("check_out")).unpivot("file", ["check_in", "check_out"], "field", "col")
@@ -205,10 +231,11 @@ def booking_dates(cells: DataFrame, profiles: DataFrame, pattern: str = "dd/MM/y
 def invoice_amounts(cells: DataFrame, profiles: DataFrame) -> DataFrame:
     """file, col, field, proves: the columns with net + tax = total on nearly all rows, where there is one choice of them."""
     money = profiles.where(f"numbers >= 950 AND n >= {LEAST_ROWS}")
-    chosen = _choices(cells, money, words.amount(F.col("value")), 3, AMOUNT_COLUMNS, 3)
-    net, tax, gross = (F.get("chosen", i)["v"] for i in range(3))
-    good = (net > 0) & (tax >= 0) & (100 * tax <= TAX_RATE * net) & (F.abs(net + tax - gross) <= F.lit(PENNY).cast("decimal(3,2)"))
-    return _unique(chosen, good, ("invoice_net_amount", "invoice_tax_amount", "invoice_gross_amount")).withColumn("proves", F.lit(False))
+    # In ten-thousandths, which are whole; as 64-bit numbers up to where 100 of them still are.
+    value = (words.amount(F.col("value")) * F.lit(10_000).cast("decimal(5,0)")).cast("decimal(24,0)")
+    narrow = lambda v: F.when(F.abs(v) < WIDE, v.cast("long"))
+    good = lambda net, tax, gross: {"good": (net > 0) & (tax >= 0) & (100 * tax <= TAX_RATE * net) & (F.abs(net + tax - gross) <= PENNY)}
+    return _unique(_counts(cells, money, value, 3, AMOUNT_COLUMNS, 3, good, narrow), ("invoice_net_amount", "invoice_tax_amount", "invoice_gross_amount")).withColumn("proves", F.lit(False))
 
 
 def candidates(columns: DataFrame, readings: DataFrame, profiles: DataFrame, kinds: dict[str, str | None], relations: DataFrame) -> DataFrame:

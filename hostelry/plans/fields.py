@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.cells import stemmed
+from hostelry.functions.ranks import row_numbers
 from hostelry.functions.storage import cut
 from hostelry.operators import days
 from hostelry.operators import fields as op
@@ -102,7 +103,7 @@ def related_dates(spark, sf_dir):
     """Columns of dates told apart by their order on nearly all rows; files with many broken rows tell nothing."""
     _, cells = booking_files(spark, sf_dir)
     cells = cut(cells)
-    found = op.booking_dates(cells, op.column_profiles(cells))
+    found = op.booking_dates(cells, cut(op.column_profiles(cells).select("file", "col", "n", "dates")))
     return found.select("file", F.col("col").cast("long").alias("col"), "field", "proves")
 
 
@@ -130,9 +131,9 @@ _AMOUNTS_SQL = f"""
 def related_amounts(spark, sf_dir):
     """The three columns of a register with net + tax = total on nearly all rows."""
     lines = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("f").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    lines = lines.withColumn("f", F.col("l_suppkey") % 30)
-    rows = lines.select("f", F.round(F.col("l_extendedprice") * 100).cast("long").alias("net"), F.col("l_quantity").cast("long").alias("qty"), F.row_number().over(order).alias("row"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    lines = row_numbers(lines.select((F.col("l_suppkey") % 30).alias("f"), *order), ["f"], order, "row")
+    rows = lines.select("f", F.round(F.col("l_extendedprice") * 100).cast("long").alias("net"), F.col("l_quantity").cast("long").alias("qty"), "row")
     rows = rows.withColumn("tax", F.expr("net * 22 div 100"))
     broken = ((F.col("f") % 6 == 0) & (F.col("row") % 12 == 1)) | (F.col("row") % 40 == 1)
     rows = rows.withColumn("gross", F.col("net") + F.col("tax") + F.when(broken, 500).otherwise(0))
@@ -140,7 +141,7 @@ def related_amounts(spark, sf_dir):
     values = [two("net"), two("tax"), two("gross"), F.col("qty").cast("string")]
     listed = F.array(*(F.struct(((i + F.col("f")) % 4).cast("int").alias("col"), v.alias("value")) for i, v in enumerate(values)))
     cells = cut(rows.select(F.concat(F.lit("file_"), "f").alias("file"), "row", F.inline(listed)))
-    found = op.invoice_amounts(cells, op.column_profiles(cells))
+    found = op.invoice_amounts(cells, cut(op.column_profiles(cells).select("file", "col", "n", "numbers")))
     return found.select("file", F.col("col").cast("long").alias("col"), "field")
 
 
