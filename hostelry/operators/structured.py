@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostelry.functions.bound import bound
 from hostelry.functions.dates import leading_weekday, month_name_date, weekday, without_weekday
+from hostelry.functions.ranks import row_numbers
+from hostelry.functions.storage import cut
 from hostelry.functions.text import latin_key, strip_currency
 
 #: Date patterns and marks (decimal, thousands) that a file may be told to have.
@@ -46,12 +49,17 @@ def refused(rows: DataFrame, formats: DataFrame, dates: list[str], numbers: list
 
 def read_date(column: str) -> Column:
     """A date in the file's format, ISO without one, or with its month's name; a weekday before it must be its own."""
-    text = _filled(column)
-    bare = without_weekday(text)
-    told = reduce(lambda c, f: c.when(F.col("date_format") == f, F.try_to_date(bare, f)), DATE_FORMATS, F.when(F.lit(False), F.lit(None).cast("date")))
-    iso = F.when(F.col("date_format").isNull() & bare.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}"), F.replace(F.substring(bare, 1, 10), F.lit("/"), F.lit("-")).try_cast("date"))
-    found = F.coalesce(month_name_date(bare), told, iso)
-    return F.when(F.coalesce(leading_weekday(text) == weekday(found), F.lit(True)), found)
+
+    def found(bare: Column) -> Column:
+        told = reduce(lambda c, f: c.when(F.col("date_format") == f, F.try_to_date(bare, f)), DATE_FORMATS, F.when(F.lit(False), F.lit(None).cast("date")))
+        iso = F.when(F.col("date_format").isNull() & bare.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}"), F.replace(F.substring(bare, 1, 10), F.lit("/"), F.lit("-")).try_cast("date"))
+        # A month's name has letters.
+        return F.coalesce(F.when(bare.rlike("[A-Za-z]"), month_name_date(bare)), told, iso)
+
+    def agreed(text: Column) -> Column:
+        return bound(bound(without_weekday(text), found), lambda day: F.when(F.coalesce(leading_weekday(text) == weekday(day), F.lit(True)), day))
+
+    return bound(_filled(column), lambda text: F.when(text.isNotNull(), F.when(text.rlike(r"^\d\S*$"), found(text)).otherwise(agreed(text))))
 
 
 def read_number(column: str) -> Column:
@@ -59,13 +67,13 @@ def read_number(column: str) -> Column:
     text = F.regexp_replace(strip_currency(F.replace(_filled(column), F.lit(" "), F.lit(" "))), r"^\s+|\s+$", "")
     decimal, thousands = F.coalesce("decimal", F.lit(".")), F.col("thousands")
 
-    def by(mark: str, group: str | None) -> Column:
+    def by(text: Column, mark: str, group: str | None) -> Column:
         d = f"\\{mark}"
         whole = r"\d+" if group is None else rf"(\d+|\d{{1,3}}(\{group}\d{{3}})+)"
         plain = text if group is None else F.replace(text, F.lit(group), F.lit(""))
         return F.when(text.rlike(rf"^-?{whole}({d}\d+)?$"), F.replace(plain, F.lit(mark), F.lit(".")).try_cast(f"decimal(30,{DECIMALS + 4})"))
 
-    return F.coalesce(*(F.when((decimal == m) & thousands.eqNullSafe(F.lit(g)), by(m, g)) for m, g in MARKS))
+    return bound(text, lambda t: F.when(t.isNotNull(), F.coalesce(*(F.when((decimal == m) & thousands.eqNullSafe(F.lit(g)), by(t, m, g)) for m, g in MARKS))))
 
 
 def _issue(field: str, code: str | Column, condition: Column) -> Column:
@@ -73,13 +81,18 @@ def _issue(field: str, code: str | Column, condition: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.concat(F.lit(f"{field}:"), code))
 
 
+def _read(rows: DataFrame, dates: list[str], numbers: list[str]) -> DataFrame:
+    """``rows`` with what their dates and numbers are (``_`` before the name), each read once for all that look at it."""
+    return rows.withColumns({f"_{c}": read_date(c) for c in dates} | {f"_{c}": read_number(c) for c in numbers})
+
+
 def _date_issues(field: str, required: bool) -> list[Column]:
-    bad = _issue(field, "INVALID_DATE", _filled(field).isNotNull() & read_date(field).isNull())
+    bad = _issue(field, "INVALID_DATE", _filled(field).isNotNull() & F.col(f"_{field}").isNull())
     return [bad, _issue(field, "REQUIRED_VALUE_MISSING", _filled(field).isNull())] if required else [bad]
 
 
 def _number_issues(field: str, required: bool = False, signed: bool = True) -> list[Column]:
-    value = read_number(field)
+    value = F.col(f"_{field}")
     found = [
         _issue(field, "INVALID_NUMBER", _filled(field).isNotNull() & value.isNull()),
         _issue(field, "AMOUNT_PRECISION", value != F.round(value, DECIMALS)),
@@ -106,8 +119,8 @@ def invoice_lines(rows: DataFrame, formats: DataFrame, refusals: DataFrame, curr
     line_total, quantity, all as text. ``document`` is the number, within the file, of the document that a line
     belongs to, in order of first appearance; a line without supplier, number or date stands alone.
     """
-    told = _accepted(rows, formats, refusals)
-    kind_key = latin_key(F.col("kind"))
+    told = _read(_accepted(rows, formats, refusals), INVOICE_DATES, INVOICE_NUMBERS).withColumn("_kind", latin_key(F.col("kind")))
+    kind_key = F.col("_kind")
     kind = F.when(_filled("kind").isNull() | kind_key.isin(*_INVOICE), "INVOICE").when(kind_key.isin(*_CREDIT), "CREDIT_NOTE")
     issues = [
         *(_issue(c, "REQUIRED_VALUE_MISSING", _filled(c).isNull()) for c in ("supplier", "number", "description")), *_date_issues("invoice_date", True),
@@ -116,17 +129,16 @@ def invoice_lines(rows: DataFrame, formats: DataFrame, refusals: DataFrame, curr
     ]
     read = told.select(
         "file", "row", _filled("supplier").alias("supplier"), latin_key(F.col("supplier")).alias("supplier_key"), F.upper(F.regexp_replace(_filled("number"), r"\s+", " ")).alias("number"),
-        *(read_date(c).alias(c) for c in INVOICE_DATES), kind.alias("kind"), F.upper(F.coalesce(_filled("currency"), F.lit(currency))).alias("currency"),
-        *(read_number(c).alias(c) for c in INVOICE_NUMBERS), F.coalesce(_filled("line").try_cast("int"), F.col("row").cast("int")).alias("line"), _filled("description").alias("description"),
+        *(F.col(f"_{c}").alias(c) for c in INVOICE_DATES), kind.alias("kind"), F.upper(F.coalesce(_filled("currency"), F.lit(currency))).alias("currency"),
+        *(F.col(f"_{c}").alias(c) for c in INVOICE_NUMBERS), F.coalesce(_filled("line").try_cast("int"), F.col("row").cast("int")).alias("line"), _filled("description").alias("description"),
         F.array_compact(F.array(*issues)).alias("issues"),
     )
     parts = [F.nullif("supplier_key", F.lit("")), F.col("number"), F.col("invoice_date").cast("string"), F.col("kind")]
     usable = reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
     key = F.when(usable, F.to_json(F.array(*parts))).otherwise(F.concat(F.lit("row "), F.col("row").cast("string")))
-    keyed = read.withColumn("key", key)
-    firsts = keyed.groupBy("file", "key").agg(F.min("row").alias("first_row"))
-    document = F.row_number().over(Window.partitionBy("file").orderBy("first_row"))
-    return keyed.join(firsts.withColumn("document", document), ["file", "key"]).drop("key", "first_row", "supplier_key")
+    keyed = cut(read.withColumn("key", key))
+    firsts = row_numbers(keyed.groupBy("file", "key").agg(F.min("row").alias("first_row")), ["file"], ["first_row"], "document")
+    return keyed.join(firsts.withColumn("document", F.col("document").cast("int")), ["file", "key"]).drop("key", "first_row", "supplier_key")
 
 
 def invoice_documents(lines: DataFrame) -> DataFrame:
@@ -159,10 +171,10 @@ def labor_entries(rows: DataFrame, formats: DataFrame, refusals: DataFrame, curr
     rows: file, row, work_date, role, planned_hours, actual_hours, planned_cost, actual_cost, currency as text. Hours
     that are no whole minutes, negative values, costs without a currency and rows without hours are issues.
     """
-    told = _accepted(rows, formats, refusals)
-    planned, actual = read_number("planned_hours"), read_number("actual_hours")
+    told = _read(_accepted(rows, formats, refusals), LABOR_DATES, LABOR_NUMBERS)
+    planned, actual = F.col("_planned_hours"), F.col("_actual_hours")
     valid = lambda v: F.when((v >= 0) & (v == F.round(v, DECIMALS)), v)
-    costs = [valid(read_number(c)) for c in ("planned_cost", "actual_cost")]
+    costs = [valid(F.col(f"_{c}")) for c in ("planned_cost", "actual_cost")]
     currency = F.upper(_filled("currency"))
     minutes = lambda v: F.when(valid(v) * 60 == F.floor(valid(v) * 60), (valid(v) * 60).cast("long"))
     bad_hours = F.coalesce((_filled("planned_hours").isNotNull() & valid(planned).isNull()) | (_filled("actual_hours").isNotNull() & valid(actual).isNull()), F.lit(False))
@@ -173,6 +185,6 @@ def labor_entries(rows: DataFrame, formats: DataFrame, refusals: DataFrame, curr
         _issue("currency", "CURRENCY_REQUIRED", currency.isNull() & F.coalesce(*costs).isNotNull()), _issue("currency", "INVALID_CURRENCY", ~currency.isin(*currencies)),
     ]
     return told.select(
-        "file", "row", read_date("work_date").alias("work_date"), latin_key(F.col("role")).alias("role"), minutes(planned).alias("planned_minutes"), minutes(actual).alias("actual_minutes"),
+        "file", "row", F.col("_work_date").alias("work_date"), latin_key(F.col("role")).alias("role"), minutes(planned).alias("planned_minutes"), minutes(actual).alias("actual_minutes"),
         costs[0].cast("decimal(14,2)").alias("planned_cost"), costs[1].cast("decimal(14,2)").alias("actual_cost"), currency.alias("currency"), F.array_compact(F.array(*issues)).alias("issues"),
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostelry.functions.ranks import row_numbers
 from hostelry.functions.storage import cut
 from hostelry.operators import structured as op
 from hostelry.plans.registry import query
@@ -27,9 +28,9 @@ INVOICE_ROWS_SQL = f"""
 
 def _lines(spark, sf_dir) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    by = Window.partitionBy("f").orderBy("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag")
-    rows = table(spark, sf_dir, "lineitem").withColumn("f", F.col("l_suppkey") % FILES)
-    return rows.select("*", cents.alias("cents"), F.to_date("l_shipdate").alias("day"), F.row_number().over(by).alias("row"))
+    by = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag"]
+    rows = row_numbers(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % FILES).alias("f"), *by), ["f"], by, "row")
+    return rows.select("*", cents.alias("cents"), F.to_date("l_shipdate").alias("day"))
 
 
 def _written(f: str = "f") -> tuple:

@@ -7,7 +7,7 @@ import random
 from decimal import Decimal
 
 from hostelry.functions import ranks
-from hostelry.operators import fields
+from hostelry.operators import fields, structured
 
 
 def plan(df) -> str:
@@ -50,3 +50,14 @@ def test_amounts_that_pass_64_bits_and_repeated_columns(spark):
         if len(held) == 1:
             want |= {(file, c, f"invoice_{n}_amount") for c, n in zip(held[0], ("net", "tax", "gross"))}
     assert {(r.file, r.col, r.field) for r in found.collect()} == want and want
+
+
+def test_each_text_of_labor_is_read_once(spark):
+    names = ["work_date", "role", "planned_hours", "actual_hours", "planned_cost", "actual_cost", "currency"]
+    rows = spark.createDataFrame([("f", 1, "26/10/2026", "Bar", "7,5", None, "1.200,50", None, "eur")], f"file string, row int, {', '.join(f'{n} string' for n in names)}")
+    formats = spark.createDataFrame([("f", "dd/MM/yyyy", ",", ".")], "file string, date_format string, decimal string, thousands string")
+    found = structured.labor_entries(rows, formats, spark.createDataFrame([], "file string, code string, fields array<string>"))
+    (row,) = found.collect()
+    assert (str(row.work_date), row.planned_minutes, row.planned_cost, row.issues) == ("2026-10-26", 450, Decimal("1200.50"), [])
+    # Once for dates without a weekday and once for others, in each of the formats.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") <= 2 * len(structured.DATE_FORMATS)
