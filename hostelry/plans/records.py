@@ -137,7 +137,9 @@ def booking_rows(spark, sf_dir):
         "source_record_id": F.col("source_record_id"), "rooms": money.parsed_integer(F.col("rooms_text")), "room_revenue": text.parse_number(F.col("room_revenue_text"), ".", ","),
         "status": F.when(F.col("status_text").isin("CONFIRMED", "CHECKED_IN", "CHECKED_OUT", "CANCELLED", "NO_SHOW"), F.col("status_text")), "cancelled_at": F.col("cancelled_on"),
     }
-    found = rows.select("property_id", op.booking_issues(c).alias("issues"))
+    # Each text is read once for all checks that look at it.
+    read = rows.select("property_id", *(v.alias(name) for name, v in c.items()))
+    found = read.select("property_id", op.booking_issues({name: F.col(name) for name in c}).alias("issues"))
     found = found.select("property_id", F.array_join("issues", ",").alias("issues"), (F.size("issues") == 0).alias("valid"))
     return found.groupBy("property_id", "issues", "valid").agg(F.count("*").alias("n"))
 

@@ -61,3 +61,11 @@ def test_each_text_of_labor_is_read_once(spark):
     assert (str(row.work_date), row.planned_minutes, row.planned_cost, row.issues) == ("2026-10-26", 450, Decimal("1200.50"), [])
     # Once for dates without a weekday and once for others, in each of the formats.
     assert found._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") <= 2 * len(structured.DATE_FORMATS)
+
+
+def test_booking_issues_read_no_text_again(spark):
+    from hostelry.plans import registry
+
+    optimized = registry.QUERIES["booking_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Three dates, each by the pattern at once or behind a weekday.
+    assert optimized.count("gettimestamp") <= 6
