@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostelry.functions import cells as words
+from hostelry.functions.bound import bound
 from hostelry.functions.storage import cut
 
 SHEET = ["file", "sheet"]
@@ -30,9 +31,12 @@ def row_features(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame
     ``merged`` has the widest merged block of rows: file, sheet, row, width.
     """
     value = F.trim(F.regexp_replace("value", r"\s+", " "))
-    told = cells.select(*SHEET, "row", "col", value.alias("text"), words.kind(F.col("value")).alias("kind")).where("kind <> 'EMPTY'")
-    told = told.withColumn("key", words.folded(F.col("text"))).withColumn("lexical", F.size(F.array_intersect(words.tokens(F.col("text")), F.array(*map(F.lit, words.stemmed(words.HEADER_WORDS))))) > 0)
+    told = cells.where(~words.is_empty(F.col("value"))).select(*SHEET, "row", "col", value.alias("text"), words.kind(F.col("value")).alias("kind"))
     is_text = F.col("kind") == "TEXT"
+    # Only texts are looked at for words of headers.
+    stems = bound(F.col("text"), words.tokens)
+    lexical = F.when(is_text, F.arrays_overlap(stems, F.array(*map(F.lit, words.stemmed(words.HEADER_WORDS))))).otherwise(False)
+    told = told.withColumn("key", words.folded(F.col("text"))).withColumn("lexical", lexical)
     count = lambda condition: F.sum(condition.cast("int"))
     listed = F.array_sort(F.collect_list(F.struct("col", "kind", "text", "key")))
     rows = told.groupBy(*SHEET, "row").agg(
@@ -42,9 +46,11 @@ def row_features(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame
     texts = F.filter("cells", lambda c: c["kind"] == "TEXT")
     first = F.get(texts, 0)
     days = F.transform(F.filter("cells", lambda c: c["text"].rlike(r"^\d{4}-\d{2}-\d{2}$")), lambda c: c["text"].try_cast("date"))
-    steps = F.transform(F.sequence(F.lit(1), F.size(days) - 1), lambda i: F.date_diff(F.get(days, i), F.get(days, i - 1)))
+    steps = lambda days: F.transform(F.sequence(F.lit(1), F.size(days) - 1), lambda i: F.date_diff(F.get(days, i), F.get(days, i - 1)))
     # Dates are labels where they are the days of a grid.
-    grid = F.when(F.size(days) >= 3, (2 * F.size(days) >= F.col("n")) & F.forall(steps, lambda d: d.between(1, 3))).otherwise(False)
+    grid = bound(days, lambda days: F.when(F.size(days) >= 3, (2 * F.size(days) >= F.col("n")) & F.forall(steps(days), lambda d: d.between(1, 3))).otherwise(False))
+    # Three days have the kind of a date.
+    grid = F.when(F.col("n_date") >= 3, grid).otherwise(False)
     single = (F.col("n") == 1) & (F.col("n_text") == 1)
     rows = rows.withColumns(
         {
@@ -83,8 +89,8 @@ def counted_before(rows: DataFrame, keys: list[str], order: str, flag: Column, n
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``place`` of each filled row within its sheet, from 0."""
-    return counted_before(rows, SHEET, "row", F.lit(True), "place")
+    """``place`` of each filled row within its sheet, from 0; the rows are computed once, as they are counted and read."""
+    return counted_before(cut(rows), SHEET, "row", F.lit(True), "place")
 
 
 def _ahead(by: Window, value: Column) -> Column:
@@ -292,7 +298,10 @@ def column_labels(cells: DataFrame, tables: DataFrame) -> DataFrame:
 
     Two lines of a header are joined; an empty label is ``Colonna`` and the column's letters, the n-th of equal ones gets its number.
     """
-    line = cells.select(*SHEET, "row", "col", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text")).where("text <> ''")
+    # Only the rows of headers are read, as soon as the cells are.
+    wanted = tables.select(*SHEET, F.explode(F.array_compact(F.array("header_row", "group_row"))).alias("row")).distinct()
+    head = cells.join(F.broadcast(wanted) if _few(tables) else wanted, [*SHEET, "row"], "left_semi")
+    line = cut(head.select(*SHEET, "row", "col", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text")).where("text <> ''"))
     every = tables.select(*SHEET, "header_row", "group_row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
     own = every.join(line.withColumnRenamed("row", "header_row").withColumnRenamed("text", "own"), [*SHEET, "header_row", "col"], "left")
     upper = own.join(line.withColumnRenamed("row", "group_row").withColumnRenamed("text", "upper"), [*SHEET, "group_row", "col"], "left")

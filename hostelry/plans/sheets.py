@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostelry.functions.ranks import row_numbers
 from hostelry.functions.storage import cut
 from hostelry.operators import sheets as op
 from hostelry.plans.registry import query
@@ -36,12 +37,18 @@ def sheet_cells(spark, sf_dir) -> DataFrame:
     Totals of every third file are off by one.
     """
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    by = Window.partitionBy("c_nationkey", "o_orderpriority")
     o = orders.select(
         F.col("c_nationkey").alias("n"), F.col("o_orderpriority").alias("p"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_orderstatus",
-        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).alias("i"), F.count("*").over(by).alias("total"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
     )
-    o = o.withColumn("sum", F.sum("cents").over(Window.partitionBy("n", "p")))
+    o = row_numbers(o, ["n", "p"], ["k"], "place")
+    # A section has one line at each end, one for each record, and three for each new page.
+    lines_of = lambda records: records + 2 + 3 * F.expr(f"(total - 1) div {PAGE}")
+    sections = o.groupBy("n", "p").agg(F.count("*").alias("total"), F.sum("cents").alias("sum")).withColumn("lines", lines_of(F.col("total")))
+    before = F.sum("lines").over(Window.partitionBy("n").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    sections = cut(sections.select(F.col("n").alias("_n"), F.col("p").alias("_p"), "total", "sum", "lines", F.coalesce(before, F.lit(0)).alias("before")))
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("p").eqNullSafe(F.col("_p"))
+    o = o.join(sections, same).withColumn("i", F.col("place") - 1).drop("_n", "_p", "place")
     money = lambda c: F.concat(F.expr(f"{c} div 100"), F.lit(","), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
     line = lambda sub, *values: F.struct(F.lit(sub).alias("sub"), F.array(*(F.lit(v).cast("string") if isinstance(v, str) else v for v in values)).alias("v"))
     new_page = (F.col("i") > 0) & (F.col("i") % PAGE == 0)
@@ -56,10 +63,12 @@ def sheet_cells(spark, sf_dir) -> DataFrame:
             F.when(F.col("i") == F.col("total") - 1, line(5, F.lit("Totale"), none, none, none, money("sum"))),
         )
     )
-    laid = off.select("n", "p", "i", F.explode(lines).alias("line"))
-    order = Window.partitionBy("n").orderBy("p", "i", "line.sub")
-    rows = laid.select("n", (4 + F.row_number().over(order)).alias("row"), "line.v")
-    last = rows.groupBy("n").agg(F.max("row").alias("last"))
+    # The record's own line within its section; lines of a new page stand before it.
+    own = F.expr(f"i + 2 + 3 * (i div {PAGE})")
+    within = F.when(F.col("line.sub") == 0, 1).otherwise(own + F.col("line.sub") - 4)
+    laid = off.select("n", "i", "before", F.explode(lines).alias("line"))
+    rows = laid.select("n", (4 + F.col("before") + within).cast("int").alias("row"), "line.v")
+    last = sections.groupBy(F.col("_n").alias("n")).agg((4 + F.max(F.col("before") + F.col("lines"))).cast("int").alias("last"))
     top = [(1, ("Elenco prenotazioni",)), (2, ("Periodo: dal 01/01/1992 al 31/12/1998",)), (4, HEADER)]
     fixed = F.array(
         *(F.struct(F.lit(r).alias("row"), F.array(*map(F.lit, v)).alias("v")) for r, v in top),

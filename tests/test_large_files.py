@@ -6,6 +6,8 @@ import itertools
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from hostelry.functions import ranks
 from hostelry.operators import fields, structured
 
@@ -69,3 +71,13 @@ def test_booking_issues_read_no_text_again(spark):
     optimized = registry.QUERIES["booking_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # Three dates, each by the pattern at once or behind a weekday.
     assert optimized.count("gettimestamp") <= 6
+
+
+def test_sheets_are_laid_out_without_a_window_over_a_file(spark):
+    from hostelry.plans import sheets
+
+    cells = sheets.sheet_cells(spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan(cells)
+    rows = cells.groupBy("file").agg(F.collect_set("row").alias("rows")).collect()
+    # Row 3 is empty, and one between the last section and the notes.
+    assert len(rows) == 25 and all(sorted(set(range(1, max(r.rows) + 1)) - set(r.rows)) == [3, max(r.rows) - 2] for r in rows)
