@@ -10,6 +10,8 @@ import zstandard
 
 #: Bytes handled at a time; bounds the working arrays whatever a text's length.
 SLICE = 1 << 20
+#: Bytes of words hashed at a time, which take about thirty times as much.
+HASHED = 1 << 18
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -70,10 +72,10 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     if lower:
         values = values[LOWER]
     out = np.empty(len(start), np.uint64)
-    at, up, down = 0, powers(BASE, SLICE), powers(UNBASE, SLICE)
+    at, up, down = 0, powers(BASE, HASHED), powers(UNBASE, HASHED)
     while at < len(start):
         first = start[at]
-        to = max(at + 1, int(np.searchsorted(end, first + SLICE, "right")))
+        to = max(at + 1, int(np.searchsorted(end, first + HASHED, "right")))
         size = int(end[to - 1] - first)
         if size > len(up):
             up, down = powers(BASE, size), powers(UNBASE, size)
@@ -118,7 +120,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def in_slices(batch: pa.RecordBatch, column: str, most: int = 2 * SLICE):
+def in_slices(batch: pa.RecordBatch, column: str, most: int = SLICE // 2):
     """The batch in runs of rows whose texts come to about ``most`` bytes; a longer text stands alone."""
     sizes = np.asarray(pa.compute.binary_length(batch[column]).fill_null(0), np.int64)
     total = np.cumsum(sizes)

@@ -31,7 +31,7 @@ FULL = 1 << 15
 #: Sketches that are summed by one task before the last sum.
 MERGED = 32
 #: Words hashed at a time, and phrases that a task counts before it hands them on.
-AT_A_TIME, HELD = 1 << 19, 1 << 21
+AT_A_TIME, HELD = 1 << 17, 1 << 19
 #: Phrases of a range of hashes, whose counts meet in one task.
 RANGE = 1 << 15
 GROW, ADD = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
