@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 
 import numpy as np
@@ -122,6 +123,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def in_slices(batch: pa.RecordBatch, column: str, most: int = SLICE // 2):
     """The batch in runs of rows whose texts come to about ``most`` bytes; a longer text stands alone."""
+    pa.default_memory_pool().release_unused()
     sizes = np.asarray(pa.compute.binary_length(batch[column]).fill_null(0), np.int64)
     total = np.cumsum(sizes)
     at = 0
@@ -134,6 +136,17 @@ def in_slices(batch: pa.RecordBatch, column: str, most: int = SLICE // 2):
     pa.default_memory_pool().release_unused()
 
 
+def freed(run):
+    """``run`` over a task's batches, after which the worker gives the memory of the last ones back before it waits for the next task."""
+
+    @functools.wraps(run)
+    def each(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return each
+
+
 def per_process(key, make):
     """What ``make`` builds, once for each Python worker; workers are used again by later tasks."""
     held = sys.__dict__.setdefault("_hostelry_held", {})

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostelry.llm.arrays import gathered, in_slices, packed, per_process, unpacked
+from hostelry.llm.arrays import freed, gathered, in_slices, packed, per_process, unpacked
 from hostelry.llm.token_counts import AFTER_SPACE, UNIT
 
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
@@ -212,6 +212,7 @@ def _words_of_blocks(units: Numbered, parts: int) -> list[tuple]:
 def _blocked(pattern: str, parts: int | None, block_bytes: int):
     """Rows for each block: its texts, or with ``parts`` its words dealt out."""
 
+    @freed
     def run(batches):
         split = regex.compile(pattern)
         for big in batches:
@@ -233,6 +234,7 @@ def _blocked(pattern: str, parts: int | None, block_bytes: int):
 def _encoded(ranks_path: str):
     """For one part of all distinct words: encode each once, and answer every block."""
 
+    @freed
     def run(batches):
         merges = per_process(("merges", ranks_path), lambda: Merges(read_ranks(ranks_path)))
         ids_of: dict[bytes, array] = {}
@@ -327,6 +329,7 @@ def _with_iterator(run):
 
 
 def _decoded(ranks_path: str):
+    @freed
     def run(batches):
         def token_table():
             by_id = sorted((i, t) for t, i in read_ranks(ranks_path).items())

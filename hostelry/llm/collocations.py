@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import LOWER, gathered, in_slices, mixed, packed, text_bytes, unpacked, word_hashes
+from hostelry.llm.arrays import LOWER, freed, gathered, in_slices, mixed, packed, text_bytes, unpacked, word_hashes
 
 #: Longest phrase in words, least count, result rows of a language.
 WORDS, LEAST, TOP = 5, 100, 2000
@@ -105,6 +105,7 @@ def _cells(hashes: np.ndarray, row: int, width_bits: int) -> np.ndarray:
 
 
 def _sketched(width_bits: int, words: int):
+    @freed
     def run(batches):
         shard_bits = min(SHARD_BITS, width_bits)
         # Cells stop at half of what 16 bits hold, far above any ``least``: of more than that nothing is asked.
@@ -165,6 +166,7 @@ def frequent_cells(docs: DataFrame, *, width_bits: int = WIDTH_BITS, words: int
 
 
 def _bits(least: int):
+    @freed
     def run(batches):
         for batch in batches:
             bits = [np.packbits(unpacked(blob) >= least, bitorder="little").tobytes() for blob in batch["cells"].to_pylist()]
@@ -233,6 +235,7 @@ def _added(least: int):
 
 
 def _counted(bits, width_bits: int, words: int, ranges: int):
+    @freed
     def run(batches):
         rows = np.frombuffer(bits.value, np.uint8).reshape(ROWS, -1)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import in_slices, mixed, packed, powers, text_bytes, unpacked, word_hashes, word_spans
+from hostelry.llm.arrays import freed, in_slices, mixed, packed, powers, text_bytes, unpacked, word_hashes, word_spans
 from hostelry.llm.components import components, dealt_anew
 
 #: Words of a shingle; the similarity as a fraction of integers.
@@ -96,6 +96,7 @@ def _bucketed(parts: int):
                 blobs.append(packed(np.diff(own.astype(np.int64), prepend=0)))
         return pa.RecordBatch.from_arrays([pa.array(owners, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
+    @freed
     def run(batches):
         held, size = [], 0
         for big in batches:
@@ -179,6 +180,7 @@ def kinds_of(short: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
     return kind
 
 
+@freed
 def _named(batches):
     """For each text: its set's size and id."""
     for big in batches:
@@ -192,6 +194,7 @@ def _named(batches):
 def _prefixed(order):
     """For each text: its set's size, id, histogram and those prefix shingles that another text may have."""
 
+    @freed
     def run(batches):
         shared = order.value[0]
         for big in batches:
@@ -225,6 +228,7 @@ def _prefixed(order):
     return run
 
 
+@freed
 def _near(batches):
     """Pairs whose histograms allow the similarity: what differs is at most the share left of both sizes."""
     for batch in batches:
@@ -239,6 +243,7 @@ def _near(batches):
 def _fragmented(order):
     """The set of each text, cut into fragments of the global order."""
 
+    @freed
     def run(batches):
         pivots = order.value[3]
         for big in batches:
@@ -249,27 +254,15 @@ def _fragmented(order):
                         continue
                     place = kinds_of((values >> np.uint64(32)).astype(np.uint32), order.value) + values / 2.0**64
                     fragment = np.searchsorted(pivots, place, "right")
-                    rows += [(node, int(f), values[fragment == f].tobytes()) for f in np.unique(fragment)]
-                node, fragment, blob = zip(*rows) if rows else ((), (), ())
+                    rows += [(node, int(f), values[fragment == f].view(np.int64)) for f in np.unique(fragment)]
+                node, fragment, held = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(blob, pa.binary())], ["node", "fragment", "blob"]
+                    [pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(held, pa.list_(pa.int64()))], ["node", "fragment", "held"]
                 )
 
     return run
 
 
-def _overlapping(batches):
-    """How many shingles a pair shares in one fragment."""
-    for batch in batches:
-        shared = []
-        for a, b in zip(batch["blob_a"].to_pylist(), batch["blob_b"].to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            shared.append(len(np.intersect1d(x, y, assume_unique=True)))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch[c] for c in ("a", "b", "n_a", "n_b", "fragment")), pa.array(shared, pa.int64())], ["a", "b", "n_a", "n_b", "fragment", "shared"]
-        )
-
-
 PAIR = "a long, b long, n_a long, n_b long"
 HEADS = ("a", "b", "n_a", "n_b")
 #: How many leaders each set tries in each round, before pairs across components are listed.
@@ -374,10 +367,11 @@ class Join:
         segments = (
             within(self.docs, wanted, "inner")
             .select("node", "set_id", "text")
-            .mapInArrow(_fragmented(self.order), "node long, fragment int, blob binary")
+            .mapInArrow(_fragmented(self.order), "node long, fragment int, held array<long>")
         )
-        met = near.join(segments.toDF("a", "fragment", "blob_a"), "a").join(segments.toDF("b", "fragment", "blob_b"), ["b", "fragment"])
-        shared = met.select(*HEADS, "fragment", "blob_a", "blob_b").mapInArrow(_overlapping, f"{PAIR}, fragment int, shared long")
+        met = near.join(segments.toDF("a", "fragment", "held_a"), "a").join(segments.toDF("b", "fragment", "held_b"), ["b", "fragment"])
+        # Counted where the pair is made: ten thousand pairs of fragments, the rows of an Arrow batch, would be of any size.
+        shared = met.select(*HEADS, "fragment", F.size(F.array_intersect("held_a", "held_b")).cast("long").alias("shared"))
         total = shared.groupBy(*HEADS, "fragment").agg(F.max("shared").alias("shared")).groupBy(*HEADS).agg(F.sum("shared").alias("shared"))
         similar = WHOLE * F.col("shared") >= PART * (F.col("n_a") + F.col("n_b") - F.col("shared"))
         return cut(total.where(similar).select("a", "b"))
@@ -408,6 +402,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
     """``docs`` with set_id, as ``grouped`` gives it."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    @freed
     def run(batches):
         for big in batches:
             for batch in in_slices(big, "text"):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import SPACE, in_slices, mixed, powers, sums, text_bytes, word_hashes, word_spans
+from hostelry.llm.arrays import SPACE, freed, in_slices, mixed, powers, sums, text_bytes, word_hashes, word_spans
 
 WINDOW = 8
 FEATURES = (
@@ -68,6 +68,7 @@ def duplicate_lines(text: str | None) -> tuple[int, int]:
 
 
 def _featured(names: list[str]):
+    @freed
     def run(batches):
         for big in batches:
             for batch in in_slices(big, "text"):
