@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostelry.functions.bound import bound
 from hostelry.functions.cells import folded
 from hostelry.functions.dates import MONTH_NAMES, WEEKDAY_NAMES, weekday
 
@@ -22,7 +23,11 @@ def day_of(label: Column) -> Column:
 
     "2026-10-26", "26/10/2026", "26/10", "Lun", "Lunedì 26" and "lun 26 ott" are days.
     """
-    text, key = F.trim(label), folded(label)
+    # Bound, as it is read many times: put in at each place, the code of a query passes what the JVM compiles.
+    return bound(F.struct(F.trim(label).alias("text"), folded(label).alias("key")), lambda x: _told(x["text"], x["key"]))
+
+
+def _told(text: Column, key: Column) -> Column:
     iso, slashed, named = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[/.\-](\d{1,2})(?:[/.\-](\d{4}|\d{2}))?$", rf"^({WEEKDAYS})(?: (\d{{1,2}})(?: ([a-z]+))?)?$"
     part = lambda t, p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
     date = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
@@ -38,8 +43,11 @@ def day_of(label: Column) -> Column:
     month_word = part(key, named, 3)
     month = F.when(day_month, part(text, slashed, 2).try_cast("int")).when(is_named, _of(MONTH_NAMES, month_word))
     good = F.coalesce(day.between(1, 31), F.lit(True)) & F.coalesce(month.between(1, 12), F.lit(True)) & (month_word.isNull() | month.isNotNull())
-    told = F.struct(on.alias("on"), F.when(on.isNotNull(), weekday(on)).otherwise(week).alias("weekday"), day.alias("day"), month.alias("month"))
-    return F.when(on.isNotNull() | ((day_month | is_named) & good), told)
+    told = lambda on: F.struct(on.alias("on"), F.when(on.isNotNull(), weekday(on)).otherwise(week).alias("weekday"), day.alias("day"), month.alias("month"))
+    # Dates, names of weekdays and all else: only what a label is of is read.
+    return F.when(text.rlike(iso) | (text.rlike(slashed) & year.isNotNull()), bound(on, lambda on: F.when(on.isNotNull(), told(on)))).when(
+        (day_month | is_named) & good, told(F.lit(None).cast("date"))
+    )
 
 
 def resolved_days(labels: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -50,8 +58,10 @@ def resolved_days(labels: DataFrame, anchors: DataFrame) -> DataFrame:
     next such day, and must have the day of the month that stands with it. A person names any day of the week, so
     theirs goes back to the weekday of the first column. Dates must rise; otherwise a file has no row.
     """
-    days = labels.select("file", "col", day_of(F.col("label")).alias("d")).where("d IS NOT NULL")
-    grids = days.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("col", "d"))).alias("days")).where(F.size("days") >= LEAST_COLUMNS)
+    # Labels that are no days are left out of the lists: a test before them would be pushed below, and each label read twice.
+    read = labels.select("file", "col", day_of(F.col("label")).alias("d"))
+    grids = read.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("col", "d"))).alias("days"))
+    grids = grids.withColumn("days", F.filter("days", lambda x: x["d"].isNotNull())).where(F.size("days") >= LEAST_COLUMNS)
     met = grids.join(anchors, "file", "left")
     dated = F.forall("days", lambda x: x["d"]["on"].isNotNull())
     first = F.get(F.filter("days", lambda x: x["d"]["on"].isNull() & x["d"]["weekday"].isNotNull()), 0)["d"]["weekday"]
