@@ -89,6 +89,8 @@ def kind(text: Column) -> Column:
 
     # What has no digit is a text; plain dates and numbers need not be looked at for weekdays and names of months.
     plain = F.when(is_empty(text), "EMPTY").when(~bare.rlike("[0-9]"), "TEXT").when(bare.rlike(DATE), "DATE").when(bare.rlike(NUMBER), "NUMBER")
+    # A code ("B123"): all other kinds begin with a digit or sign, or have a space, point or hyphen behind a word.
+    plain = plain.when(~bare.rlike(r"^[-+0-9]|[\s.\-]"), "TEXT")
     return plain.otherwise(bound(bare, rare))
 
 
