@@ -150,15 +150,20 @@ def read_headers(headers: DataFrame, phrases: DataFrame, context: tuple[str, ...
     return best.join(blocked, ["header", "field"], "left_anti").select("header", "field", "best.kind", "best.score")
 
 
-def column_profiles(cells: DataFrame) -> DataFrame:
-    """file, col, n, and shares in thousandths of dates, numbers, texts and distinct values among filled cells (file, row, col, value)."""
+def column_profiles(cells: DataFrame, distinct: bool = True) -> DataFrame:
+    """file, col, n, and shares in thousandths of dates, numbers, texts and distinct values among filled cells (file, row, col, value).
+
+    Without ``distinct`` that share is left out, and equal values need not meet. With it they do, and each is told once.
+    """
     # The test is pushed below the kind, so it must not be the kind itself, which would be told twice.
-    rows = cells.where(~words.is_empty(F.col("value"))).select("file", "col", "value", words.kind(F.col("value")).alias("kind"))
+    rows = cells.where(~words.is_empty(F.col("value"))).select("file", "col", "value")
+    rows = rows.groupBy("file", "col", "value").agg(F.count("*").alias("times")) if distinct else rows.withColumn("times", F.lit(1).cast("long"))
+    rows = rows.select("file", "col", "times", words.kind(F.col("value")).alias("kind"))
     share = lambda c: F.expr(f"{c} * 1000 div n").alias
-    counts = rows.groupBy("file", "col").agg(
-        F.count("*").alias("n"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k.lower()) for k in ("DATE", "NUMBER", "TEXT")), F.countDistinct("value").alias("distinct"),
-    )
-    return counts.select("file", "col", "n", share("date")("dates"), share("number")("numbers"), share("text")("texts"), share("distinct")("distinct"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("times"))), F.lit(0).cast("long"))
+    counts = rows.groupBy("file", "col").agg(F.sum("times").alias("n"), *(of(k).alias(k.lower()) for k in ("DATE", "NUMBER", "TEXT")), F.count("*").alias("distinct"))
+    shares = [share("date")("dates"), share("number")("numbers"), share("text")("texts"), *([share("distinct")("distinct")] if distinct else [])]
+    return counts.select("file", "col", "n", *shares)
 
 
 def _permuted(values: Column, size: int) -> Column:

@@ -73,7 +73,7 @@ def phrases(spark) -> DataFrame:
 def column_fields(spark, sf_dir):
     """The field of each column of every file: each column and each field once, one column named by its values alone."""
     columns, cells = booking_files(spark, sf_dir)
-    cells = cut(cells)
+    columns, cells = cut(columns), cut(cells)
     profiles = cut(op.column_profiles(cells))
     relations = cut(op.booking_dates(cells, profiles))
     readings = op.read_headers(columns, phrases(spark), CONTEXT)
@@ -103,7 +103,7 @@ def related_dates(spark, sf_dir):
     """Columns of dates told apart by their order on nearly all rows; files with many broken rows tell nothing."""
     _, cells = booking_files(spark, sf_dir)
     cells = cut(cells)
-    found = op.booking_dates(cells, cut(op.column_profiles(cells).select("file", "col", "n", "dates")))
+    found = op.booking_dates(cells, cut(op.column_profiles(cells, distinct=False).select("file", "col", "n", "dates")))
     return found.select("file", F.col("col").cast("long").alias("col"), "field", "proves")
 
 
@@ -141,7 +141,7 @@ def related_amounts(spark, sf_dir):
     values = [two("net"), two("tax"), two("gross"), F.col("qty").cast("string")]
     listed = F.array(*(F.struct(((i + F.col("f")) % 4).cast("int").alias("col"), v.alias("value")) for i, v in enumerate(values)))
     cells = cut(rows.select(F.concat(F.lit("file_"), "f").alias("file"), "row", F.inline(listed)))
-    found = op.invoice_amounts(cells, cut(op.column_profiles(cells).select("file", "col", "n", "numbers")))
+    found = op.invoice_amounts(cells, cut(op.column_profiles(cells, distinct=False).select("file", "col", "n", "numbers")))
     return found.select("file", F.col("col").cast("long").alias("col"), "field")
 
 

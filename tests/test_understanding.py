@@ -408,3 +408,19 @@ def test_equal_records_take_places(spark):
 def test_rows_that_share_a_key(spark):
     rows = quality.siblings(spark.createDataFrame([("a",), ("b",), ("a",)], "id string"), "id")
     assert sorted((r.id, r.sharing) for r in rows.collect()) == [("a", 2), ("a", 2), ("b", 1)]
+
+
+def test_code_of_day_grids_compiles(spark):
+    """A label is read for its text and its key only: put in wherever it is used, its code passed 64 KB and was not compiled."""
+    label = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Lun "), F.dayofmonth(F.date_add(F.lit("2026-10-26").cast("date"), F.col("id").cast("int"))).cast("string"))).otherwise(F.lit("26/10"))
+    read = spark.range(4).select(days.day_of(label).alias("d"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Lun ") <= 2
+
+
+def test_distinct_values_are_told_once(spark):
+    cells = spark.createDataFrame([("f", i, 0, ["B12", "2026-10-26", "7", " "][i % 4]) for i in range(40)], "file string, row long, col int, value string")
+    got = fields.column_profiles(cells)
+    assert tuple(got.first())[2:] == (30, 333, 333, 333, 100)
+    assert "distinct" not in fields.column_profiles(cells, distinct=False).columns
+    kinds = spark.createDataFrame([("B123",), ("Mon 26/10/2026",), ("Oct-26-2026",), ("7 h",), ("x 1",), ("a1:b",)], "v string").select("v", fields.words.kind(F.col("v")).alias("k"))
+    assert {r.v: r.k for r in kinds.collect()} == {"B123": "TEXT", "Mon 26/10/2026": "DATE", "Oct-26-2026": "DATE", "7 h": "NUMBER", "x 1": "TEXT", "a1:b": "TEXT"}
