@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
+from pyspark.sql import SparkSession
 
 #: Bytes handled at a time; bounds the working arrays whatever a text's length.
 SLICE = 1 << 20
 #: Bytes of words hashed at a time, which take about thirty times as much.
 HASHED = 1 << 18
+#: Bytes of an Arrow batch. Texts of ten thousand rows, Spark's batch, are of any size.
+BATCH = 5 << 20
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -136,13 +141,29 @@ def in_slices(batch: pa.RecordBatch, column: str, most: int = SLICE // 2):
     pa.default_memory_pool().release_unused()
 
 
+def in_batches(session: SparkSession) -> None:
+    """Hold the Arrow batches of ``session`` to ``BATCH`` bytes, unless it has a bound of its own.
+
+    A batch stands several times in memory: as it grows in the JVM, as it is sent, and in Python.
+    """
+    if session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
+def released() -> None:
+    """Give the system what is free: of Arrow's pool, and what the C library keeps of arrays and strings."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def freed(run):
     """``run`` over a task's batches, after which the worker gives the memory of the last ones back before it waits for the next task."""
 
     @functools.wraps(run)
     def each(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        released()
 
     return each
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostelry.llm.arrays import freed, gathered, in_slices, packed, per_process, unpacked
+from hostelry.llm.arrays import freed, gathered, in_batches, in_slices, packed, per_process, released, unpacked
 from hostelry.llm.token_counts import AFTER_SPACE, UNIT
 
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
@@ -294,6 +294,13 @@ def _assembled(table: pa.Table) -> pa.Table:
     return pa.table([pa.chunked_array(doc_ids), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
 
+def _put_together(table: pa.Table) -> pa.Table:
+    """``_assembled``, after which the worker gives its working arrays back."""
+    out = _assembled(table)
+    released()
+    return out
+
+
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, *, parts: int | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -305,6 +312,7 @@ def encode(
     ``parts`` is the number of shares the distinct words are
     dealt into, by default the session's number of shuffle partitions.
     """
+    in_batches(docs.sparkSession)
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows, schema = docs.select("doc_id", F.col("text").cast("string").alias("text")), BLOCKS.format(id=id_type)
@@ -315,7 +323,7 @@ def encode(
         .applyInArrow(_with_iterator(_encoded(ranks_path)), f"block string, doc_ids array<{id_type}>, blob binary")
     )
     texts = rows.mapInArrow(_blocked(pattern, None, block_bytes), schema).select("block", "doc_ids", "blob")
-    return texts.unionByName(answers).groupBy("block").applyInArrow(_assembled, f"doc_id {id_type}, ids binary")
+    return texts.unionByName(answers).groupBy("block").applyInArrow(_put_together, f"doc_id {id_type}, ids binary")
 
 
 def _with_iterator(run):
@@ -351,5 +359,6 @@ def _decoded(ranks_path: str):
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its ``ids`` (null: none)."""
+    in_batches(encoded.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(_decoded(ranks_path), f"{fields}, decoded binary")

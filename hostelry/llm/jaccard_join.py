@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import freed, in_slices, mixed, packed, powers, text_bytes, unpacked, word_hashes, word_spans
+from hostelry.llm.arrays import freed, in_batches, in_slices, mixed, packed, powers, text_bytes, unpacked, word_hashes, word_spans
 from hostelry.llm.components import components, dealt_anew
 
 #: Words of a shingle; the similarity as a fraction of integers.
@@ -280,6 +280,7 @@ class Join:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
         session = docs.sparkSession
+        in_batches(session)
         id_type = docs.schema["doc_id"].dataType.simpleString()
         self.texts = cut(self.docs.mapInArrow(_named, f"doc_id {id_type}, n long, set_id binary"))
         # Equal sets are one node: of copies only the smallest doc_id of a set goes on.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostelry.functions.storage import cut
-from hostelry.llm.arrays import SPACE, freed, in_slices, mixed, powers, sums, text_bytes, word_hashes, word_spans
+from hostelry.llm.arrays import SPACE, freed, in_batches, in_slices, mixed, powers, sums, text_bytes, word_hashes, word_spans
 
 WINDOW = 8
 FEATURES = (
@@ -101,6 +101,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     A kept column whose name a result has too is given as name_in.
     """
+    in_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(keep))]
     texts = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import os
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -424,3 +426,57 @@ def test_overlaps_without_arrow(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
     links = join.verified(pairs).collect()
     assert links and "array_intersect" in plans[-1] and "blob" not in plans[-1]
+
+
+def test_batches_of_texts_are_small(spark, monkeypatch):
+    """Ten thousand texts of any length do not meet in one Arrow batch (before: one batch of 24 MB)."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 800)").alias("text"))
+
+    def sized(names):
+        def run(batches):
+            for batch in batches:
+                counts = [pa.array([batch.nbytes], pa.int64())] * len(quality_rules.FEATURES.split(", "))
+                yield pa.RecordBatch.from_arrays([batch["c0"][:1], *counts], [*names, *(f.split()[0] for f in quality_rules.FEATURES.split(", "))])
+
+        return run
+
+    monkeypatch.setattr(quality_rules, "_featured", sized)
+    sizes = [r.n_words for r in quality_rules.features(docs, ["doc_id"]).collect()]
+    assert sum(sizes) > 24e6 and max(sizes) < 6e6
+
+
+def test_a_bound_of_the_session_stays(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    try:
+        quality_rules.features(spark.createDataFrame([(1, "a")], "doc_id long, text string"), ["doc_id"])
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+HELD = """
+import os
+import numpy as np
+from hostelry.llm.arrays import freed
+mb = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+pins = []
+@freed
+def run(batches):
+    arrays = [np.ones(12_500) for _ in range(1000)]
+    pins.append(np.ones(100))
+    yield mb()
+    del arrays
+before = mb()
+most = max(run(iter([])))
+print(most - before, mb() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_workers_give_memory_back():
+    """What a task's arrays took goes back to the system (before: 100 of 100 MB stayed with the worker)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", HELD], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    most, left = map(float, done.stdout.split())
+    assert most > 90 and left < 20
