@@ -24,39 +24,42 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostelry.llm.arrays import freed, gathered, in_batches, in_slices, packed, per_process, released, unpacked
-from hostelry.llm.token_counts import AFTER_SPACE, UNIT
+from hostelry.llm.arrays import freed, gathered, in_batches, in_slices, packed, per_process, released, sums, text_bytes, unpacked
+from hostelry.llm.units import LETTER, units, word_cuts
 
-#: UTF-8 bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 5 << 20
+#: UTF-8 bytes of text in a block; a longer text is a block of its own. An Arrow batch and its last row make one block.
+BLOCK_BYTES = 6 << 20
+#: Bytes of letters below U+0280, which are letters in every version of Unicode: ASCII, and leads and others of two bytes.
+IN_WORD = LETTER.copy()
+IN_WORD[0x80:0xC0] = IN_WORD[0xC3:0xCA] = True
 
 
-class Numbered(dict):
-    """Numbers for units of text (white space, then the run after it), each a run of numbered pre-tokens.
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The stretches of ``data`` between successive ends, which are not copied."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers)
 
-    Between a character that is not white space and one that is, a pre-token
-    always ends, so units can be split on their own.
-    """
 
-    def __init__(self, pattern):
-        super().__init__()
-        self.pattern = pattern
-        self.words: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends = [0]
+def _bytes_of(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls, and its n+1 offsets."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
 
-    def __missing__(self, unit: str) -> int:
-        words = self.words
-        for piece in self.pattern.findall(unit):
-            self.flat.append(words.setdefault(piece, len(words)))
-        self.ends.append(len(self.flat))
-        self[unit] = n = len(self)
-        return n
+def is_word(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each stretch is letters below U+0280, with or without a space in front: one pre-token."""
+    inside = IN_WORD[data]
+    inside[:-1] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the signs of times and division
+    inside[ends[:-1][data[ends[:-1]] == 0x20]] = True
+    return sums(~inside, ends) == 0
 
 
-def packed_words(words: list[bytes]) -> bytes:
-    head = np.array([len(words), *map(len, words)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(words))
+def packed_words(data: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words of ``data`` between successive ends."""
+    head = np.concatenate([[len(ends) - 1], np.diff(ends)]).astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + data[ends[0] : ends[-1]].tobytes())
 
 
 def unpacked_words(blob: bytes) -> list[bytes]:
@@ -67,11 +70,10 @@ def unpacked_words(blob: bytes) -> list[bytes]:
     return [raw[at + a : at + b] for a, b in zip([0, *ends], ends)]
 
 
-def named(doc_ids: list, texts: list) -> str:
+def named(doc_ids: list, data: np.ndarray, offsets: np.ndarray) -> str:
     """A block's name: a hash of all that is in it, so other contents never pass for the same block."""
-    whole = hashlib.sha256(repr((doc_ids, [t if t is None else len(t) for t in texts])).encode())
-    for text in texts:
-        whole.update((text or "").encode())
+    whole = hashlib.sha256(repr((doc_ids, np.diff(offsets).tolist())).encode())
+    whole.update(data)
     return whole.hexdigest()[:32]
 
 
@@ -182,31 +184,41 @@ class Merges:
 BLOCKS = "block string, part int, doc_ids array<{id}>, blob binary"
 
 
-def _numbered(texts: list, split) -> tuple[Numbered, list[np.ndarray]]:
-    """The numbers of a block's pre-tokens, and each text as a run of units."""
-    units, runs = Numbered(split), []
-    for text in texts:
-        text = text or ""
-        found = UNIT.findall(text) if "\0" in text or AFTER_SPACE.search(text) else text.replace(" ", "\0 ").split("\0")
-        runs.append(np.fromiter(map(units.__getitem__, found), np.int64))
-    return units, runs
+def _numbered(data: np.ndarray, offsets: np.ndarray, split) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A block's distinct pre-tokens, and its texts as the numbers of theirs: how many each has, and all end to end.
 
-
-def _texts_of_blocks(units: Numbered, runs: list[np.ndarray], doc_ids: list) -> list[tuple]:
+    Texts are cut into units where a pre-token always begins. Of distinct units those
+    that are one pre-token by their bytes are told together, the others are split.
+    """
+    borders = units(data, offsets, word_cuts)
+    coded = binaries(data, borders).dictionary_encode()
+    found = coded.dictionary
+    whole = is_word(*_bytes_of(found))
+    split_up = [split.findall(unit.decode()) for unit in found.filter(pa.array(~whole)).to_pylist()]
+    lengths = np.ones(len(found), np.int64)
+    lengths[~whole] = np.fromiter(map(len, split_up), np.int64, len(split_up))
+    pieces = pa.array([piece.encode() for unit in split_up for piece in unit], pa.large_binary())
+    words = pa.concat_arrays([found.filter(pa.array(whole)), pieces]).dictionary_encode()
+    number, is_one = words.indices.to_numpy(), np.repeat(whole, lengths)
+    flat = np.empty(len(number), np.int64)
+    flat[is_one], flat[~is_one] = np.split(number, [np.count_nonzero(whole)])
+    numbers, sizes = gathered(flat, np.concatenate([[0], np.cumsum(lengths)]), coded.indices.to_numpy())
+    return words.dictionary, sums(sizes, np.searchsorted(borders, offsets)), numbers
+
+
+def _texts_of_blocks(words: pa.Array, sizes: np.ndarray, numbers: np.ndarray, doc_ids: list) -> list[tuple]:
     """One row: the block's texts as runs of word numbers."""
-    numbers, lengths = gathered(np.array(units.flat, np.int64), np.array(units.ends, np.int64), np.concatenate(runs))
-    unit_ends = np.concatenate([[0], np.cumsum(lengths)])
-    sizes = np.diff(unit_ends[np.concatenate([[0], np.cumsum([len(r) for r in runs])])])
-    return [(None, doc_ids, packed(np.concatenate([[len(runs), len(units.words)], sizes, numbers])))]
+    return [(None, doc_ids, packed(np.concatenate([[len(sizes), len(words)], sizes, numbers])))]
 
 
-def _words_of_blocks(units: Numbered, parts: int) -> list[tuple]:
+def _words_of_blocks(words: pa.Array, parts: int) -> list[tuple]:
     """A row for each part that has words of the block: their numbers and bytes."""
-    words = [w.encode() for w in units.words]
-    dealt: list[list[int]] = [[] for _ in range(parts)]
-    for i, word in enumerate(words):
-        dealt[zlib.crc32(word) % parts].append(i)
-    return [(p, None, framed(packed(np.array(own)), packed_words([words[i] for i in own]))) for p, own in enumerate(dealt) if own]
+    part = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % parts
+    order = np.argsort(part, kind="stable")
+    data, ends = _bytes_of(words.take(pa.array(order)))
+    own, first = np.unique(part[order], return_index=True)
+    last = [*first[1:].tolist(), len(order)]
+    return [(p, None, framed(packed(order[a:b]), packed_words(data, ends[a : b + 1]))) for p, a, b in zip(own.tolist(), first.tolist(), last)]
 
 
 def _blocked(pattern: str, parts: int | None, block_bytes: int):
@@ -217,10 +229,12 @@ def _blocked(pattern: str, parts: int | None, block_bytes: int):
         split = regex.compile(pattern)
         for big in batches:
             for batch in in_slices(big, "text", block_bytes):
-                texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-                block = named(doc_ids, texts)
-                units, runs = _numbered(texts, split)
-                rows = _words_of_blocks(units, parts) if parts else _texts_of_blocks(units, runs, doc_ids)
+                batch["text"].validate(full=True)
+                data, offsets = text_bytes(batch["text"])
+                doc_ids = batch["doc_id"].to_pylist()
+                block = named(doc_ids, data, offsets)
+                words, sizes, numbers = _numbered(data, offsets, split)
+                rows = _words_of_blocks(words, parts) if parts else _texts_of_blocks(words, sizes, numbers, doc_ids)
                 if rows:
                     part, ids, blobs = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
