@@ -6,6 +6,11 @@ of one vocabulary together, so that the blocks of documents that the bounds spea
 of hold alike ones. Statistics are global (counted from the index), so the shards'
 results merge exactly.
 
+Queries and documents both grow with a corpus, and bounds close little but other
+vocabularies' blocks, so what is left has to be cheap: queries of one vocabulary are
+scored together, common terms by one product of matrices over the documents that are
+open to any of them, and only rare terms posting by posting.
+
 Queries come in blocks of bounded size. A task keeps, through all its shards, the k
 best so far of every query, and with it a threshold. In a shard, the pivot test of
 WAND adds up the maxima of a query's lists: without hope of the threshold, the
@@ -29,13 +34,17 @@ from hostelry.llm.arrays import in_slices, packed, text_bytes, unpacked, word_ha
 from hostelry.llm.components import dealt_anew
 
 K1, B = 1.2, 0.75
-SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS = 16 << 20, 8192, 64
-#: A list with this share of a shard's documents is held as a column.
-DENSE = 1 / 16
+SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS = 16 << 20, 8192, 512
+#: What a list has in a block of documents is held as a column from so many documents, times the share of the queries that ask for it.
+DENSE = 1.0
 #: Bytes of queries (16 for a distinct term) that are broadcast at a time.
-QUERY_BYTES = 8 << 20
-#: Queries whose bounds are worked out together.
-TOGETHER = 64
+QUERY_BYTES = 24 << 20
+#: Queries that are worked out together, and terms of these.
+TOGETHER, TERMS = 512, 1 << 17
+#: Terms whose rare postings are added up at a time.
+RARE = 1 << 11
+#: Vocabularies that a shard's documents are put into.
+KINDS = 8
 #: The waves' shares of the shards, in 64ths.
 WAVES = (1, 8, 64)
 #: Decimals of a score; ties are of scores as rounded.
@@ -69,6 +78,21 @@ def _queries(batches):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], terms, counts], ["query", "terms", "counts"])
 
 
+def kinds(text: np.ndarray, own: np.ndarray, documents: int) -> np.ndarray:
+    """Each document's vocabulary: the documents with the most common term, those of the others with their most common term, and so on.
+
+    ``text`` and ``own``: the document and the number of the term of every posting.
+    """
+    kind = np.full(documents, KINDS)
+    for number in range(KINDS):
+        if not len(own):
+            break
+        kind[text[own == np.bincount(own).argmax()]] = number
+        left = kind[text] == KINDS
+        text, own = text[left], own[left]
+    return kind
+
+
 def _indexed(batches):
     """Shards of the task's documents: each one row, whatever batches they came in."""
 
@@ -77,27 +101,30 @@ def _indexed(batches):
         begins = np.cumsum([0] + [len(h[3]) for h in held])
         text = np.concatenate([h[0] + b for h, b in zip(held, begins)])
         term, count = (np.concatenate([h[i] for h in held]) for i in (1, 2))
-        # Documents by their most frequent term, by hash on a tie: those of one vocabulary stand together.
+        # Documents by vocabulary and by their most frequent term, by hash on a tie: alike ones stand together.
         best = np.lexsort((term, -count, text))
         first = np.ones(len(best), bool)
         first[1:] = text[best[1:]] != text[best[:-1]]
         leading = np.zeros(len(lengths), np.uint64)
         leading[text[best[first]]] = term[best[first]]
-        order = np.argsort(leading, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        text = place[text]
-        by_term = np.lexsort((text, term))
+        by_term = np.argsort(term, kind="stable")
         term, text, count = term[by_term], text[by_term], count[by_term]
         new = np.ones(len(term), bool)
         new[1:] = term[1:] != term[:-1]
         begin = np.flatnonzero(new)
         sizes = np.diff(np.append(begin, len(term)))
-        own = pa.chunked_array(ids).take(pa.array(order)).combine_chunks()
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((leading, kinds(text, own, len(lengths))))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        text = place[text]
+        by_text = np.argsort(own * len(order) + text)
+        text, count = text[by_text], count[by_text]
+        named = pa.chunked_array(ids).take(pa.array(order)).combine_chunks()
         columns = (lengths[order], sizes, text, count)
         names = ["shard", "ids", "n", "words", "terms", "lengths", "sizes", "docs", "counts"]
-        values = [[uuid.uuid4().int >> 66], [own.to_pylist()], [len(lengths)], [int(lengths.sum())], [term[begin].tobytes()], *([packed(c)] for c in columns)]
-        types = [pa.int64(), pa.list_(own.type), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        values = [[uuid.uuid4().int >> 66], [named.to_pylist()], [len(lengths)], [int(lengths.sum())], [term[begin].tobytes()], *([packed(c)] for c in columns)]
+        types = [pa.int64(), pa.list_(named.type), pa.int64(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
     held, ids, docs, size = [], [], 0, 0
@@ -146,17 +173,28 @@ class Block:
     def __init__(self, ids: list, terms: list[np.ndarray], weights: list[np.ndarray], k: int):
         self.ids, self.k = ids, k
         self.ends = np.cumsum([0, *map(len, terms)])
-        self.words, self.own = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+        self.words, own = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+        self.own = own.astype(np.int32)
         self.weights = np.concatenate([np.zeros(0), *weights])
+        #: Of each word, the share of the queries that have it.
+        self.share = np.bincount(self.own, minlength=len(self.words)) / max(len(ids), 1)
         #: Of each term, its query.
-        self.query = np.repeat(np.arange(len(ids)), np.diff(self.ends))
+        self.query = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.ends))
         self.least = np.zeros(len(ids))
 
+    def parts(self, terms: int, begin: int, end: int):
+        """Runs of the queries from ``begin`` to ``end`` with about so many terms."""
+        while begin < end:
+            most = int(np.searchsorted(self.ends, self.ends[begin] + terms, "right")) - 1
+            to = max(begin + 1, min(begin + TOGETHER, most, end))
+            yield slice(begin, to)
+            begin = to
+
 
 class Shard:
     """One row of the index, ready for the terms of a block of queries."""
 
-    def __init__(self, lengths, terms, sizes, docs, counts, words: np.ndarray, mean: float):
+    def __init__(self, lengths, terms, sizes, docs, counts, words: np.ndarray, mean: float, share: np.ndarray | None = None):
         self.size, self.length = len(lengths), lengths
         at = np.minimum(np.searchsorted(terms, words), max(len(terms) - 1, 0))
         have = terms[at] == words if len(terms) else np.zeros(len(words), bool)
@@ -165,33 +203,46 @@ class Shard:
         begins = np.cumsum(sizes) - sizes
         kept = at[have]
         n = sizes[kept]
-        self.ends = np.concatenate([[0], np.cumsum(n)])
-        index = np.arange(self.ends[-1]) + np.repeat(begins[kept] - self.ends[:-1], n)
-        self.doc, self.impact = docs[index], impacts(counts[index], lengths[docs[index]], mean)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        index = np.arange(ends[-1]) + np.repeat(begins[kept] - ends[:-1], n)
+        doc, impact = docs[index], impacts(counts[index], lengths[docs[index]], mean)
         # The maximum of every list in every block of documents; a block is a run of BLOCK_DOCS.
         self.blocks = -(-self.size // BLOCK_DOCS)
         owner = np.repeat(np.arange(len(kept)), n)
-        cell = owner * self.blocks + self.doc // BLOCK_DOCS
+        cell = owner * self.blocks + doc // BLOCK_DOCS
         new = np.ones(len(cell), bool)
         new[1:] = cell[1:] != cell[:-1]
         first = np.flatnonzero(new)
         self.most = np.zeros((len(kept) + 1, self.blocks), np.float32)
         if len(first):
-            self.most.reshape(-1)[cell[first]] = np.maximum.reduceat(self.impact, first)
-        # Long lists stand as columns of a matrix; its numbers pick documents, whose scores are then added exactly.
+            self.most.reshape(-1)[cell[first]] = np.maximum.reduceat(impact, first)
+        # What is dense stands in a matrix; its numbers pick documents, whose scores are then added exactly.
+        many = np.diff(np.append(first, len(cell)))
+        asked = np.ones(len(kept)) if share is None else share[have]
+        dense = many * asked[owner[first]] >= DENSE
+        inside = np.repeat(dense, many)
+        long, number = np.unique(owner[first[dense]], return_inverse=True)
         self.column = np.full(len(kept) + 1, -1)
-        long = np.flatnonzero(n >= max(DENSE * self.size, 2))
         self.column[long] = np.arange(len(long))
-        inside = self.column[owner] >= 0
-        self.dense = np.zeros((self.size, len(long)))
-        self.dense[self.doc[inside], self.column[owner[inside]]] = self.impact[inside]
-        self.rough = np.ascontiguousarray(self.dense.T.astype(np.float32))
-        self.count = np.arange(self.ends[-1])
+        #: Which columns have numbers in which blocks.
+        self.filled = np.zeros((len(long), self.blocks), bool)
+        self.filled[number, cell[first[dense]] - long[number] * self.blocks] = True
+        #: Where the matrix has numbers, in order, and these exactly.
+        self.cells, self.held = self.column[owner[inside]] * self.size + doc[inside], impact[inside]
+        self.rough = np.zeros((len(long), self.size), np.float32)
+        self.rough.reshape(-1)[self.cells] = self.held
+        # The rest of all lists, end to end, small for the many that are read and exact for the few that are added;
+        # the last list has none and stands for terms without one.
+        self.doc, self.impact = doc[~inside].astype(np.uint16 if self.size <= 1 << 16 else np.int64), impact[~inside]
+        self.light = self.impact.astype(np.float32)
+        self.n = np.bincount(owner[~inside], minlength=len(kept) + 1)
+        self.begin = np.cumsum(self.n) - self.n
 
     def bounds(self, block: Block, some: slice) -> np.ndarray:
         """For each of some queries and each block of documents, what no score there exceeds."""
         a, b = block.ends[some.start], block.ends[some.stop]
-        each = self.most[self.place[block.own[a:b]]] * block.weights[a:b, None].astype(np.float32)
+        each = self.most[self.place[block.own[a:b]]]
+        each *= block.weights[a:b, None].astype(np.float32)
         out = np.zeros((some.stop - some.start, self.blocks), np.float32)
         ends = block.ends[some.start : some.stop + 1] - a
         filled = np.flatnonzero(np.diff(ends))
@@ -204,10 +255,35 @@ class Shard:
         a, b = block.ends[some.start], block.ends[some.stop]
         column = self.column[self.place[block.own[a:b]]]
         held = np.flatnonzero(column >= 0)
-        out = np.zeros((some.stop - some.start, self.dense.shape[1]))
+        out = np.zeros((some.stop - some.start, len(self.rough)))
         out[block.query[a:b][held] - some.start, column[held]] = block.weights[a:b][held]
         return out
 
+    def common(self, long: np.ndarray, open_blocks: np.ndarray) -> np.ndarray:
+        """What the columns come to in each document, in single precision, for some queries; 0 in blocks that are closed to all of them."""
+        weights, out = long.astype(np.float32), np.zeros((len(long), self.size), np.float32)
+        for number, some in enumerate(open_blocks.T):
+            rows, used = np.flatnonzero(some), np.flatnonzero(self.filled[:, number])
+            docs = slice(number * BLOCK_DOCS, (number + 1) * BLOCK_DOCS)
+            if len(rows):
+                out[rows, docs] = weights[np.ix_(rows, used)] @ self.rough[used, docs]
+        return out
+
+    def rare(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, place, number of the term) of every posting of some terms that is not in a column."""
+        n = self.n.take(place)
+        index = np.repeat(self.begin.take(place) - (np.cumsum(n) - n), n)
+        index += np.arange(len(index))
+        return self.doc.take(index), index, np.repeat(np.arange(len(n)), n)
+
+    def reached(self, block: Block, some: slice, place: np.ndarray, rough: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which of some queries have a document that may reach ``least``; ``rough``: what their columns come to."""
+        mine = slice(block.ends[some.start], block.ends[some.stop])
+        docs, index, of = self.rare(place[mine])
+        cells = ((block.query[mine].astype(np.int64) - some.start) * self.size)[of] + docs
+        acc = np.bincount(cells, self.light.take(index) * block.weights[mine][of], rough.size).reshape(rough.shape)
+        return (acc + rough >= np.maximum(least * (1 - LOSS), np.finfo(float).tiny)[:, None]).any(axis=1)
+
     def scored(
         self, place: np.ndarray, weights: np.ndarray, long: np.ndarray, rough: np.ndarray, open_blocks: np.ndarray, least: float, k: int
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -215,21 +291,30 @@ class Shard:
 
         ``long``: the query's weights by column; ``rough``: what they come to in each document, in single precision.
         """
-        rare = (place >= 0) & (self.column[place] < 0)
-        place, weights = place[rare], weights[rare]
-        begin = self.ends[place]
-        n = self.ends[place + 1] - begin
-        total = np.cumsum(n)
-        index = np.repeat(begin - (total - n), n)
-        index += self.count[: len(index)]
-        acc = np.bincount(self.doc[index], self.impact[index] * np.repeat(weights, n), self.size)
-        rough = rough + acc
-        if not open_blocks.all():
-            rough[~np.repeat(open_blocks, BLOCK_DOCS)[: self.size]] = 0.0
-        if self.size > k:
-            least = max(least, np.partition(rough, -k)[-k] * (1 - LOSS) - 10.0**-DECIMALS)
-        found = np.flatnonzero((rough >= least * (1 - LOSS)) & (rough > 0))
-        return found, np.round(acc[found] + self.dense[found] @ long, DECIMALS)
+        docs, index, of = self.rare(place)
+        weights = weights[of]
+        rough = np.bincount(docs, self.light.take(index) * weights, self.size) + rough
+        found = np.flatnonzero(rough >= max(least * (1 - LOSS), np.finfo(float).tiny))
+        found = found[open_blocks[found // BLOCK_DOCS]]
+        if len(found) > k:
+            least = max(least, np.partition(rough[found], -k)[-k] * (1 - LOSS) - 10.0**-DECIMALS)
+            found = found[rough[found] >= least * (1 - LOSS)]
+        if not len(found):
+            return found, np.zeros(0)
+        own = np.zeros(self.size, bool)
+        own[found] = True
+        own = np.flatnonzero(own[docs])
+        acc = np.bincount(docs[own], self.impact[index[own]] * weights[own], self.size)
+        return found, np.round(acc[found] + self.exact(long, found), DECIMALS)
+
+    def exact(self, long: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """What a query's weights by column come to in some documents."""
+        used = np.flatnonzero(long)
+        if not len(used):
+            return np.zeros(len(found))
+        cells = used[:, None] * self.size + found
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        return (np.where(self.cells[at] == cells, self.held[at], 0.0) * long[used, None]).sum(axis=0)
 
 
 def best_of(found: list[tuple], k: int) -> list[tuple]:
@@ -237,6 +322,12 @@ def best_of(found: list[tuple], k: int) -> list[tuple]:
     return sorted(found, key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1]))[:k]
 
 
+def runs(column: pa.ListArray) -> list[np.ndarray]:
+    """The numbers of each list."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _searched(shared, mean: float):
     def run(batches):
         block = shared.value
@@ -248,24 +339,27 @@ def _searched(shared, mean: float):
             id_type = batch["ids"].type.value_type
             for row in batch.select(["ids", "terms", "lengths", "sizes", "docs", "counts"]).to_pylist():
                 numbers = [unpacked(row[c]).astype(np.int64) for c in ("lengths", "sizes", "docs", "counts")]
-                shard = Shard(numbers[0], np.frombuffer(row["terms"], np.uint64), *numbers[1:], block.words, mean)
+                shard = Shard(numbers[0], np.frombuffer(row["terms"], np.uint64), *numbers[1:], block.words, mean, block.share)
                 ids = row["ids"]
                 # The pivot test: the maxima of a query's lists, wherever in the shard they are.
-                tops = shard.most.max(axis=1, initial=0)[shard.place[block.own]] * block.weights
+                place = shard.place[block.own]
+                tops = shard.most.max(axis=1, initial=0)[place] * block.weights
                 hope = np.bincount(block.query, tops, len(block.ids)) * (1 + LOSS) >= least
-                for at in range(0, len(block.ids), TOGETHER):
-                    some = slice(at, min(at + TOGETHER, len(block.ids)))
-                    if not hope[some].any():
+                for part in block.parts(TERMS, 0, len(block.ids)):
+                    if not hope[part].any():
                         continue
-                    bounds = shard.bounds(block, some)
-                    open_ = (bounds > 0) & (bounds * (1 + LOSS) >= least[some, None]) & hope[some, None]
-                    long = shard.columns(block, some)
-                    some_open = np.flatnonzero(open_.any(axis=1))
-                    rough = long[some_open].astype(np.float32) @ shard.rough
-                    for i, r in zip(some_open.tolist(), rough):
-                        q = at + i
+                    bounds = shard.bounds(block, part)
+                    open_ = (bounds > 0) & (bounds * (1 + LOSS) >= least[part, None]) & hope[part, None]
+                    long = shard.columns(block, part)
+                    rough = shard.common(long, open_)
+                    reached = open_.any(axis=1)
+                    for some in block.parts(RARE, part.start, part.stop):
+                        own = slice(some.start - part.start, some.stop - part.start)
+                        reached[own] &= shard.reached(block, some, place, rough[own], least[some])
+                    for i in np.flatnonzero(reached).tolist():
+                        q = part.start + i
                         mine = slice(block.ends[q], block.ends[q + 1])
-                        docs, scores = shard.scored(shard.place[block.own[mine]], block.weights[mine], long[i], r, open_[i], least[q], k)
+                        docs, scores = shard.scored(place[mine], block.weights[mine], long[i], rough[i], open_[i], least[q], k)
                         keep = scores >= least[q]
                         if keep.any():
                             new = [(s, ids[d]) for s, d in zip(scores[keep].tolist(), docs[keep].tolist())]
@@ -325,8 +419,8 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, query_bytes: int
     schema = f"query {id_type}, doc_id {id_type}, score double"
     for number in range(blocks):
         rows = ready.where(F.col("block") == number).select("query", "t.term", "t.weight").toArrow()
-        lists = [[np.asarray(x) for x in rows[c].to_pylist()] for c in ("term", "weight")]
-        block = Block(rows["query"].to_pylist(), [t.astype(np.int64).view(np.uint64) for t in lists[0]], lists[1], k)
+        lists = [runs(rows[c].combine_chunks()) for c in ("term", "weight")]
+        block = Block(rows["query"].to_pylist(), [t.view(np.uint64) for t in lists[0]], lists[1], k)
         of = {q: i for i, q in enumerate(block.ids)}
         earlier = None
         for wave in range(len(WAVES)):

@@ -382,6 +382,38 @@ def test_pruning_keeps_the_best():
         assert np.allclose(np.sort(scores)[::-1][:10], np.sort(every)[::-1][:10], atol=1e-6)
 
 
+def test_common_terms_are_not_read_posting_by_posting():
+    """What many queries ask for stands in the matrix of the blocks that have it; only queries that reach their threshold are scored alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[i % 2]}{n}" for n in np.minimum(rng.geometric(0.02, 40), 399)) for i in range(2000)]
+    texts.sort()
+    text, term, count, lengths = bm25_search.terms_of(pa.array(texts))
+    by_term = np.lexsort((text, term))
+    terms, sizes = np.unique(term, return_counts=True)
+    asked = [np.flatnonzero(text == q) for q in range(0, 2000, 20)]
+    block = bm25_search.Block(list(range(100)), [term[a] for a in asked], [count[a] * 1.0 for a in asked], 10)
+    shard = bm25_search.Shard(lengths, terms, sizes, text[by_term], count[by_term], block.words, 40.0, block.share)
+    place, every = shard.place[block.own], np.zeros((100, 2000))
+    impact = bm25_search.impacts(count, lengths[text], 40.0)
+    for q, a in enumerate(asked):
+        weight = dict(zip(term[a].tolist(), count[a].tolist()))
+        np.add.at(every[q], text, impact * np.array([weight.get(t, 0.0) for t in term.tolist()]))
+    postings = dict(zip(terms.tolist(), sizes.tolist()))
+    whole = sum(postings[t] for a in asked for t in term[a].tolist())
+    assert len(shard.rare(place)[0]) < whole / 5
+    least = np.sort(every, axis=1)[:, -3] + np.where(np.arange(100) % 2, 1.0, -0.01) * 50
+    open_blocks = np.ones((100, shard.blocks), bool)
+    reached = []
+    for part in block.parts(bm25_search.TERMS, 0, 100):
+        long = shard.columns(block, part)
+        rough = shard.common(long, open_blocks[part])
+        for some in block.parts(70, part.start, part.stop):
+            reached += shard.reached(block, some, place, rough[some.start - part.start : some.stop - part.start], least[some]).tolist()
+    assert reached == (every.max(axis=1) >= least).tolist() and 0 < sum(reached) < 100
+
+
 def test_search_prefers_small_ids_among_many_copies(spark, monkeypatch):
     monkeypatch.setattr(bm25_search, "SHARD_DOCS", 50)
     rows = [(i, "one two three four") for i in range(400)] + [(1000 + i, f"one other{i} words{i} here") for i in range(300)]
