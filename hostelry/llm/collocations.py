@@ -1,11 +1,13 @@
 """Phrase collocations: count-min sketches choose what is counted exactly, then scores, then subsumption.
 
-Each task of the first pass adds the hashes of all phrases of up to five words to a
-sketch; the sketches are summed shard by shard. A sketch never counts too little, so a
-phrase whose estimate is below the bound is not frequent, and neither is any phrase
-that holds it. The second pass counts only what survives, by its words; false survivors
-are dropped by their exact counts. Wider sketches have fewer of them: ``width_bits``
-sets what a pass costs, never what it finds.
+Each task of the first pass adds the hashes of all words and pairs of words to a
+sketch, each task of the second those of longer phrases whose pairs are all frequent.
+A sketch has one row, so wide that it tells a corpus' phrases apart, and is held by
+the cells that are not empty; the tasks' sketches are summed shard by shard. A sketch
+never counts too little, so a phrase whose estimate is below the bound is not frequent,
+and neither is any phrase that holds it. The last pass counts only what survives, by
+its words; false survivors are dropped by their exact counts. Wider sketches have fewer
+of them: ``width_bits`` sets what a pass costs, never what it finds.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from hostelry.llm.arrays import LOWER, freed, gathered, in_slices, mixed, packed
 
 #: Longest phrase in words, least count, result rows of a language.
 WORDS, LEAST, TOP = 5, 100, 2000
-#: Cells of a sketch's row (its rows take different bits of one hash), and of the shards that are merged apart.
-WIDTH_BITS, ROWS, SHARD_BITS = 24, 2, 18
-#: Where a task's cells stop, and hashes that are added before they are held to it; ``least`` must be below.
-FULL = 1 << 15
-#: Sketches that are summed by one task before the last sum.
-MERGED = 32
+#: Length of the phrases that are counted whatever they hold.
+SHORT = 2
+#: Bits of a cell's number in a sketch, and of its number within a shard; shards are summed apart.
+WIDTH_BITS, SHARD_BITS = 32, 22
+#: Where a task's cells stop, and their sums; ``least`` must be below.
+FULL, MOST = 1 << 15, 1 << 30
+#: Cells that are sorted at a time, and those that a task holds before it hands them on.
+SORTED, CELLS = 1 << 19, 1 << 21
+#: Rows of the bit map of frequent cells, and its bits for each of them at least.
+ROWS, SPARSE = 2, 4
 #: Words hashed at a time, and phrases that a task counts before it hands them on.
 AT_A_TIME, HELD = 1 << 17, 1 << 19
 #: Phrases of a range of hashes, whose counts meet in one task.
@@ -66,11 +72,11 @@ class Words:
         self.data = np.where(inside, LOWER[data], 0x20).astype(np.uint8)[kept]
         self.start, self.end = place[start], place[end]
 
-    def phrases(self, passes, at: int, to: int, words: int):
+    def phrases(self, passes, at: int, to: int, words: int, known: int):
         """(length, first word, hash) of phrases that begin from word ``at`` up to ``to``, by rising length.
 
-        ``passes`` tells by hashes which phrases are frequent enough; only those whose
-        two shorter ones are both so come further. None takes all.
+        ``passes`` tells by hashes which phrases of up to ``known`` words are frequent enough;
+        only those whose two shorter ones are both so come further. None takes all.
         """
         first = np.arange(at, min(to + words - 1, len(self.hashes)))
         hashes = mixed(self.hashes[first] ^ self.lang[self.text[first]])
@@ -85,7 +91,7 @@ class Words:
                     on[-1:] = False
                 first, hashes = first[on], hashes[on]
                 hashes = mixed(hashes * GROW + self.hashes[first + length - 1] * ADD)
-            if passes is not None:
+            if passes is not None and length <= known:
                 yes = passes(hashes)
                 first, hashes = first[yes], hashes[yes]
             own = first < to
@@ -100,16 +106,55 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat)))
 
 
-def _cells(hashes: np.ndarray, row: int, width_bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(row * 32)) & np.uint64((1 << width_bits) - 1)
+class Sketch:
+    """Counts of the cells that a task's hashes fall into; the other cells are empty."""
+
+    def __init__(self, width_bits: int):
+        self.width_bits, self.waiting, self.size = width_bits, [], 0
+        kind = np.uint32 if width_bits <= 32 else np.uint64
+        self.cells, self.counts = np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append((hashes >> np.uint64(64 - self.width_bits)).astype(self.cells.dtype))
+        self.size += len(hashes)
+        if self.size >= SORTED:
+            self.merge()
+
+    def merge(self) -> None:
+        both = [np.sort(np.concatenate([self.cells[:0], *self.waiting]))]
+        new = np.flatnonzero(np.diff(both[0], prepend=both[0][:1] + self.cells.dtype.type(1)))
+        counts = np.concatenate([self.counts, np.diff(np.append(new, len(both[0])))])
+        cells = np.concatenate([self.cells, both[0][new]])
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.diff(cells, prepend=cells[:1] + cells.dtype.type(1)))
+        self.cells = cells[first]
+        self.counts = np.minimum(np.add.reduceat(counts, first), FULL - 1) if len(first) else counts
+        self.waiting, self.size = [], 0
+
+    def batches(self):
+        """A row for each shard that has cells: the steps from cell to cell, and the counts."""
+        self.merge()
+        shard_bits = min(SHARD_BITS, self.width_bits)
+        shard = (self.cells >> self.cells.dtype.type(shard_bits)).astype(np.int32)
+        begins = np.flatnonzero(np.diff(shard, prepend=-1))
+        rows = []
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(shard)]):
+            cells = self.cells[begin:end].astype(np.int64) - (int(shard[begin]) << shard_bits)
+            rows.append((int(shard[begin]), packed(np.diff(cells, prepend=0)), packed(self.counts[begin:end])))
+            if len(rows) == 64:
+                yield _sketch_rows(rows)
+                rows = []
+        if rows:
+            yield _sketch_rows(rows)
+
+
+def _sketched(width_bits: int, words: int, known: int = 0, bits=None):
+    """Sketches of phrases of up to ``words`` words; with ``bits`` only of those of more than ``known`` whose parts are frequent."""
 
-
-def _sketched(width_bits: int, words: int):
     @freed
     def run(batches):
-        shard_bits = min(SHARD_BITS, width_bits)
-        # Cells stop at half of what 16 bits hold, far above any ``least``: of more than that nothing is asked.
-        sketch = np.zeros((ROWS, 1 << width_bits), np.uint16)
+        sketch, passes = Sketch(width_bits), None if bits is None else _passes(bits.value, width_bits)
         totals: dict[str, int] = {}
         for big in batches:
             for batch in in_slices(big, "text"):
@@ -118,61 +163,93 @@ def _sketched(width_bits: int, words: int):
                 for lang, n in zip(batch["lang"].to_pylist(), counts.tolist()):
                     totals[lang] = totals.get(lang, 0) + n
                 for at in range(0, len(found.hashes), AT_A_TIME):
-                    for _, _, hashes in found.phrases(None, at, min(at + AT_A_TIME, len(found.hashes)), words):
-                        for begin in range(0, len(hashes), FULL):
-                            for row, cells in enumerate(sketch):
-                                own = _cells(hashes[begin : begin + FULL], row, width_bits).astype(np.intp)
-                                np.add.at(cells, own, np.uint16(1))
-                                cells[own] = np.minimum(cells[own], FULL - 1)
-        for lang, n in totals.items():
-            yield _sketch_rows([None], [None], [lang], [n])
-        shards = sketch.reshape(-1, 1 << shard_bits)
-        for shard in np.flatnonzero(shards.any(axis=1)).tolist():
-            yield _sketch_rows([shard], [packed(shards[shard])], [None], [None])
+                    for length, _, hashes in found.phrases(passes, at, min(at + AT_A_TIME, len(found.hashes)), words, known):
+                        if length > known:
+                            sketch.add(hashes)
+                if len(sketch.cells) > CELLS:
+                    yield from sketch.batches()
+                    sketch = Sketch(width_bits)
+        if bits is None:
+            for lang, n in totals.items():
+                yield _sketch_rows([(None, None, None)], lang, n)
+        yield from sketch.batches()
 
     return run
 
 
-def _sketch_rows(shard, cells, lang, words) -> pa.RecordBatch:
-    columns = [pa.array(shard, pa.int32()), pa.array(cells, pa.binary()), pa.array(lang, pa.string()), pa.array(words, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "cells", "lang", "words"])
+SKETCH = "shard int, cells binary, counts binary, lang string, words long"
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's cells of several sketches, added up."""
-    total, shard = None, None
-    for batch in batches:
-        for shard, blob in zip(batch["shard"].to_pylist(), batch["cells"].to_pylist()):
-            cells = unpacked(blob)
-            total = cells.astype(np.uint64) if total is None else total + cells
-    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed(total)], pa.binary())], ["shard", "cells"])
+def _sketch_rows(rows: list[tuple], lang: str | None = None, words: int | None = None) -> pa.RecordBatch:
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+    columns += [pa.array([lang] * len(rows), pa.string()), pa.array([words] * len(rows), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "cells", "counts", "lang", "words"])
 
 
-def frequent_cells(docs: DataFrame, *, width_bits: int = WIDTH_BITS, words: int = WORDS, least: int = LEAST) -> tuple[bytes, DataFrame]:
-    """The merged sketch as one bit for each cell (whether it reaches ``least``), and (lang, n) of all words.
+def _summed(shard_bits: int, least: int):
+    """One shard's cells of all sketches added up: those that reach ``least``. Numbers of words pass as they are."""
 
-    ``docs`` has lang and text. The bits, whose number the width fixes, pass through the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shard = None, None
+        for batch in batches:
+            if batch["shard"].null_count:
+                yield batch
+                continue
+            if total is None:
+                total = np.zeros(1 << shard_bits, np.uint32)
+            for shard, cells, counts in zip(*(batch[c].to_pylist() for c in ("shard", "cells", "counts"))):
+                own = np.cumsum(unpacked(cells).astype(np.int64))
+                total[own] = np.minimum(total[own] + unpacked(counts), MOST)
+        if total is not None:
+            found = np.flatnonzero(total >= least)
+            if len(found):
+                yield _sketch_rows([(shard, packed(np.diff(found, prepend=0)), None)])
+
+    return run
+
+
+def frequent_cells(
+    docs: DataFrame, *, width_bits: int = WIDTH_BITS, words: int = WORDS, least: int = LEAST, known: int = 0, cells: np.ndarray | None = None
+) -> tuple[np.ndarray, DataFrame]:
+    """The numbers of the merged sketch's cells that reach ``least``, and (lang, n) of all words.
+
+    ``docs`` has lang and text. ``cells``: the frequent ones of phrases of up to ``known`` words, which
+    are then not counted again, nor is n. Frequent cells pass through the driver.
     """
-    made = cut(docs.mapInArrow(_sketched(width_bits, words), "shard int, cells binary, lang string, words long"))
-    cells = made.where("shard IS NOT NULL").select("shard", "cells").withColumn("part", F.pmod(F.xxhash64("cells"), F.lit(MERGED)))
-    part = cells.groupBy("shard", "part").applyInArrow(_summed, "shard int, cells binary")
-    merged = part.groupBy("shard").applyInArrow(_summed, "shard int, cells binary").mapInArrow(_bits(least), "shard int, cells binary")
+    bits = None if cells is None else docs.sparkSession.sparkContext.broadcast(bit_map(cells, width_bits))
     shard_bits = min(SHARD_BITS, width_bits)
-    bits = np.zeros((ROWS << (width_bits - shard_bits), (1 << shard_bits) // 8), np.uint8)
-    for row in merged.collect():
-        bits[row.shard] = np.frombuffer(row.cells, np.uint8)
-    totals = made.where("shard IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))
-    return bits.tobytes(), totals
+    made = docs.mapInArrow(_sketched(width_bits, words, known, bits), SKETCH)
+    made = cut(made.groupBy("shard").applyInArrow(_summed(shard_bits, least), SKETCH))
+    found = [
+        np.cumsum(unpacked(row.cells).astype(np.int64)) + (row.shard << shard_bits)
+        for row in made.where("shard IS NOT NULL").select("shard", "cells").collect()
+    ]
+    return np.concatenate([np.zeros(0, np.int64), *found]), made.where("shard IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))
 
 
-def _bits(least: int):
-    @freed
-    def run(batches):
-        for batch in batches:
-            bits = [np.packbits(unpacked(blob) >= least, bitorder="little").tobytes() for blob in batch["cells"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["shard"], pa.array(bits, pa.binary())], ["shard", "cells"])
+def bit_map(cells: np.ndarray, width_bits: int) -> np.ndarray:
+    """Rows of bits by the last and by the first bits of frequent cells' numbers, ``SPARSE`` bits or more for each cell."""
+    own = min(width_bits, max(3, int(SPARSE * len(cells)).bit_length()))
+    out = np.zeros((ROWS, max(1, (1 << own) // 8)), np.uint8)
+    for row, shift in zip(out, (0, width_bits - own)):
+        bits = np.zeros(8 * len(row), bool)
+        bits[(cells >> shift) & ((1 << own) - 1)] = True
+        row[:] = np.packbits(bits, bitorder="little")
+    return out
 
-    return run
+
+def _passes(bits: np.ndarray, width_bits: int):
+    """Tells by their hashes which phrases may be in frequent cells."""
+    own = min(width_bits, (8 * bits.shape[1]).bit_length() - 1)
+
+    def passes(hashes: np.ndarray) -> np.ndarray:
+        cell, yes = (hashes >> np.uint64(64 - width_bits)).astype(np.int64), np.ones(len(hashes), bool)
+        for row, shift in zip(bits, (0, width_bits - own)):
+            at = (cell >> shift) & ((1 << own) - 1)
+            yes &= (row[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return yes
+
+    return passes
 
 
 class Survivors:
@@ -237,21 +314,13 @@ def _added(least: int):
 def _counted(bits, width_bits: int, words: int, ranges: int):
     @freed
     def run(batches):
-        rows = np.frombuffer(bits.value, np.uint8).reshape(ROWS, -1)
-
-        def passes(hashes: np.ndarray) -> np.ndarray:
-            yes = np.ones(len(hashes), bool)
-            for row in range(ROWS):
-                cell = _cells(hashes, row, width_bits)
-                yes &= (rows[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            return yes
-
+        passes = _passes(bits.value, width_bits)
         held = Survivors()
         for big in batches:
             for batch in in_slices(big, "text"):
                 found = Words(batch)
                 for at in range(0, len(found.hashes), AT_A_TIME):
-                    got = list(found.phrases(passes, at, min(at + AT_A_TIME, len(found.hashes)), words))
+                    got = list(found.phrases(passes, at, min(at + AT_A_TIME, len(found.hashes)), words, words))
                     first, hashes = (np.concatenate([g[i] for g in got]) for i in (1, 2))
                     length = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
                     held.add(found, batch["lang"], first, length, hashes)
@@ -266,10 +335,12 @@ def _counted(bits, width_bits: int, words: int, ranges: int):
 def phrase_counts(docs: DataFrame, *, width_bits: int = WIDTH_BITS, words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, a) of every phrase of up to ``words`` words that occurs ``least`` times in its language, and (lang, n)."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    bits, totals = frequent_cells(rows, width_bits=width_bits, words=words, least=least)
-    # A sketch's set cells tell about how many phrases survive.
-    survivors = int(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum()) // ROWS
-    counter = _counted(docs.sparkSession.sparkContext.broadcast(bits), width_bits, words, survivors // RANGE + 1)
+    cells, totals = frequent_cells(rows, width_bits=width_bits, words=min(words, SHORT), least=least)
+    if words > SHORT:
+        longer, _ = frequent_cells(rows, width_bits=width_bits, words=words, least=least, known=SHORT, cells=cells)
+        cells = np.union1d(cells, longer)
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(cells, width_bits))
+    counter = _counted(bits, width_bits, words, len(cells) // RANGE + 1)
     found = rows.mapInArrow(counter, "range int, lang array<string>, n_words array<int>, phrase array<string>, a array<long>")
     counts = found.groupBy("range").applyInArrow(_added(least), "lang string, n_words int, phrase string, a long")
     return cut(counts), totals

@@ -124,6 +124,36 @@ def test_memory_of_a_task():
     assert made[0]["words"].to_pylist() == [1_200_000]
 
 
+def test_sketches_grow_with_the_text_only(spark):
+    """Cells tell phrases apart however many there are, take few bytes, and longer phrases only stand in them where their pairs are frequent."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in np.where(rng.random(1000) < 0.3, rng.integers(0, 3, 1000), rng.integers(3, 500, 1000))) for _ in range(200)]
+    exact = Counter()
+    for text in texts:
+        found = text.split(" ")
+        exact.update(tuple(found[i : i + k]) for k in range(1, 6) for i in range(len(found) - k + 1))
+    often = {p for p, n in exact.items() if n >= 60}
+    rows = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3)
+    cells, totals = collocations.frequent_cells(rows, words=2, least=60)
+    assert [tuple(r) for r in totals.collect()] == [("en", 200_000)]
+    short = {p for p in often if len(p) <= 2}
+    assert len(short) <= len(cells) <= len(short) * 1.02
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 200, "text": texts})
+    whole = list(collocations._sketched(32, 2)(iter([batch])))
+    held = sum(len(collocations.unpacked(b)) for batch in whole for b in batch["cells"].to_pylist() if b)
+    assert sum(len(b) for batch in whole for c in ("cells", "counts") for b in batch[c].to_pylist() if b) < 4 * held
+
+    class Shared:
+        value = collocations.bit_map(cells, 32)
+
+    longer = [b for batch in collocations._sketched(32, 5, 2, Shared)(iter([batch])) for b in batch["cells"].to_pylist() if b]
+    may = {p for p in exact if len(p) > 2 and all(p[i : i + 2] in often for i in range(len(p) - 1))}
+    n = sum(len(collocations.unpacked(b)) for b in longer)
+    assert len(may) <= n * 1.01 and n < sum(len(p) > 2 for p in exact) / 100
+    found, _ = collocations.frequent_cells(rows, words=5, least=60, known=2, cells=cells)
+    assert 0 < len(often - short) <= len(found) <= len(often - short) * 1.1 + 1
+
+
 def test_scores_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", 2, "a b", 10**12), ("en", 1, "a", 3 * 10**12), ("en", 1, "b", 7 * 10**12)], "lang string, n_words int, phrase string, a long")
     totals = spark.createDataFrame([("en", 10**16 + 7)], "lang string, n long")
