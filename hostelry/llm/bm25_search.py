@@ -46,7 +46,7 @@ RARE = 1 << 11
 #: Vocabularies that a shard's documents are put into.
 KINDS = 8
 #: The waves' shares of the shards, in 64ths.
-WAVES = (1, 8, 64)
+WAVES = (1, 4, 16, 64)
 #: Decimals of a score; ties are of scores as rounded.
 DECIMALS = 6
 #: What single precision may lose of a sum, relative to it.
@@ -276,13 +276,18 @@ class Shard:
         index += np.arange(len(index))
         return self.doc.take(index), index, np.repeat(np.arange(len(n)), n)
 
-    def reached(self, block: Block, some: slice, place: np.ndarray, rough: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Which of some queries have a document that may reach ``least``; ``rough``: what their columns come to."""
+    def hits(self, block: Block, some: slice, place: np.ndarray, rough: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, exact sum of its postings) wherever some queries may reach ``least``; ``rough``: what their columns come to."""
         mine = slice(block.ends[some.start], block.ends[some.stop])
         docs, index, of = self.rare(place[mine])
         cells = ((block.query[mine].astype(np.int64) - some.start) * self.size)[of] + docs
         acc = np.bincount(cells, self.light.take(index) * block.weights[mine][of], rough.size).reshape(rough.shape)
-        return (acc + rough >= np.maximum(least * (1 - LOSS), np.finfo(float).tiny)[:, None]).any(axis=1)
+        found = np.flatnonzero(acc + rough >= np.maximum(least * (1 - LOSS), np.finfo(float).tiny)[:, None])
+        own = np.zeros(rough.size, bool)
+        own[found] = True
+        own = np.flatnonzero(own[cells]) if len(found) else found
+        held = np.bincount(np.searchsorted(found, cells[own]), self.impact[index[own]] * block.weights[mine][of[own]], len(found))
+        return found // self.size, found % self.size, held
 
     def scored(
         self, place: np.ndarray, weights: np.ndarray, long: np.ndarray, rough: np.ndarray, open_blocks: np.ndarray, least: float, k: int
@@ -352,20 +357,27 @@ def _searched(shared, mean: float):
                     open_ = (bounds > 0) & (bounds * (1 + LOSS) >= least[part, None]) & hope[part, None]
                     long = shard.columns(block, part)
                     rough = shard.common(long, open_)
-                    reached = open_.any(axis=1)
                     for some in block.parts(RARE, part.start, part.stop):
                         own = slice(some.start - part.start, some.stop - part.start)
-                        reached[own] &= shard.reached(block, some, place, rough[own], least[some])
-                    for i in np.flatnonzero(reached).tolist():
-                        q = part.start + i
-                        mine = slice(block.ends[q], block.ends[q + 1])
-                        docs, scores = shard.scored(place[mine], block.weights[mine], long[i], rough[i], open_[i], least[q], k)
-                        keep = scores >= least[q]
-                        if keep.any():
-                            new = [(s, ids[d]) for s, d in zip(scores[keep].tolist(), docs[keep].tolist())]
-                            best[q] = best_of(best[q] + new, k)
-                            if len(best[q]) == k:
-                                least[q] = max(least[q], best[q][-1][0])
+                        rows, found, held = shard.hits(block, some, place, rough[own], least[some])
+                        rows += own.start
+                        inside = open_[rows, found // BLOCK_DOCS]
+                        rows, found, held = rows[inside], found[inside], held[inside]
+                        begins = np.flatnonzero(np.diff(rows, prepend=-1))
+                        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)]):
+                            i = int(rows[begin])
+                            q, docs = part.start + i, found[begin:end]
+                            if end - begin > k:
+                                mine = slice(block.ends[q], block.ends[q + 1])
+                                docs, scores = shard.scored(place[mine], block.weights[mine], long[i], rough[i], open_[i], least[q], k)
+                            else:
+                                scores = np.round(held[begin:end] + shard.exact(long[i], docs), DECIMALS)
+                            keep = scores >= least[q]
+                            if keep.any():
+                                new = [(s, ids[d]) for s, d in zip(scores[keep].tolist(), docs[keep].tolist())]
+                                best[q] = best_of(best[q] + new, k)
+                                if len(best[q]) == k:
+                                    least[q] = max(least[q], best[q][-1][0])
         rows = [(block.ids[q], d, s) for q, found in enumerate(best) for s, d in found]
         if rows:
             query, doc, score = zip(*rows)

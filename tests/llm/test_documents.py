@@ -410,8 +410,11 @@ def test_common_terms_are_not_read_posting_by_posting():
         long = shard.columns(block, part)
         rough = shard.common(long, open_blocks[part])
         for some in block.parts(70, part.start, part.stop):
-            reached += shard.reached(block, some, place, rough[some.start - part.start : some.stop - part.start], least[some]).tolist()
-    assert reached == (every.max(axis=1) >= least).tolist() and 0 < sum(reached) < 100
+            query, doc, held = shard.hits(block, some, place, rough[some.start - part.start : some.stop - part.start], least[some])
+            for q, d, score in zip(query.tolist(), doc.tolist(), held.tolist()):
+                reached.append((some.start + q, d))
+                assert abs(score + shard.exact(long[some.start - part.start + q], np.array([d]))[0] - every[some.start + q, d]) < 1e-9
+    assert reached == list(zip(*(x.tolist() for x in np.nonzero(every >= least[:, None])))) and 0 < len({q for q, _ in reached}) < 100
 
 
 def test_search_prefers_small_ids_among_many_copies(spark, monkeypatch):
